@@ -18,7 +18,7 @@ from quillspark.llm.broken_pairs import SuffixAutomaton
 from quillspark.llm.words import WORD, words
 
 MIN_WORDS = 12
-BLOCK_WORDS = 200_000
+BLOCK_WORDS = 50_000
 
 
 class ItemAutomaton(SuffixAutomaton):
@@ -95,7 +95,14 @@ def _blocks(items: DataFrame, item_id: str, text: str, block_words: int) -> Iter
 
 def _automata(docs: DataFrame, items: DataFrame, item_id: str, item_text: str, min_words: int, block_words: int) -> list:
     sc = docs.sparkSession.sparkContext
-    return [sc.broadcast(ItemAutomaton(b, min_words)) for b in _blocks(items, item_id, item_text, block_words)]
+    # Plain lists travel; the workers need not have this package.
+    return [sc.broadcast(vars(ItemAutomaton(b, min_words))) for b in _blocks(items, item_id, item_text, block_words)]
+
+
+def _revived(state: dict) -> ItemAutomaton:
+    auto = ItemAutomaton.__new__(ItemAutomaton)
+    vars(auto).update(state)
+    return auto
 
 
 def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", min_words: int = MIN_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -108,7 +115,7 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
 
     def scan(shared):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            auto = shared.value
+            auto = _revived(shared.value)
             for b in batches:
                 d, i, n = [], [], []
                 for doc, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -142,7 +149,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
 
     def scan(shared):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            auto = shared.value
+            auto = _revived(shared.value)
             for b in batches:
                 spans = []
                 for t, old in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
