@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.broken_pairs import broken_pairs
 from quillspark.llm.leakage import decontaminate, leaks
+from quillspark.llm.scan_noise import scan_noise
 from quillspark.session import table
 
 
@@ -16,6 +17,21 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return broken_pairs(table(spark, sf_dir, "questions"))
 
 
+def scanned_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(field, record_id, text): evidence excerpts and citation quotes, each record once."""
+    e = table(spark, sf_dir, "evidence").select(F.lit("excerpt").alias("field"), F.concat_ws("/", "document_id", "evidence_id").alias("record_id"), F.col("excerpt").alias("text"))
+    c = table(spark, sf_dir, "source_citations").select(F.lit("quote").alias("field"), F.col("citation_id").alias("record_id"), F.col("quote").alias("text"))
+    return e.unionByName(c).distinct()
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_noise(scanned_texts(spark, sf_dir)).select("field", "record_id", F.explode("noise").alias("noise")).distinct()
+
+
+def p2_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_noise(scanned_texts(spark, sf_dir)).select("field", "record_id", "repaired", F.array_join("noise", ",").alias("noise"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
 
@@ -34,7 +50,7 @@ def p8_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p8_found": p8_found, "p8_clean": p8_clean}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p2_repaired": p2_repaired, "p8_found": p8_found, "p8_clean": p8_clean}
 
 
 def oracle_sql() -> dict[str, str]:
