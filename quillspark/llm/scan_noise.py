@@ -27,15 +27,16 @@ HYPHENS = "-‐‑­¬"
 # Two characters seen for one, and one for two.
 TWO_FOR_ONE = {"rn": "m", "nn": "m", "ii": "u", "ri": "n", "ll": "u", "cl": "d", "vv": "w", "li": "h", "lo": "b", "lc": "k", "ij": "y", "fi": "h", "tl": "d"}
 ONE_FOR_TWO = {"m": ("rn", "nn", "in", "ni"), "u": ("ii", "li", "il"), "n": ("ri", "ii"), "d": ("cl", "ci"), "w": ("vv",), "h": ("li", "lr"), "k": ("lc",), "b": ("lo",), "y": ("ij",), "ﬁ": ("fi",), "ﬂ": ("fl",)}
-CONFUSION, HYPHEN, SPACED_HYPHEN, COMPOUND, STRAY_SPACE, RUN_TOGETHER = 4.0, 1.0, 2.0, 0.5, 9.0, 9.0
+CONFUSION, HYPHEN, SPACED_HYPHEN, COMPOUND, STRAY_SPACE, RUN_TOGETHER = 3.4, 1.0, 2.0, 0.5, 9.0, 9.0
 _LETTERS = "abcdefghijklmnopqrstuvwxyzáéíóúñäöüßàâçèêëîïôûù"
 _ROMAN = re.compile(r"^(?=[ivxlcdm]{1,8}$)m{0,3}(cm|cd|d?c{0,3})(xc|xl|l?x{0,3})(ix|iv|v?i{0,3})$")
 # The forms of a page's number.
 _NUM = r"\d{1,5}"
 _MARKED = rf"(?:[-–—·•|~*]\s?{_NUM}\s?[-–—·•|~*]|\[\s?{_NUM}\s?\]|(?:page|pg|seite|página|pagina)\.?\s{_NUM}(?:\s?(?:of|/|de|von|sur)\s?{_NUM})?|pp?\.\s?{_NUM}(?:\s?/\s?{_NUM})?|{_NUM}\s?/\s?{_NUM})"
 PAGE_LINE = re.compile(rf"^\s*(?:{_MARKED}|\(?{_NUM}\)?)\s*$", re.I)
-PAGE_START = re.compile(rf"^\s*(?:{_MARKED}|{_NUM}|[ivxlc]+)(?:\s*[|·•–—-]\s*|\s+)(?=\S)", re.I)
-PAGE_END = re.compile(rf"(?<=\S)(?:\s*[|·•–—-]\s*|\s+)(?:{_MARKED}|{_NUM}|[ivxlc]+)\s*$", re.I)
+_SMALL_ROMAN = r"(?-i:[ivxlc]+)"
+PAGE_START = re.compile(rf"^\s*(?:{_MARKED}|{_NUM}|{_SMALL_ROMAN})(?:\s*[|·•–—-]\s*|\s+)(?=\S)", re.I)
+PAGE_END = re.compile(rf"(?<=\S)(?:\s*[|·•–—-]\s*|\s+)(?:{_MARKED}|{_NUM}|{_SMALL_ROMAN})\s*$", re.I)
 PAGE_INLINE = re.compile(rf"(?<!\S)(?:[-–—·•]\s{_NUM}\s[-–—·•]|\[{_NUM}\]|(?:Page|PAGE|Seite|Página)\s{_NUM}(?:\s(?:of|/|de|von|sur)\s{_NUM})?|p\.\s{_NUM}|{_NUM}\s/\s{_NUM})(?!\S)")
 _MENTION = re.compile(r"(?:\b(?:see|on|from|to|and|in|of|at|the|siehe|auf|ver|voir|en|à|cf\.?)|[(,;])\s*$", re.I)
 # Small words inside titles.
@@ -67,15 +68,24 @@ def is_title(line: str) -> bool:
 
 
 class Lexicon:
-    def __init__(self, counts: dict[str, int], lower: dict[str, int], total: int, unseen: int) -> None:
+    def __init__(self, counts: dict[str, int], lower: dict[str, int], before: dict[str, int], behind: dict[str, int], total: int, unseen: int) -> None:
+        self.counts, self.before, self.behind, self.total = counts, before, behind, total
         self.cost = {w: -math.log(n / total) for w, n in counts.items()}
-        self.plain = {w for w, n in counts.items() if 2 * lower.get(w, 0) >= n}
+        self.plain = {w for w, n in counts.items() if 10 * lower.get(w, 0) >= n}  # not names
         self.rare = -math.log(max(1, unseen) / max(2, total))  # of a word too rare for the lexicon
         self.memo: dict[str, tuple[float, str] | None] = {}
 
     def known(self, w: str) -> float | None:
         return self.cost.get(w)
 
+    def expects_number(self, w: str) -> bool:
+        """Whether numbers usually follow the word."""
+        return self.before.get(w, 0) >= 0.02 * self.counts.get(w, math.inf)
+
+    def takes_number(self, w: str) -> bool:
+        """Whether numbers usually stand before the word."""
+        return self.behind.get(w, 0) >= 0.02 * self.counts.get(w, math.inf)
+
     def corrected(self, w: str) -> tuple[float, str] | None:
         """The best plain word one confusion away, with its cost."""
         if w in self.memo:
@@ -99,7 +109,9 @@ class Lexicon:
         return best
 
 
-_CORE = re.compile(r"^(\W*)(.*?)(\W*)$", re.S)
+# Punctuation is not part of a word; other signs at its ends are, as they may stand for letters.
+_PUNCT = r"[\s.,;:!?\"'’‘“”«»()\[\]{}…–—‐‑­¬/|•·*=-]"
+_CORE = re.compile(rf"^({_PUNCT}*)(.*?)({_PUNCT}*)$", re.S)
 
 
 def decode(tokens: list[tuple[str, bool]], lex: Lexicon) -> tuple[list[str], set[str]]:
@@ -138,8 +150,6 @@ def decode(tokens: list[tuple[str, bool]], lex: Lexicon) -> tuple[list[str], set
                 fix = lex.corrected(low)
                 if fix is not None:
                     relax(i, i + 1, fix[0] + CONFUSION, lead + shaped(core, fix[1]) + trail, mis)
-                elif odd and re.search(r"\w\W\w|\d", core) and "-" in core:
-                    pass
                 if "-" in core and plain is None:
                     # One confused half of a compound.
                     halves = low.split("-")
@@ -161,10 +171,10 @@ def decode(tokens: list[tuple[str, bool]], lex: Lexicon) -> tuple[list[str], set
                     relax(i, i + 2, cc + COMPOUND, f"{lead}{core}-{core2}{trail2}", none)
                 if cw is not None:
                     relax(i, i + 2, cw + extra, lead + core + core2 + trail2, hyp)
-                else:
-                    fix = lex.corrected(whole)
-                    if fix is not None:
-                        relax(i, i + 2, fix[0] + CONFUSION + extra, lead + shaped(core, fix[1]) + trail2, hyp | mis)
+                fix = lex.corrected(whole)
+                if fix is not None:
+                    relax(i, i + 2, fix[0] + CONFUSION + extra, lead + shaped(core, fix[1]) + trail2, hyp | mis)
+                if cw is None:
                     if cc is None and not (lex.known(low) is not None and lex.known(low2) is not None):
                         relax(i, i + 2, lex.rare + extra + (2.0 if core[:1].isupper() else 4.0), lead + core + core2 + trail2, hyp)
                     if cc is None and fix is None and "-" in core2:
@@ -192,7 +202,41 @@ def decode(tokens: list[tuple[str, bool]], lex: Lexicon) -> tuple[list[str], set
     return out[::-1], kinds
 
 
-def _inline_furniture(text: str) -> tuple[str, set[str]]:
+def _bare(word: str) -> str:
+    return _CORE.match(word).group(2).lower()
+
+
+def _inline_numbers(words: list[str], lex: Lexicon) -> tuple[list[str], bool]:
+    """Take out numbers that neither the word before nor the word behind accounts for."""
+    out: list[str] = []
+    found = False
+    for i, w in enumerate(words):
+        roman = len(w) > 1 and _ROMAN.match(w) and not re.search("[dm]", w) and lex.counts.get(w, 0) < 1e-3 * lex.total
+        if not roman and not re.fullmatch(r"\d{1,4}", w):
+            out.append(w)
+            continue
+        prev = next((x for x in reversed(out) if x != "\x1e"), "")
+        seps = 0
+        while i + 1 + seps < len(words) and words[i + 1 + seps] in ("\x1e", "|", "—", "–", "-", "·", "•"):
+            seps += 1
+        nxt = words[i + 1 + seps] if i + 1 + seps < len(words) else ""
+        if prev in ("=", ":", "/", "+", "-", "*") and out[-1:] != ["\x1e"] or nxt[:1] in ("=", ":", "/", "+", "*", "%"):
+            out.append(w)
+            continue
+        beside = out[-1:] == ["\x1e"] or "\x1e" in words[i + 1 : i + 1 + seps]
+        after_number = prev.isdigit()
+        legit = not after_number and (lex.expects_number(_bare(prev)) or not beside and lex.takes_number(_bare(nxt)))
+        if legit and not roman:
+            out.append(w)
+            continue
+        found = True
+        if out[-1:] in (["|"], ["—"], ["–"], ["·"], ["•"]):
+            out.pop()
+        out.append("\x1e")
+    return out, found
+
+
+def _inline_furniture(text: str, lex: Lexicon) -> tuple[str, set[str]]:
     """Take page numbers and headers out of a text whose line breaks became spaces."""
     kinds: set[str] = set()
 
@@ -259,7 +303,12 @@ def _inline_furniture(text: str) -> tuple[str, set[str]]:
                 continue
         out.append(words[i])
         i += 1
-    return " ".join(w for w in out if w != "\x1e"), kinds
+    out, numbers = _inline_numbers(out, lex)
+    if numbers:
+        kinds.add("page_number")
+    # Separators that stood between a header and its number.
+    lone = [w for k, w in enumerate(out) if w != "\x1e" and not (w in ("|", "—", "–", "·", "•") and "\x1e" in (out[k - 1] if k else "", out[k + 1] if k + 1 < len(out) else ""))]
+    return " ".join(lone), kinds
 
 
 # Words that open sentences.
@@ -318,9 +367,6 @@ def repair(text: str | None, lex: Lexicon) -> tuple[str | None, list[str]]:
             if PAGE_LINE.match(bare) or _ROMAN.match(bare):
                 kinds.add("page_number")
                 continue
-            if is_title(bare):
-                kinds.add("running_header")
-                continue
             beside = False
             for edge in (PAGE_START, PAGE_END):
                 m = edge.search(bare)
@@ -328,10 +374,14 @@ def repair(text: str | None, lex: Lexicon) -> tuple[str | None, list[str]]:
                     kinds |= {"running_header", "page_number"}
                     beside = True
                     break
-            if not beside:
-                kept.append(ln)
+            if beside:
+                continue
+            if is_title(bare):
+                kinds.add("running_header")
+                continue
+            kept.append(ln)
     else:
-        flat, found = _inline_furniture(text)
+        flat, found = _inline_furniture(text, lex)
         kinds |= found
         kept = [flat]
     done = []
@@ -348,16 +398,20 @@ def repair(text: str | None, lex: Lexicon) -> tuple[str | None, list[str]]:
     return "\n\n".join(done), [k for k in KINDS if k in kinds]
 
 
-def lexicon(texts: DataFrame, text: str) -> tuple[dict[str, int], dict[str, int], int, int]:
-    """Counts and small-letter counts of words and hyphened compounds; at most LEXICON_SHARE entries by the threshold."""
+def lexicon(texts: DataFrame, text: str) -> tuple[dict, dict, dict, dict, int, int]:
+    """Of words and hyphened compounds: counts, counts in small letters, before a number and behind one; at most LEXICON_SHARE entries by the threshold."""
     joined = F.regexp_replace(F.col(text), f"[{HYPHENS}]\\s+", "")
-    words = texts.select(F.explode(F.regexp_extract_all(joined, F.lit(r"[\p{L}\p{N}]+(?:-[\p{L}\p{N}]+)*"), F.lit(0))).alias("w"))
-    counts = words.groupBy(F.lower("w").alias("w")).agg(F.count("*").alias("n"), F.count_if(F.col("w") == F.lower("w")).alias("l"))
+    hits = lambda p, g: F.transform(F.regexp_extract_all(joined, F.lit(p), F.lit(g)), lambda w: w)
+    part = lambda kind, p, g: F.transform(hits(p, g), lambda w: F.struct(F.lit(kind).alias("k"), w.alias("w")))
+    words = texts.select(F.explode(F.concat(part("w", r"[\p{L}\p{N}]+(?:-[\p{L}\p{N}]+)*", 0), part("b", r"(\p{L}+)\s+\d{1,5}\b", 1), part("a", r"\b\d{1,5}\s+(\p{L}+)", 1))).alias("x")).select("x.k", "x.w")
+    kind = lambda k: F.count_if(F.col("k") == k)
+    counts = words.groupBy(F.lower("w").alias("w")).agg(kind("w").alias("n"), F.count_if((F.col("k") == "w") & (F.col("w") == F.lower("w"))).alias("l"), kind("b").alias("b"), kind("a").alias("a"))
     counts = stored(counts)
     total = counts.agg(F.sum("n")).first()[0] or 0
     least = max(1, math.ceil(total / LEXICON_SHARE))
     rows = counts.filter(F.col("n") >= least).collect()  # at most LEXICON_SHARE rows
-    return {r["w"]: r["n"] for r in rows}, {r["w"]: r["l"] for r in rows}, max(1, total), least
+    table = lambda c: {r["w"]: r[c] for r in rows if r[c]}
+    return table("n"), table("l"), table("b"), table("a"), max(1, total), least
 
 
 def scan_noise(texts: DataFrame, text: str = "text") -> DataFrame:
