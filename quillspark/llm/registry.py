@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.broken_pairs import broken_pairs
 from quillspark.llm.leakage import decontaminate, leaks
+from quillspark.llm.near_dup import NearDuplicates
 from quillspark.llm.scan_noise import scan_noise
 from quillspark.session import table
 
@@ -32,6 +33,23 @@ def p2_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_noise(scanned_texts(spark, sf_dir)).select("field", "record_id", "repaired", F.array_join("noise", ",").alias("noise"))
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = NearDuplicates(table(spark, sf_dir, "questions"), F.col("question_id"), F.col("question_text"))
+    return near.id_pairs().select(F.col("id_a").alias("question_id_a"), F.col("id_b").alias("question_id_b"))
+
+
+P7_FOUND = r"""
+WITH q AS (SELECT DISTINCT question_id AS id, list_sort(list_distinct(regexp_extract_all(lower(question_text), '[\p{L}\p{N}]+'))) AS w FROM questions WHERE question_text IS NOT NULL)
+SELECT DISTINCT a.id AS question_id_a, b.id AS question_id_b FROM q a JOIN q b ON a.id < b.id AND len(a.w) > 0 AND len(b.w) > 0 AND len(a.w) >= 0.75 * len(b.w) AND len(b.w) >= 0.75 * len(a.w)
+WHERE len(list_intersect(a.w, b.w)) >= 0.75 * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)))
+"""
+
+
+def p7_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = NearDuplicates(table(spark, sf_dir, "questions"), F.col("question_id"), F.col("question_text"))
+    return near.groups().withColumnRenamed("id", "question_id")
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
 
@@ -50,8 +68,8 @@ def p8_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p2_repaired": p2_repaired, "p8_found": p8_found, "p8_clean": p8_clean}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p2_repaired": p2_repaired, "p7_found": p7_found, "p7_groups": p7_groups, "p8_found": p8_found, "p8_clean": p8_clean}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p8_found": P8_FOUND}
+    return {"p7_found": P7_FOUND, "p8_found": P8_FOUND}
