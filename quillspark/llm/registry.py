@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quillspark.llm.broken_pairs import broken_pairs
 from quillspark.llm.leakage import decontaminate, leaks
 from quillspark.llm.near_dup import NearDuplicates
+from quillspark.llm.reading_level import reading_levels
 from quillspark.llm.scan_noise import scan_noise
 from quillspark.session import table
 
@@ -67,8 +68,22 @@ def p8_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
+def _levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, graded = table(spark, sf_dir, "documents"), table(spark, sf_dir, "level_samples")
+    return reading_levels(docs, graded, F.col("doc_id"), F.col("text"), F.col("text"), F.col("reading_level"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _levels(spark, sf_dir).filter("n_words >= 80 AND reading_level IS NOT NULL").select("doc_id", "reading_level")
+
+
+def p10_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its language, length and difficulty."""
+    return _levels(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p2_repaired": p2_repaired, "p7_found": p7_found, "p7_groups": p7_groups, "p8_found": p8_found, "p8_clean": p8_clean}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p2_repaired": p2_repaired, "p7_found": p7_found, "p7_groups": p7_groups, "p8_found": p8_found, "p8_clean": p8_clean, "p10_found": p10_found, "p10_levels": p10_levels}
 
 
 def oracle_sql() -> dict[str, str]:
