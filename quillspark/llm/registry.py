@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.broken_pairs import broken_pairs
 from quillspark.llm.leakage import decontaminate, leaks
+from quillspark.llm.mixing import Mixture
 from quillspark.llm.near_dup import NearDuplicates
 from quillspark.llm.reading_level import reading_levels
 from quillspark.llm.scan_noise import scan_noise
@@ -68,6 +69,14 @@ def p8_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_targets")).mix
+
+
+def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_targets")).report
+
+
 def _levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, graded = table(spark, sf_dir, "documents"), table(spark, sf_dir, "level_samples")
     return reading_levels(docs, graded, F.col("doc_id"), F.col("text"), F.col("text"), F.col("reading_level"))
@@ -83,7 +92,7 @@ def p10_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p2_repaired": p2_repaired, "p7_found": p7_found, "p7_groups": p7_groups, "p8_found": p8_found, "p8_clean": p8_clean, "p10_found": p10_found, "p10_levels": p10_levels}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p2_repaired": p2_repaired, "p7_found": p7_found, "p7_groups": p7_groups, "p8_found": p8_found, "p8_clean": p8_clean, "p9_mix": p9_mix, "p9_report": p9_report, "p10_found": p10_found, "p10_levels": p10_levels}
 
 
 def oracle_sql() -> dict[str, str]:
