@@ -38,7 +38,7 @@ _SMALL_ROMAN = r"(?-i:[ivxlc]+)"
 PAGE_START = re.compile(rf"^\s*(?:{_MARKED}|{_NUM}|{_SMALL_ROMAN})(?:\s*[|·•–—-]\s*|\s+)(?=\S)", re.I)
 PAGE_END = re.compile(rf"(?<=\S)(?:\s*[|·•–—-]\s*|\s+)(?:{_MARKED}|{_NUM}|{_SMALL_ROMAN})\s*$", re.I)
 PAGE_INLINE = re.compile(rf"(?<!\S)(?:[-–—·•]\s{_NUM}\s[-–—·•]|\[{_NUM}\]|(?:Page|PAGE|Seite|Página)\s{_NUM}(?:\s(?:of|/|de|von|sur)\s{_NUM})?|p\.\s{_NUM}|{_NUM}\s/\s{_NUM})(?!\S)")
-_MENTION = re.compile(r"(?:\b(?:see|on|from|to|and|in|of|at|the|siehe|auf|ver|voir|en|à|cf\.?)|[(,;])\s*$", re.I)
+_MENTION = re.compile(r"(?:\b(?:see|siehe|vgl\.?|véase|voir|cf\.?)|[(])\s*$", re.I)
 # Small words inside titles.
 _SMALL = frozenset("a an and or of on in for to the with from by at first course de la el los las del y e und der die das des le les et du au part chapter notes unit section lesson vol volume book edition".split())
 _WORDS = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
@@ -312,7 +312,7 @@ def _inline_furniture(text: str, lex: Lexicon) -> tuple[str, set[str]]:
 
 
 # Words that open sentences.
-_SENTENCE_STARTS = frozenset("the a an in if when because although first people while since after before one this that these those it we you they there for from at as on and but so".split())
+_SENTENCE_STARTS = frozenset("see the a an in if when because although first people while since after before one this that these those it we you they there for from at as on and but so".split())
 
 
 def _paragraphs(lines: list[str]) -> list[list[str]]:
@@ -321,7 +321,7 @@ def _paragraphs(lines: list[str]) -> list[list[str]]:
     if not full:
         return []
     width = max(len(ln) for ln in full)
-    price, reach = 1.2, 200
+    price, reach = 0.8, 200
     n = len(lines)
     cost, prev = [0.0] + [math.inf] * n, [0] * (n + 1)
     # Price of letting the paragraph go on behind a line, and of ending there.
@@ -332,7 +332,7 @@ def _paragraphs(lines: list[str]) -> list[list[str]]:
         closes = bool(re.search(r"[.!?:]['\"”’)]*\s*$", ln))
         short = 1 - len(ln.strip()) / width
         item = bool(re.match(r"([-•*·]|\d+[.)]|\([a-z]\))\s", nxt))
-        go_on.append(6.0 if blank or item else 4.0 * max(0.0, short - 0.25) if closes else 0.0)
+        go_on.append(6.0 if blank or item else 6.0 * max(0.0, short - 0.2) if closes else 0.0)
         end.append(0.0 if blank or item else 0.6 if closes and nxt[:1].isupper() else 5.0)
     for j in range(1, n + 1):
         run = 0.0
