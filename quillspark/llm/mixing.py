@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.session import cut, stored
@@ -206,5 +206,5 @@ class Mixture:
         self.mix = mixed.filter("copies > 0")
         have = mixed.groupBy("source").agg(F.count("*").alias("documents"), F.sum("n_tokens").alias("tokens"), F.sum(F.col("n_tokens") * F.col("copies")).alias("mixed_tokens"), F.sum("copies").alias("mixed_documents"), F.max("copies").alias("most_copies"))
         full = want.join(have, "source", "left").fillna(0, ["documents", "tokens", "mixed_tokens", "mixed_documents", "most_copies"])
-        whole = full.agg(F.sum("mixed_tokens").alias("all_tokens"))
-        self.report = full.crossJoin(F.broadcast(whole)).select("source", "target_share", F.when(F.col("all_tokens") > 0, F.col("mixed_tokens") / F.col("all_tokens")).otherwise(F.lit(0.0)).alias("actual_share"), "max_repeats", "most_copies", "documents", "tokens", "mixed_documents", "mixed_tokens")
+        # One row per target, so this window without a partition is small.
+        self.report = full.withColumn("all_tokens", F.sum("mixed_tokens").over(Window.partitionBy())).select("source", "target_share", F.when(F.col("all_tokens") > 0, F.col("mixed_tokens") / F.col("all_tokens")).otherwise(F.lit(0.0)).alias("actual_share"), "max_repeats", "most_copies", "documents", "tokens", "mixed_documents", "mixed_tokens")
