@@ -45,11 +45,9 @@ def select_ranks(rows: DataFrame, group: str, percents: list[float], digits: int
     With 4 digits lower = upper = the exact value; with d digits they share their first 16*d bits, so for d = 2
     upper - lower <= 2**-20 of the value.
     """
-    spark = rows.sparkSession
     shift = lambda d: 64 - 16 * d
     sizes = rows.groupBy(group).agg(F.sum("n").alias("total"))
-    wanted = spark.createDataFrame([(float(p),) for p in percents], "percent double")
-    at = sizes.crossJoin(F.broadcast(wanted)).withColumn("rest", _rank(F.col("percent"), F.col("total"))).withColumn("prefix", F.lit(0).cast("long"))
+    at = sizes.withColumn("percent", F.explode(F.array(*[F.lit(float(p)) for p in percents]))).withColumn("rest", _rank(F.col("percent"), F.col("total"))).withColumn("prefix", F.lit(0).cast("long"))
     at = cut(at)  # |groups| x |percents| rows
     for d in range(1, digits + 1):
         digit = F.shiftright("key", shift(d)) if d == 1 else F.shiftright("key", shift(d)).bitwiseAND(F.lit(0xFFFF))
