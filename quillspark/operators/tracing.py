@@ -124,3 +124,82 @@ def recent_failures(df: DataFrame, partition: list[str], order: list[str], faile
     """Adds ``recent_failures``: failures among this and the ``back`` - 1 rows before it."""
     w = Window.partitionBy(*partition).orderBy(*order).rowsBetween(-(back - 1), 0)
     return df.withColumn("recent_failures", F.sum(failed.cast("int")).over(w))
+
+
+GRID = {"transit": (0.05, 0.10, 0.15, 0.20, 0.25, 0.30), "slip": (0.05, 0.08, 0.10, 0.12, 0.15, 0.20), "guess": (0.15, 0.20, 0.25, 0.30, 0.33)}
+
+
+def calibration(df: DataFrame, entity: Column, item: Column, event_id: Column, at: Column, score: Column, p_init: float = P_INIT) -> DataFrame:
+    """(transit, slip, guess, predictions, rmse): one-step-ahead error of every parameter set of GRID.
+
+    All sets run side by side as one vector per answer, in one pass over the sorted answers. A run cut by a
+    partition's border is joined first: keys are hashed, so a (learner, concept) stays in one task and streams
+    through it with constant memory.
+    """
+    grid = np.array(np.meshgrid(*GRID.values(), indexing="ij")).reshape(3, -1)
+    tr, sl, gu = grid
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key = last = None
+        p = np.full(len(tr), p_init)
+        total, count, n = np.zeros(len(tr)), 0, 0
+        for pdf in batches:
+            for who, what, a, e, right in zip(pdf["entity"].tolist(), pdf["item"].tolist(), pdf["at_us"].tolist(), pdf["event_id"].tolist(), pdf["right"].tolist()):
+                if (who, what) != key:
+                    key, last, n = (who, what), None, 0
+                    p = np.full(len(tr), p_init)
+                elif last == (a, e) and e is not None:
+                    continue
+                last = (a, e)
+                if n:
+                    total += (p * (1 - sl) + (1 - p) * gu - right) ** 2
+                    count += 1
+                k, u = (1 - sl, gu) if right else (sl, 1 - gu)
+                post = p * k / (p * k + (1 - p) * u)
+                p = np.clip(post + (1 - post) * tr, MASTERY_FLOOR, MASTERY_CEILING)
+                n += 1
+        yield pd.DataFrame({"transit": tr, "slip": sl, "guess": gu, "squares": total, "n": count})
+
+    s = score.cast("double")
+    rows = df.select(entity.cast("string").alias("entity"), item.cast("string").alias("item"), F.unix_micros(at.cast("timestamp")).alias("at_us"), event_id.cast("string").alias("event_id"), (s >= 0.5).alias("right"), F.isnan(s).alias("nan")).filter("entity IS NOT NULL AND item IS NOT NULL AND at_us IS NOT NULL AND right IS NOT NULL AND NOT nan").drop("nan")
+    parts = rows.repartition("entity", "item").sortWithinPartitions("entity", "item", "at_us", "event_id").mapInPandas(run, "transit double, slip double, guess double, squares double, n long")
+    return parts.groupBy("transit", "slip", "guess").agg(F.sum("n").alias("predictions"), F.sqrt(F.sum("squares") / F.sum("n")).alias("rmse"))
+
+
+def misconceptions(events: DataFrame) -> DataFrame:
+    """events (learner_id, misconception_id, at, event_id, wrong boolean) -> one row per pair: confidence, frequency, status.
+
+    The first wrong answer starts at 0.4 SUSPECTED; each further one adds 0.25 (at most 0.98) and makes it SUPPORTED;
+    a right answer takes 0.30 off: below 0.15 it is RESOLVED, below 0.65 SUPPORTED falls back to SUSPECTED. RESOLVED
+    ones take no more counter-evidence; right answers before the first wrong one do nothing. The fold streams over
+    sorted rows with constant memory.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, rec = None, None
+        rows: list[tuple] = []
+        for pdf in batches:
+            for who, what, wrong in zip(pdf["learner_id"].tolist(), pdf["misconception_id"].tolist(), pdf["wrong"].tolist()):
+                if (who, what) != key:
+                    if rec:
+                        rows.append((*key, *rec))
+                    key, rec = (who, what), None
+                if wrong:
+                    if rec is None:
+                        rec = [0.4, 1, "SUSPECTED"]
+                    else:
+                        rec = [min(0.98, rec[0] + 0.25), rec[1] + 1, "SUPPORTED"]
+                elif rec and rec[2] != "RESOLVED":
+                    rec[0] = max(0.0, round(rec[0] - 0.30, 4))
+                    if rec[0] < 0.15:
+                        rec[2] = "RESOLVED"
+                    elif rec[2] == "SUPPORTED" and rec[0] < 0.65:
+                        rec[2] = "SUSPECTED"
+            yield pd.DataFrame(rows, columns=["learner_id", "misconception_id", "confidence", "frequency", "status"])
+            rows.clear()
+        if rec:
+            yield pd.DataFrame([(*key, *rec)], columns=["learner_id", "misconception_id", "confidence", "frequency", "status"])
+
+    e = events.filter("learner_id IS NOT NULL AND misconception_id IS NOT NULL AND wrong IS NOT NULL")
+    e = e.dropDuplicates(["learner_id", "misconception_id", "at", "event_id"])
+    return e.repartition("learner_id", "misconception_id").sortWithinPartitions("learner_id", "misconception_id", "at", "event_id").select("learner_id", "misconception_id", "wrong").mapInPandas(run, "learner_id string, misconception_id string, confidence double, frequency int, status string")
