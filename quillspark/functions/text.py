@@ -194,7 +194,7 @@ def is_title_block(text: Column) -> Column:
 
 
 def is_markdown_table(text: Column) -> Column:
-    lines = F.filter(F.transform(F.split(text, r"\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(text, r"\n"), lambda x: F.trim(x)), lambda x: x != "")
     piped = F.size(F.filter(lines, lambda x: F.contains(x, F.lit("|"))))
     return (piped >= 2) & (F.exists(lines, lambda x: x.rlike(r"^\|[\s\-:|]+\|$")) | (piped >= 0.6 * F.size(lines)))
 
@@ -222,7 +222,7 @@ def markdown_table(matrix: Column) -> Column:
 
 
 def options_clean(options: Column) -> Column:
-    return F.filter(F.transform(options, F.trim), lambda x: x.isNotNull() & (x != ""))
+    return F.filter(F.transform(options, lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != ""))
 
 
 def unit_interval(raw: Column, default: float = 0.5) -> Column:

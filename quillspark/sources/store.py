@@ -8,10 +8,11 @@ from pyspark.sql.types import StringType, StructType
 
 
 def read_records(spark: SparkSession, path: str, schema: StructType) -> tuple[DataFrame, DataFrame]:
-    """(records, corrupt): JSON files, one record each or a line; a record that does not parse is set aside whole."""
+    """(records, corrupt): JSON files with a record a line; one that does not parse is set aside whole, with its file."""
     s = StructType(list(schema.fields)).add("_corrupt_record", StringType())
-    raw = spark.read.schema(s).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path).withColumn("__file", F.input_file_name())
-    return raw.filter("_corrupt_record IS NULL").drop("_corrupt_record", "__file"), raw.filter("_corrupt_record IS NOT NULL").select("__file", "_corrupt_record")
+    lines = spark.read.text(path, recursiveFileLookup=True).filter(F.trim("value") != "").withColumn("file", F.input_file_name())
+    raw = lines.withColumn("r", F.from_json("value", s, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}))
+    return raw.filter("r._corrupt_record IS NULL").select("r.*").drop("_corrupt_record"), raw.filter("r._corrupt_record IS NOT NULL").select("file", F.col("value").alias("record"))
 
 
 def write_records(df: DataFrame, path: str, by: list[str] | None = None) -> None:
