@@ -230,7 +230,7 @@ def _breaks_off(text: str, options: list[str] | None, total: np.ndarray, end: np
         k = 0 if total[0, a] <= total[1, b] else 1
         seen, ended = total[k, (a, b)[k]], end[k, (a, b)[k]]
         if seen >= (8 if n > 1 else 4):
-            return bool(ended < 0.12 * seen)
+            return bool(ended < 0.05 * seen)
     return w[-1] not in "#N"  # a word that occurs nowhere else was cut
 
 

@@ -23,6 +23,7 @@ SLOTS = 1 << 20  # of the word frequencies that order words by rarity: a fixed s
 GROUPS = 1024
 BLOCK = 4096
 FANOUT = 16
+MOST_COPIES = 1000  # equal records up to which all their pairs are written out
 SMALL = 48  # up to so many points a tree is a single leaf
 
 
@@ -217,14 +218,22 @@ class NearDuplicates:
         both = both.filter(F.col("common") >= threshold * (F.size("words_a") + F.size("words_b") - F.col("common")))
         self.pairs = stored(both.select("key_a", "key_b", (F.col("common") / (F.size("words_a") + F.size("words_b") - F.col("common"))).alias("similarity")))
 
-    def id_pairs(self) -> DataFrame:
-        """(id_a, id_b) of all different ids, id_a < id_b, copies within a class included."""
-        m = lambda x: self.members.select(F.col("key").alias(f"key_{x}"), F.col("id").alias(f"id_{x}"))
-        far = self.pairs.join(m("a"), "key_a").join(m("b"), "key_b").filter("id_a != id_b").select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"))
-        several = self.members.groupBy("key").count().filter("count > 1").select(F.col("key").alias("key_a"))
-        own = m("a").join(several, "key_a", "left_semi")
-        near = own.join(m("b"), F.col("key_a") == F.col("key_b")).filter("id_a < id_b").select("id_a", "id_b")
-        return far.unionByName(near).distinct()
+    def id_pairs(self, most_copies: int = MOST_COPIES) -> DataFrame:
+        """(id_a, id_b) of all different ids, id_a < id_b, copies within a class included.
+
+        A class of more than ``most_copies`` ids is not multiplied out, as its pairs grow with the square: its
+        least id stands for it in all pairs, and each other id is paired with that one, so no link is lost and the
+        rest follows from membership.
+        """
+        sizes = self.members.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("rep")).filter("n > 1")
+        m = self.members.join(sizes, "key", "left").withColumn("large", F.coalesce(F.col("n") > most_copies, F.lit(False)))
+        shown = stored(m.filter(~F.col("large") | (F.col("id") == F.col("rep"))).select("key", "id", (F.col("n") > 1).alias("several")))
+        side = lambda x: shown.select(F.col("key").alias(f"key_{x}"), F.col("id").alias(f"id_{x}"))
+        far = self.pairs.join(side("a"), "key_a").join(side("b"), "key_b").filter("id_a != id_b").select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"))
+        own = shown.filter("several").select(F.col("key").alias("key_a"), F.col("id").alias("id_a"))
+        near = own.join(own.select(F.col("key_a").alias("key_b"), F.col("id_a").alias("id_b")), F.col("key_a") == F.col("key_b")).filter("id_a < id_b").select("id_a", "id_b")
+        star = m.filter(F.col("large") & (F.col("id") != F.col("rep"))).select(F.col("rep").alias("id_a"), F.col("id").alias("id_b"))
+        return far.unionByName(near).unionByName(star).distinct()
 
     def groups(self) -> DataFrame:
         """One row per (id, class): id, class_id, group_id (least class of its connected component), links (classes similar to its own)."""

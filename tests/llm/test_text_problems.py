@@ -118,6 +118,9 @@ def test_near_duplicates_are_all_pairs_above_the_threshold(spark, threshold):
     ids = [k for k, v in texts.items() if words(v)]
     want = {(min(a, b), max(a, b)) for i, a in enumerate(ids) for b in ids[:i] if jaccard(texts[a], texts[b]) >= threshold}
     assert {tuple(r) for r in near.id_pairs().collect()} == want
+    star = {tuple(r) for r in near.id_pairs(most_copies=5).collect()}
+    hot = sorted(k for k in ids if k.startswith("hot"))
+    assert star == {p for p in want if not set(p) & set(hot)} | {(hot[0], h) for h in hot[1:]} | ({(hot[0], "short")} & want)
     parent = {k: k for k in ids}
 
     def root(x):
