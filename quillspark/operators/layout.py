@@ -135,3 +135,83 @@ def chunks(blocks: DataFrame, min_tokens: int = MIN_TOKENS, max_tokens: int = MA
     b = b.withColumn("change", change).withColumn("run", F.sum("change").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     rows = b.select(F.col("document_id").cast("string").alias("document_id"), F.col("run").cast("long").alias("run"), F.col("position").cast("long").alias("position"), F.coalesce("is_heading", F.lit(False)).alias("h"), token_estimate(t).alias("t"))
     return rows.repartition("document_id", "run").sortWithinPartitions("document_id", "run", "position").mapInArrow(_chunker(min_tokens, max_tokens), "document_id string, run bigint, first_position bigint, last_position bigint, blocks int, tokens bigint")
+
+
+def captions(assets: DataFrame, blocks: DataFrame, reach: float = 50.0) -> DataFrame:
+    """assets (document_id, page, asset_id, y0, y1) with ``caption_id``: the first block in reading order that begins like a caption and lies within ``reach`` above or below.
+
+    blocks (document_id, page, block_id, position, y0, y1, text). An equi-join on the page with a range condition.
+    """
+    c = blocks.filter(F.trim("text").rlike(r"(?i)^(figure|fig\.|table)\s+[0-9A-Za-z]+")).select("document_id", "page", "block_id", "position", F.col("y0").alias("by0"), F.col("y1").alias("by1"))
+    near = assets.join(c, ["document_id", "page"]).filter((F.abs(F.col("by0") - F.col("y1")) <= reach) | (F.abs(F.col("y0") - F.col("by1")) <= reach))
+    best = near.groupBy("document_id", "page", "asset_id").agg(F.min_by("block_id", "position").alias("caption_id"))
+    return assets.join(best, ["document_id", "page", "asset_id"], "left")
+
+
+def ocr_blocks(words: DataFrame, scale: float = 1.0, line_gap: float = 15.0, block_gap: float = 25.0, low: float = 0.60) -> DataFrame:
+    """words (document_id, page, x0, y0, x1, y1, text, confidence) of one page each to blocks.
+
+    Words sorted by (y0, x0) join a line while they begin within ``line_gap`` of its first word; a line joins a block
+    while it begins within ``block_gap`` below the block's lowest edge. A page's words stream through one task.
+    """
+    out = "document_id string, page int, block int, text string, confidence double, low_confidence boolean, x0 double, y0 double, x1 double, y1 double"
+
+    def run(batches):
+        key, line, block, n = None, [], [], 0
+        done: list[tuple] = []
+
+        def close_block() -> None:
+            nonlocal block, n
+            if block:
+                n += 1
+                conf = sum(w[5] for w in block) / len(block)
+                done.append((*key, n, " ".join(w[4] for w in block), round(conf, 4), conf < low, *(f(w[i] for w in block) / scale for i, f in ((0, min), (1, min), (2, max), (3, max)))))
+            block = []
+
+        def close_line() -> None:
+            nonlocal line, block
+            if line and block and min(w[1] for w in line) - max(w[3] for w in block) >= block_gap * scale:
+                close_block()
+            block += line
+            line = []
+
+        def flush() -> pa.RecordBatch:
+            names = [c.split()[0] for c in out.split(", ")]
+            types = [pa.string(), pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.bool_()] + [pa.float64()] * 4
+            cols = list(zip(*done)) if done else [[]] * len(names)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
+
+        for b in batches:
+            for doc, page, *w in zip(*(b.column(i).to_pylist() for i in range(8))):
+                if (doc, page) != key:
+                    close_line()
+                    close_block()
+                    key, n = (doc, page), 0
+                if line and abs(w[1] - line[0][1]) >= line_gap * scale:
+                    close_line()
+                line.append(w)
+            if len(done) > 5000:
+                yield flush()
+                done.clear()
+        close_line()
+        close_block()
+        if done:
+            yield flush()
+
+    w = words.select(F.col("document_id").cast("string"), F.col("page").cast("int"), *[F.col(c).cast("double") for c in ("x0", "y0", "x1", "y1")], F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("confidence").cast("double"), F.lit(0.0)).alias("confidence"))
+    return w.repartition("document_id", "page").sortWithinPartitions("document_id", "page", "y0", "x0").mapInArrow(run, out)
+
+
+def page_types(pages: DataFrame, blank_ink: float = 0.005, garbled: float = 0.15, scanned_cover: float = 0.5) -> DataFrame:
+    """pages (.., chars, garbage, ink, cover, vectors) with ``page_type`` by the first rule: blank, hybrid, native, scanned."""
+    c, g, i, v = F.col("chars"), F.col("garbage"), F.col("ink"), F.col("cover")
+    kind = (
+        F.when((i < blank_ink) & (c < 10) & (F.col("vectors") < 5), "blank")
+        .when((c > 0) & (g < garbled) & (v >= 0.25), "hybrid")
+        .when((c > 0) & (g < garbled), "native")
+        .when((c == 0) & (v >= scanned_cover), "scanned")
+        .when((c >= 50) & (g >= garbled), "scanned")
+        .when(c > 0, "native")
+        .otherwise("scanned")
+    )
+    return pages.withColumn("page_type", kind)
