@@ -72,6 +72,7 @@ class Lexicon:
         self.counts, self.before, self.behind, self.total = counts, before, behind, total
         self.cost = {w: -math.log(n / total) for w, n in counts.items()}
         self.plain = {w for w, n in counts.items() if 10 * lower.get(w, 0) >= n}  # not names
+        self.longest = max((len(w) for w in self.plain if len(w) <= 64), default=0)  # of two words that could have run together
         self.rare = -math.log(max(1, unseen) / max(2, total))  # of a word too rare for the lexicon
         self.memo: dict[str, tuple[float, str] | None] = {}
 
@@ -185,7 +186,7 @@ def decode(tokens: list[tuple[str, bool]], lex: Lexicon) -> tuple[list[str], set
             cw = lex.known(low + core2.lower()) if core2 and not lead2 else None
             if cw is not None:
                 relax(i, i + 2, cw + STRAY_SPACE, lead + core + core2 + trail2, none)
-        if plain is None and len(core) >= 6 and core.isalpha() and core.islower():
+        if plain is None and 6 <= len(core) <= 2 * lex.longest and core.isalpha() and core.islower():
             for k in range(2, len(core) - 1):
                 a, b = lex.known(low[:k]), lex.known(low[k:])
                 if a is not None and b is not None:
