@@ -223,12 +223,12 @@ def top_09_next_question(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {STATES}, h AS (SELECT learner_id, concept_id, mastery / sum(mastery) OVER (PARTITION BY learner_id) AS p FROM states)
-SELECT learner_id, round(sum(CASE WHEN p > 0 THEN -p * log2(p) ELSE 0 END), 5) AS entropy FROM h GROUP BY 1""")
+SELECT learner_id, round(sum(CASE WHEN p > 0 THEN -p * log2(p) ELSE 0 END), 5) + 0.0::DOUBLE AS entropy FROM h GROUP BY 1""")
 def mth_01_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shannon entropy of each learner's mastery shares."""
     s = states(spark, sf_dir)
     total = s.groupBy("learner_id").agg(F.sum("mastery").alias("t"))
-    return s.join(total, "learner_id").groupBy("learner_id").agg(F.round(F.sum(L.plog2p(F.col("mastery") / F.col("t"))), 5).alias("entropy"))
+    return s.join(total, "learner_id").groupBy("learner_id").agg((F.round(F.sum(L.plog2p(F.col("mastery") / F.col("t"))), 5) + 0.0).alias("entropy"))
 
 
 @query(f"""WITH {STATES}, w AS (SELECT s.learner_id, s.concept_id, (1.0::DOUBLE - s.mastery) * (0.5::DOUBLE + 0.5::DOUBLE * 0.85::DOUBLE) + 0.1::DOUBLE AS w FROM states s)

@@ -97,7 +97,7 @@ x AS (SELECT q.tree, q.learner_id, q.c AS q, i.p, greatest(0.001::DOUBLE, least(
 z AS (SELECT *, sum(p * k) OVER (PARTITION BY tree, learner_id, q) AS ok FROM x)"""
 
 
-@query(f"""WITH RECURSIVE {_HYP} SELECT tree, learner_id, q AS concept_id, round(greatest(0, sum(-p * log2(p)) - max(ok) * sum(-(p * k / ok) * log2(p * k / ok)) - (1.0::DOUBLE - max(ok)) * sum(-(p * (1.0::DOUBLE - k) / (1.0::DOUBLE - ok)) * log2(p * (1.0::DOUBLE - k) / (1.0::DOUBLE - ok)))), 6) AS gain FROM z GROUP BY 1, 2, 3""")
+@query(f"""WITH RECURSIVE {_HYP} SELECT tree, learner_id, q AS concept_id, round(greatest(0, sum(-p * log2(p)) - max(ok) * sum(-(p * k / ok) * log2(p * k / ok)) - (1.0::DOUBLE - max(ok)) * sum(-(p * (1.0::DOUBLE - k) / (1.0::DOUBLE - ok)) * log2(p * (1.0::DOUBLE - k) / (1.0::DOUBLE - ok)))), 6) + 0.0::DOUBLE AS gain FROM z GROUP BY 1, 2, 3""")
 def mth_04_hypothesis_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Information gain of asking about a concept, over all concepts of the document as hypotheses of the learner's gap.
 
@@ -124,7 +124,7 @@ def mth_04_hypothesis_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
         return pr, -(a / pr * (sa + pa * F.log2(a / pr)) + b / pr * (sb + pb * F.log2(b / pr)))
 
     (ok, h_ok), (no, h_no) = spread(ka, kb), spread(1.0 - ka, 1.0 - kb)
-    return x.select("tree", "learner_id", F.col("q").alias("concept_id"), F.round(F.greatest(F.lit(0.0), -F.col("all") - ok * h_ok - no * h_no), 6).alias("gain"))
+    return x.select("tree", "learner_id", F.col("q").alias("concept_id"), (F.round(F.greatest(F.lit(0.0), -F.col("all") - ok * h_ok - no * h_no), 6) + 0.0).alias("gain"))
 
 
 @query(f"""WITH {STATES}, {ROSTER}, w AS (SELECT DISTINCT learner_id, question_id FROM interactions WHERE correctness < 0.5 AND learner_id IS NOT NULL AND question_id IS NOT NULL), n AS (SELECT class_id, count(*) AS n FROM roster GROUP BY 1)
@@ -198,7 +198,7 @@ def qc_14_section_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
 count(*) FILTER (time_taken_seconds < 0) AS negative_time, count(*) FILTER (len(coalesce(concept_ids, [])) = 0) AS no_concept, count(*) FILTER (n > 1) AS redelivered FROM i GROUP BY 1""")
 def qc_11_12_response_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Breaches of the response contract by source."""
-    i = table(spark, sf_dir, "interactions")
+    i = table(spark, sf_dir, "interactions").select("interaction_id", "source", "learner_id", "correctness", "time_taken_seconds", "concept_ids")
     n = i.groupBy("interaction_id").agg(F.count("*").alias("n")).filter("n > 1")
     x = i.join(n, "interaction_id", "left")
     c = F.count_if

@@ -113,7 +113,7 @@ def jn_01_prj_19_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT q.question_id, coalesce(c.n, 0) AS citations, c.page AS first_page, CASE WHEN coalesce(c.n, 0) = 0 THEN 'invalid' ELSE q.validation_status END AS served_status FROM q LEFT JOIN c USING (question_id)""")
 def jn_16_src_24_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions with their citations on known pages; those without any are not to be served."""
-    q = resolve.latest(table(spark, sf_dir, "questions"), ["question_id"], ["exposure_count", "created_at"])
+    q = resolve.latest(table(spark, sf_dir, "questions"), ["question_id"], ["exposure_count", "created_at"]).select("question_id", "validation_status")
     c = table(spark, sf_dir, "source_citations").filter("page IS NOT NULL").groupBy("question_id").agg(F.count("*").alias("n"), F.min("page").alias("page"))
     n = F.coalesce("n", F.lit(0))
     return q.join(c, "question_id", "left").select("question_id", n.alias("citations"), F.col("page").alias("first_page"), F.when(n == 0, "invalid").otherwise(F.col("validation_status")).alias("served_status"))
@@ -147,7 +147,7 @@ def agg_15_16_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions per concept, and how many are missing for a bank of 400."""
     q = resolve.latest(table(spark, sf_dir, "questions"), ["question_id"], ["exposure_count", "created_at"])
     n = q.select(F.explode(F.array_distinct("concept_ids")).alias("concept_id")).groupBy("concept_id").agg(F.count("*").alias("n"))
-    c = table(spark, sf_dir, "concepts")
+    c = table(spark, sf_dir, "concepts").select("concept_id")
     goal = max(1, min(4, 400 // max(1, c.count())))
     have = F.coalesce("n", F.lit(0))
     return c.join(n, "concept_id", "left").select("concept_id", have.alias("questions"), F.greatest(F.lit(0), F.lit(goal) - have).cast("long").alias("missing"))
