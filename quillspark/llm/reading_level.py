@@ -1,6 +1,7 @@
 """Reading level of each document, by harmonic iterations on a document-word graph.
 
-Documents and words are the nodes; an edge weighs the word's share of each sentence it stands in, times its rarity. Graded examples
+Documents and words are the nodes; an edge weighs the word's rarity within each sentence it stands in, every full
+sentence weighing the same. Graded examples
 are clamped to their level, and in each round every word takes the mean of its documents and every other document
 the mean of its words, so difficulty spreads from the examples over the whole corpus. The examples' edges together
 weigh as much as the corpus's, whatever its size. Word nodes are hashed into
@@ -27,17 +28,20 @@ SLOTS = 1 << 18
 LEVELS = ("primary", "middle", "secondary", "tertiary")
 ROUNDS, TOLERANCE = 12, 0.002
 COMMON = 0.005  # share of the documents at which a word carries half its weight
-PRIOR = 3.0  # documents' worth of the mean level that each word starts with
-_EDGES = "doc_id bigint, grade double, n_words int, lang string, slots array<int>, counts array<float>"
+SHORT = 4.0  # words from which a sentence counts in full
+PRIOR = 0.5  # full sentences' worth of the mean level that each word starts with
+_EDGES = "doc_id bigint, grade double, n_words int, lang string, slots array<int>, sentences array<int>"
 
 
 def _tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     memo: dict[str, int] = {}
     for b in batches:
-        n, langs, slots, counts = [], [], [], []
+        n, langs, slots, sentences = [], [], [], []
         for t in b.column(2).to_pylist():
             w = words(t)
-            c: dict[int, float] = {}
+            c: list[int] = []
+            of: list[int] = []
+            k = 0
             for sentence in SENTENCE.split(t) if t else ():
                 said = words(sentence)
                 for word in said:
@@ -46,12 +50,14 @@ def _tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         if len(memo) > 500_000:
                             memo.clear()
                         s = memo[word] = xxhash.xxh64_intdigest(word.encode()) & (SLOTS - 1)
-                    c[s] = c.get(s, 0.0) + 1.0 / len(said)
+                    c.append(s)
+                    of.append(k)
+                k += bool(said)
             n.append(len(w))
             langs.append(language(w))
-            slots.append(list(c))
-            counts.append(list(c.values()))
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int32()), pa.array(langs, pa.string()), pa.array(slots, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.float32()))], names=["doc_id", "grade", "n_words", "lang", "slots", "counts"])
+            slots.append(c)
+            sentences.append(of)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int32()), pa.array(langs, pa.string()), pa.array(slots, pa.list_(pa.int32())), pa.array(sentences, pa.list_(pa.int32()))], names=["doc_id", "grade", "n_words", "lang", "slots", "sentences"])
 
 
 def _flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -62,9 +68,16 @@ def _flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def _free_scores(b: pa.RecordBatch, level: np.ndarray, rarity: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Weighted means of the documents' words; the slots, documents and weights of all edges."""
     slots, off = _flat(b.column(4))
-    counts, _ = _flat(b.column(5))
-    doc = np.repeat(np.arange(len(off) - 1), np.diff(off))
-    w = counts * rarity[slots]
+    sentence, _ = _flat(b.column(5))
+    m = np.diff(off)
+    doc = np.repeat(np.arange(len(m)), m)
+    many = np.zeros(len(m), np.int64)
+    many[m > 0] = sentence[off[1:][m > 0] - 1] + 1
+    of = sentence + (np.cumsum(many) - many)[doc]
+    w = rarity[slots]
+    total = np.bincount(of, w)
+    full = np.minimum(1.0, np.bincount(of) / SHORT)  # a heading of a word or two is no sentence
+    w = w * (full / np.where(total > 0, total, 1.0))[of]
     top = np.bincount(doc, w * level[slots], minlength=len(off) - 1)
     all_ = np.bincount(doc, w, minlength=len(off) - 1)
     return np.divide(top, all_, out=np.full(len(all_), np.nan), where=all_ > 0), slots, doc, w
@@ -119,7 +132,7 @@ def reading_levels(docs: DataFrame, graded: DataFrame, doc_id: Column, text: Col
     g = graded.select(F.lit(None).cast("long").alias("doc_id"), grade.cast("double").alias("grade"), sample_text.cast("string").alias("text")).filter("grade >= 0 AND text IS NOT NULL")
     edges = stored(a.unionByName(g).mapInArrow(_tokenise, _EDGES))
     mine = edges.filter((F.col("lang") == lang) & (F.size("slots") > 0))
-    df = mine.select(F.explode("slots").alias("slot")).groupBy("slot").agg(F.count("*").alias("n")).toPandas()  # at most SLOTS rows
+    df = mine.select(F.explode(F.array_distinct("slots")).alias("slot")).groupBy("slot").agg(F.count("*").alias("n")).toPandas()  # at most SLOTS rows
     total, examples = mine.agg(F.count("*"), F.count("grade")).first()
     pull = max(1.0, (total - examples) / max(1, examples))
     seen = np.zeros(SLOTS)
@@ -132,7 +145,7 @@ def reading_levels(docs: DataFrame, graded: DataFrame, doc_id: Column, text: Col
     for r in range(rounds):
         sums = mine.mapInArrow(_round(sc.broadcast((level_of, rarity, r == 0, pull))), "slot int, top double, total double").groupBy("slot").agg(F.sum("top").alias("top"), F.sum("total").alias("total")).toPandas()  # at most SLOTS rows
         k = sums["slot"].to_numpy(np.int64)
-        weight = PRIOR * rarity
+        weight = np.full(SLOTS, PRIOR)
         top = weight * mean
         top[k] += sums["top"].to_numpy()
         weight[k] += sums["total"].to_numpy()
