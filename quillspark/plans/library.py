@@ -279,7 +279,8 @@ _RANK = "SELECT query, id, round(score, 9) AS score, rank FROM (SELECT *, CAST(r
 
 def _chunks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     d, q = table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")
-    return retrieval.tokenised(d, F.col("doc_id"), F.col("text")), retrieval.tokenised(q, F.col("item_id"), F.col("text"))
+    # Tokens are read by several passes, so they are made once.
+    return stored(retrieval.tokenised(d, F.col("doc_id"), F.col("text"))), stored(retrieval.tokenised(q, F.col("item_id"), F.col("text")))
 
 
 def _scored(df: DataFrame) -> DataFrame:
