@@ -6,7 +6,8 @@ are clamped to their level, and in each round every word takes the mean of its d
 the mean of its words, so difficulty spreads from the examples over the whole corpus. The examples' edges together
 weigh as much as the corpus's, whatever its size. Word nodes are hashed into
 SLOTS places: a round sends one vector of that size to the tasks, and each task adds up its documents into one, so
-edges are never shuffled. The examples' own free scores give the cuts between the levels.
+edges are never shuffled. The examples' own free scores give the cuts between the levels, which settle where the
+corpus is thinnest near them.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ SLOTS = 1 << 18
 LEVELS = ("primary", "middle", "secondary", "tertiary")
 ROUNDS, TOLERANCE = 12, 0.002
 COMMON = 0.005  # share of the documents at which a word carries half its weight
+BIN, ENOUGH, FULL_WORDS = 0.01, 300, 80  # of the corpus's scores, by which the cuts are settled
 SHORT = 4.0  # words from which a sentence counts in full
 PRIOR = 0.5  # full sentences' worth of the mean level that each word starts with
 _EDGES = "doc_id bigint, grade double, n_words int, lang string, slots array<int>, sentences array<int>"
@@ -116,6 +118,31 @@ def _cuts(scores: np.ndarray, grades: np.ndarray) -> np.ndarray:
     return np.maximum.accumulate(np.array(cuts))
 
 
+def _settle(cuts: np.ndarray, scores: np.ndarray, grades: np.ndarray, bins: np.ndarray) -> np.ndarray:
+    """Move each cut to where the corpus is thinnest between the examples' means; bins count documents by BIN.
+
+    A cut stays within the middle three fifths between the two means, and where it is when the corpus is too small
+    to tell; of equally thin places the nearest to the examples' cut counts.
+    """
+    width = np.arange(-8, 9)
+    kernel = np.exp(-0.5 * (width / 2.5) ** 2)
+    smooth = np.convolve(bins, kernel / kernel.sum(), "same")
+    at = (np.arange(len(bins)) + 0.5) * BIN
+    out = cuts.copy()
+    for g in range(len(cuts)):
+        if not (grades == g).any() or not (grades == g + 1).any():
+            continue
+        low, high = scores[grades == g].mean(), scores[grades == g + 1].mean()
+        inside = (at >= low + 0.2 * (high - low)) & (at <= high - 0.2 * (high - low))
+        around = (at >= low - 0.2) & (at <= high + 0.2)
+        if not inside.any() or bins[around].sum() < ENOUGH:
+            continue
+        least = smooth[inside].min()
+        thin = at[inside][smooth[inside] <= least + 1e-9]
+        out[g] = thin[np.argmin(np.abs(thin - cuts[g]))]
+    return np.maximum.accumulate(out)
+
+
 def reading_levels(docs: DataFrame, graded: DataFrame, doc_id: Column, text: Column, sample_text: Column, level: Column, lang: str = "en", rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, n_words, lang, difficulty, reading_level), one row per document row; difficulty runs from 0 to 3.
 
@@ -176,7 +203,10 @@ def reading_levels(docs: DataFrame, graded: DataFrame, doc_id: Column, text: Col
     if not len(known):
         return out.select("doc_id", "n_words", "lang", F.lit(None).cast("double").alias("difficulty"), F.lit(None).cast("string").alias("reading_level"))
     x, y = known["free"].to_numpy(), known["grade"].to_numpy()
-    cuts = _cuts(x, y).tolist()
+    seen_at = scored.filter(f"grade IS NULL AND free IS NOT NULL AND n_words >= {FULL_WORDS}").groupBy(F.floor(F.col("free") / BIN).cast("int").alias("b")).agg(F.count("*").alias("n")).toPandas()  # at most len(LEVELS) / BIN rows
+    bins = np.zeros(int(len(LEVELS) / BIN) + 1)
+    bins[seen_at["b"].to_numpy(np.int64)] = seen_at["n"].to_numpy()
+    cuts = _settle(_cuts(x, y), x, y, bins).tolist()
     # Difficulty: cuts map to 0.5, 1.5 and 2.5, linear between and beyond them.
     lo, hi = float(np.mean(x[y == y.min()])), float(np.mean(x[y == y.max()]))
     knots = [min(lo, cuts[0] - 1e-6), *cuts, max(hi, cuts[-1] + 1e-6)]
