@@ -177,7 +177,7 @@ def reading_levels(docs: DataFrame, graded: DataFrame, doc_id: Column, text: Col
         top[k] += sums["top"].to_numpy()
         weight[k] += sums["total"].to_numpy()
         nxt = top / weight
-        moved = np.abs(nxt - level_of)[seen > 0].max(initial=0.0)
+        moved = float(np.average(np.abs(nxt - level_of), weights=seen)) if seen.any() else 0.0  # of a word met at random
         level_of = nxt
         if r and moved < TOLERANCE:
             break
