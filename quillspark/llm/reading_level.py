@@ -27,13 +27,15 @@ from quillspark.session import stored
 SENTENCE = re.compile(r"[.!?]+\s|[\r\n]+")
 SLOTS = 1 << 18
 LEVELS = ("primary", "middle", "secondary", "tertiary")
-ROUNDS, TOLERANCE = 12, 0.002
+ROUNDS, TOLERANCE = 12, 0.003
 COMMON = 0.005  # share of the documents at which a word carries half its weight
 BIN, ENOUGH, FULL_WORDS = 0.01, 300, 80  # of the corpus's scores, by which the cuts are settled
 SHORT = 4.0  # words from which a sentence counts in full
 PRIOR = 0.5  # full sentences' worth of the mean level that each word starts with
 _EDGES = "doc_id bigint, grade double, n_words int, lang string, slots array<int>, sentences array<int>"
 
+_WEIGHED = "doc_id bigint, grade double, n_words int, lang string, slots array<int>, weights array<float>"
+
 
 def _tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     memo: dict[str, int] = {}
@@ -67,19 +69,37 @@ def _flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return col.values.to_numpy(zero_copy_only=False)[off[0] : off[-1]], off - off[0]
 
 
-def _free_scores(b: pa.RecordBatch, level: np.ndarray, rarity: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _weigher(shared):
+    """Edges of words by sentence -> distinct edges of a document with their weights, which no round changes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rarity = shared.value
+        for b in batches:
+            slots, off = _flat(b.column(4))
+            sentence, _ = _flat(b.column(5))
+            m = np.diff(off)
+            doc = np.repeat(np.arange(len(m)), m)
+            many = np.zeros(len(m), np.int64)
+            many[m > 0] = sentence[off[1:][m > 0] - 1] + 1
+            of = sentence + (np.cumsum(many) - many)[doc]
+            w = rarity[slots]
+            total = np.bincount(of, w)
+            full = np.minimum(1.0, np.bincount(of) / SHORT)  # a heading of a word or two is no sentence
+            w = w * (full / np.where(total > 0, total, 1.0))[of]
+            pair, at = np.unique(doc * np.int64(SLOTS) + slots, return_inverse=True)
+            weight = np.bincount(at, w, minlength=len(pair)).astype(np.float32)
+            ends = np.searchsorted(pair // SLOTS, np.arange(len(m) + 1)).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(v)) for v in ((pair % SLOTS).astype(np.int32), weight)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), b.column(3), *lists], names=["doc_id", "grade", "n_words", "lang", "slots", "weights"])
+
+    return run
+
+
+def _free_scores(b: pa.RecordBatch, level: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Weighted means of the documents' words; the slots, documents and weights of all edges."""
     slots, off = _flat(b.column(4))
-    sentence, _ = _flat(b.column(5))
-    m = np.diff(off)
-    doc = np.repeat(np.arange(len(m)), m)
-    many = np.zeros(len(m), np.int64)
-    many[m > 0] = sentence[off[1:][m > 0] - 1] + 1
-    of = sentence + (np.cumsum(many) - many)[doc]
-    w = rarity[slots]
-    total = np.bincount(of, w)
-    full = np.minimum(1.0, np.bincount(of) / SHORT)  # a heading of a word or two is no sentence
-    w = w * (full / np.where(total > 0, total, 1.0))[of]
+    w, _ = _flat(b.column(5))
+    doc = np.repeat(np.arange(len(off) - 1), np.diff(off))
     top = np.bincount(doc, w * level[slots], minlength=len(off) - 1)
     all_ = np.bincount(doc, w, minlength=len(off) - 1)
     return np.divide(top, all_, out=np.full(len(all_), np.nan), where=all_ > 0), slots, doc, w
@@ -87,10 +107,10 @@ def _free_scores(b: pa.RecordBatch, level: np.ndarray, rarity: np.ndarray) -> tu
 
 def _round(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level, rarity, first, pull = shared.value
+        level, first, pull = shared.value
         top, all_ = np.zeros(SLOTS), np.zeros(SLOTS)
         for b in batches:
-            score, slots, doc, w = _free_scores(b, level, rarity)
+            score, slots, doc, w = _free_scores(b, level)
             grade = b.column(1).to_numpy(zero_copy_only=False).astype(float)
             graded = ~np.isnan(grade)
             score = np.where(graded, grade, score)
@@ -167,10 +187,11 @@ def reading_levels(docs: DataFrame, graded: DataFrame, doc_id: Column, text: Col
     # Common words tell little, and so do those of very few documents, such as names.
     share = np.maximum(seen, 1.0) / max(1, total)
     rarity = np.log1p(1.0 / share) * share / (share + COMMON)
+    mine = stored(mine.mapInArrow(_weigher(sc.broadcast(rarity)), _WEIGHED))
     mean = (len(LEVELS) - 1) / 2
     level_of, top, weight = np.full(SLOTS, mean), np.full(SLOTS, mean), np.ones(SLOTS)
     for r in range(rounds):
-        sums = mine.mapInArrow(_round(sc.broadcast((level_of, rarity, r == 0, pull))), "slot int, top double, total double").groupBy("slot").agg(F.sum("top").alias("top"), F.sum("total").alias("total")).toPandas()  # at most SLOTS rows
+        sums = mine.mapInArrow(_round(sc.broadcast((level_of, r == 0, pull))), "slot int, top double, total double").groupBy("slot").agg(F.sum("top").alias("top"), F.sum("total").alias("total")).toPandas()  # at most SLOTS rows
         k = sums["slot"].to_numpy(np.int64)
         weight = np.full(SLOTS, PRIOR)
         top = weight * mean
@@ -181,12 +202,12 @@ def reading_levels(docs: DataFrame, graded: DataFrame, doc_id: Column, text: Col
         level_of = nxt
         if r and moved < TOLERANCE:
             break
-    shared = sc.broadcast((top, weight, rarity, pull))
+    shared = sc.broadcast((top, weight, pull))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tops, weights, rare, by = shared.value
+        tops, weights, by = shared.value
         for b in batches:
-            s, slots, doc, w = _free_scores(b, tops / weights, rare)
+            s, slots, doc, w = _free_scores(b, tops / weights)
             # An example's free score leaves out what it gave to its words itself.
             grade = b.column(1).to_numpy(zero_copy_only=False).astype(float)
             own = np.where(np.isnan(grade[doc]), 0.0, by * w)
@@ -194,10 +215,10 @@ def reading_levels(docs: DataFrame, graded: DataFrame, doc_id: Column, text: Col
             lone = np.divide(tops[slots] - np.where(own > 0, own * np.nan_to_num(grade[doc]), 0.0), rest)
             all_ = np.bincount(doc, w, minlength=len(s))
             s = np.divide(np.bincount(doc, w * np.clip(lone, 0, len(LEVELS) - 1), minlength=len(s)), all_, out=np.full(len(s), np.nan), where=all_ > 0)
-            ok = np.array([x == lang for x in b.column(3).to_pylist()], bool)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), b.column(3), pa.array(s, mask=~ok | np.isnan(s))], names=["doc_id", "grade", "n_words", "lang", "free"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), b.column(3), pa.array(s, mask=np.isnan(s))], names=["doc_id", "grade", "n_words", "lang", "free"])
 
-    scored = edges.mapInArrow(score, "doc_id bigint, grade double, n_words int, lang string, free double")
+    others = edges.filter((F.coalesce("lang", F.lit("")) != lang) | (F.size("slots") == 0)).select("doc_id", "grade", "n_words", "lang", F.lit(None).cast("double").alias("free"))
+    scored = mine.mapInArrow(score, "doc_id bigint, grade double, n_words int, lang string, free double").unionByName(others)
     known = scored.filter("grade IS NOT NULL AND free IS NOT NULL").select("grade", "free").toPandas()
     out = scored.filter("grade IS NULL")
     if not len(known):
