@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.words import language, words
+from quillspark.llm.words import WORD, language
 from quillspark.session import stored
 
 SENTENCE = re.compile(r"[.!?]+\s|[\r\n]+")
@@ -39,24 +39,27 @@ _WEIGHED = "doc_id bigint, grade double, n_words int, lang string, slots array<i
 
 def _tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     memo: dict[str, int] = {}
+
+    def place(word: str) -> int:
+        if len(memo) > 500_000:
+            memo.clear()
+        memo[word] = xxhash.xxh64_intdigest(word.encode()) & (SLOTS - 1)
+        return memo[word]
+
     for b in batches:
         n, langs, slots, sentences = [], [], [], []
         for t in b.column(2).to_pylist():
-            w = words(t)
+            w: list[str] = []
             c: list[int] = []
             of: list[int] = []
             k = 0
-            for sentence in SENTENCE.split(t) if t else ():
-                said = words(sentence)
-                for word in said:
-                    s = memo.get(word)
-                    if s is None:
-                        if len(memo) > 500_000:
-                            memo.clear()
-                        s = memo[word] = xxhash.xxh64_intdigest(word.encode()) & (SLOTS - 1)
-                    c.append(s)
-                    of.append(k)
-                k += bool(said)
+            for sentence in SENTENCE.split(t.lower()) if t else ():
+                said = WORD.findall(sentence)
+                if said:
+                    w += said
+                    c += [memo[x] if x in memo else place(x) for x in said]
+                    of += [k] * len(said)
+                    k += 1
             n.append(len(w))
             langs.append(language(w))
             slots.append(c)

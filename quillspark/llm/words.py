@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 #: Fixed pattern: a word is a maximal run of letters and digits.
 WORD = re.compile(r"[^\W_]+")
@@ -27,11 +28,11 @@ def words(text: str | None) -> list[str]:
 def language(tokens: list[str], least: float = 2.0) -> str | None:
     """The language with most stopword votes, a word shared by several counting less; None below ``least`` or in a tie."""
     votes: dict[str, float] = {}
-    for t in tokens:
-        langs = _VOTES.get(t)
-        if langs:
-            for lang in langs:
-                votes[lang] = votes.get(lang, 0.0) + 1.0 / len(langs)
+    counts = Counter(tokens)
+    for t in sorted(counts.keys() & _VOTES.keys()):
+        langs = _VOTES[t]
+        for lang in langs:
+            votes[lang] = votes.get(lang, 0.0) + counts[t] / len(langs)
     if not votes:
         return None
     ranked = sorted(votes.items(), key=lambda x: (-x[1], x[0]))
