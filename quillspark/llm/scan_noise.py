@@ -75,6 +75,7 @@ class Lexicon:
         self.longest = max((len(w) for w in self.plain if len(w) <= 64), default=0)  # of two words that could have run together
         self.rare = -math.log(max(1, unseen) / max(2, total))  # of a word too rare for the lexicon
         self.memo: dict[str, tuple[float, str] | None] = {}
+        self.parsed: dict[str, tuple] = {}
 
     def known(self, w: str) -> float | None:
         return self.cost.get(w)
@@ -115,10 +116,24 @@ _PUNCT = r"[\s.,;:!?\"'’‘“”«»()\[\]{}…–—‐‑­¬/|•·*=-]"
 _CORE = re.compile(rf"^({_PUNCT}*)(.*?)({_PUNCT}*)$", re.S)
 
 
+def _parts(token: str, lex: Lexicon) -> tuple:
+    """(lead, core, trail, core in small letters, cost if known, number, odd, ends a sentence); kept, as tokens recur."""
+    got = lex.parsed.get(token)
+    if got is None:
+        lead, core, trail = _CORE.match(token).groups()
+        low = core.lower()
+        number = not core or low.replace(".", "").replace(",", "").replace(":", "").isdigit()
+        odd = bool(re.search(r"\d|[^\w'’.\-‐‑/@&:]", core) and re.search(r"[^\W\d_]", core))
+        if len(lex.parsed) > 200_000:
+            lex.parsed.clear()
+        got = lex.parsed[token] = (lead, core, trail, low, lex.known(low), number, odd, bool(re.search(r"[.!?]['\"”’)]*$", token)))
+    return got
+
+
 def decode(tokens: list[tuple[str, bool]], lex: Lexicon) -> tuple[list[str], set[str]]:
     """Cheapest path over (token, whether a line ends behind it): the repaired tokens and the kinds of noise met."""
     n = len(tokens)
-    parts = [_CORE.match(t).groups() for t, _ in tokens]
+    parts = [_parts(t, lex) for t, _ in tokens]
     best: list[float] = [0.0] + [math.inf] * n
     back: list[tuple[int, str, frozenset]] = [(0, "", frozenset())] * (n + 1)
     none, mis, hyp = frozenset(), frozenset({"misread"}), frozenset({"hyphen_break"})
@@ -132,14 +147,11 @@ def decode(tokens: list[tuple[str, bool]], lex: Lexicon) -> tuple[list[str], set
         return word.upper() if len(model) > 1 and model.isupper() else word[:1].upper() + word[1:] if model[:1].isupper() else word
 
     for i in range(n):
-        lead, core, trail = parts[i]
+        lead, core, trail, low, plain, number, odd, ends = parts[i]
         token = tokens[i][0]
-        low = core.lower()
-        plain = lex.known(low)
-        if not core or low.replace(".", "").replace(",", "").replace(":", "").isdigit():
+        if number:
             relax(i, i + 1, 5.0, token, none)
         else:
-            odd = re.search(r"\d|[^\w'’.\-‐‑/@&:]", core) and re.search(r"[^\W\d_]", core)
             if plain is not None:
                 relax(i, i + 1, plain, token, none)
             elif "-" in core or "‐" in core:
@@ -158,12 +170,11 @@ def decode(tokens: list[tuple[str, bool]], lex: Lexicon) -> tuple[list[str], set
                     if None not in fixed and fixed != halves:
                         relax(i, i + 1, lex.rare + CONFUSION, lead + shaped(core, "-".join(fixed)) + trail, mis)
             # Kept as an unknown word; letters mixed with digits or signs were misrecognised.
-            strange = bool(odd) and bool(re.search(r"[^\W\d_].*[^\w'’.\-‐‑/@&:].*[^\W\d_]|[^\W\d_]\d[^\W\d_]", core))
+            strange = odd and bool(re.search(r"[^\W\d_].*[^\w'’.\-‐‑/@&:].*[^\W\d_]|[^\W\d_]\d[^\W\d_]", core))
             relax(i, i + 1, lex.rare + (2.0 if name else 6.0) + (6.0 if odd else 0.0), token, mis if strange else none)
         # A part that a hyphen cut off, before a line's end or a space in its place.
         if i + 1 < n and core and trail and trail[-1] in HYPHENS and len(trail.rstrip(HYPHENS)) == 0:
-            lead2, core2, trail2 = parts[i + 1]
-            low2 = core2.lower()
+            lead2, core2, trail2, low2 = parts[i + 1][:4]
             if core2 and core2[:1].islower() and not lead2.strip():
                 extra = HYPHEN if tokens[i][1] else SPACED_HYPHEN
                 whole, compound = low + low2, f"{low}-{low2}"
@@ -182,8 +193,8 @@ def decode(tokens: list[tuple[str, bool]], lex: Lexicon) -> tuple[list[str], set
                         relax(i, i + 2, lex.rare + extra, f"{lead}{core}{core2}{trail2}", hyp)
         # A stray space inside a word; two words run together.
         if i + 1 < n and core and not trail and plain is None:
-            lead2, core2, trail2 = parts[i + 1]
-            cw = lex.known(low + core2.lower()) if core2 and not lead2 else None
+            lead2, core2, trail2, low2 = parts[i + 1][:4]
+            cw = lex.known(low + low2) if core2 and not lead2 else None
             if cw is not None:
                 relax(i, i + 2, cw + STRAY_SPACE, lead + core + core2 + trail2, none)
         if plain is None and 6 <= len(core) <= 2 * lex.longest and core.isalpha() and core.islower():
@@ -191,7 +202,7 @@ def decode(tokens: list[tuple[str, bool]], lex: Lexicon) -> tuple[list[str], set
                 a, b = lex.known(low[:k]), lex.known(low[k:])
                 if a is not None and b is not None:
                     relax(i, i + 1, a + b + RUN_TOGETHER, f"{lead}{core[:k]} {core[k:]}{trail}", none)
-        start_of_sentence = bool(re.search(r"[.!?]['\"”’)]*$", token)) or not core and start_of_sentence
+        start_of_sentence = ends or not core and start_of_sentence
     out: list[str] = []
     kinds: set[str] = set()
     j = n
