@@ -74,6 +74,7 @@ class Lexicon:
         self.plain = {w for w, n in counts.items() if 10 * lower.get(w, 0) >= n}  # not names
         self.longest = max((len(w) for w in self.plain if len(w) <= 64), default=0)  # of two words that could have run together
         self.rare = -math.log(max(1, unseen) / max(2, total))  # of a word too rare for the lexicon
+        self.sure = CONFUSION + min(self.cost.values(), default=0.0)
         self.memo: dict[str, tuple[float, str] | None] = {}
         self.parsed: dict[str, tuple] = {}
 
@@ -149,6 +150,11 @@ def decode(tokens: list[tuple[str, bool]], lex: Lexicon) -> tuple[list[str], set
     for i in range(n):
         lead, core, trail, low, plain, number, odd, ends = parts[i]
         token = tokens[i][0]
+        if plain is not None and plain <= lex.sure and not (trail and trail[-1] in HYPHENS):
+            # No correction can cost less than this frequent word itself, and no other edge begins here.
+            relax(i, i + 1, plain, token, none)
+            start_of_sentence = ends
+            continue
         if number:
             relax(i, i + 1, 5.0, token, none)
         else:
