@@ -24,6 +24,8 @@ SLOTS = 1 << 20  # of the end statistics: a fixed size, whatever the collection'
 MIN_RUN, MIN_WORDS, COVERAGE = 3, 5, 0.8
 # What stands for no answer.
 PLACEHOLDERS = "n a|na|n/a|null|none|nil|nan|tbd|tba|todo|blank|empty|undefined|missing|no answer|not available|not applicable|no response|unanswered|pending|xxx|lorem ipsum|placeholder|to be determined|to be added|answer here|insert answer".split("|")
+# Placeholders that are words as well, and so no defect where they stand among the options without brackets.
+_ALSO_OPTIONS = frozenset("none nil na undefined empty blank missing pending".split())
 # Stems of refusals; the verbs of each language join each of its openings.
 _CANNOT = {
     "en": (
@@ -122,9 +124,10 @@ def is_empty(answer: str | None, options: list[str] | None) -> bool:
     bare = answer.replace("​", "").replace("﻿", "").strip()
     if not words(bare):
         return True
-    if options and any(o is not None and o.strip() == bare for o in options):
+    said = " ".join(words(bare))
+    if said in _ALSO_OPTIONS and bare.isalpha() and options and any(o is not None and o.strip() == bare for o in options):
         return False
-    return " ".join(words(bare)) in PLACEHOLDERS
+    return said in PLACEHOLDERS
 
 
 def open_delimiter(text: str) -> bool:
@@ -178,8 +181,11 @@ def _count_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(s.astype(np.int32)), pa.array(total[k, s]), pa.array(end[k, s])], names=["k", "slot", "seen", "ended"])
 
     for b in batches:
-        for col in (0, 1):
-            for text in b.column(col).to_pylist():
+        answers, explanations, options = (b.column(k).to_pylist() for k in range(3))
+        # Options beside the answer are whole, and so tell how answers end.
+        beside = [o for a, given in zip(answers, options) for o in given or () if o != a]
+        for texts in (answers, explanations, beside):
+            for text in texts:
                 if not text:
                     continue
                 w, ends = _shapes(text)
@@ -204,12 +210,13 @@ def _breaks_off(text: str, options: list[str] | None, total: np.ndarray, end: np
         return False
     if options:
         kept = [o.strip() for o in options if o]
-        if bare in kept:
+        given = bare in kept
+        if given and len(words(bare)) == 1 and bare.isalnum():
             return False
         # Part of one of the options, up to what follows the cut.
         cut = bare.rstrip(" ,;:…-(").rstrip(".") if not bare.endswith(".") or bare.endswith("...") else bare
         cut = cut.replace("(", "").strip()
-        if any(len(o) > len(cut) and o.startswith(cut) and len(words(cut)) > 1 for o in kept):
+        if not given and any(len(o) > len(cut) and o.startswith(cut) and len(words(cut)) > 1 for o in kept):
             return True
     if open_delimiter(bare):
         return True
@@ -253,10 +260,9 @@ def _finder(total_end, min_run: int, coverage: float):
                     said = words(response)
                     refuses = next(refusals.iter(_spoken(response)), None) is not None
                     copies = len(said) >= MIN_WORDS and copied_share(auto, said, min_run) >= coverage
-                    given = field == "a" and options and response in options
-                    if refuses and not given:
+                    if refuses:
                         found.add("refusal")
-                    if copies and not given:
+                    if copies:
                         found.add("copies_question")
                     spoken_in = language(said)
                     if asked_in and spoken_in and asked_in != spoken_in:
@@ -279,12 +285,12 @@ def broken_pairs(df: DataFrame, min_run: int = MIN_RUN, coverage: float = COVERA
     Reads question_id, question_type, question_text, options, correct_answer and explanation; other columns are
     not read. Defined cases: a null question_id names the row's defects with a null id; a null or blank answer is
     ``empty``, a null or empty explanation no defect; a null prompt can be copied by nothing and has no language;
-    an answer that is one of the options is neither refusal, copy nor truncated; repeated rows count once; texts
-    are read whole; an empty table gives no row.
+    an answer that is one of the options is judged like any other, but that one word is never cut there, and words
+    such as None are no placeholders; repeated rows count once; texts are read whole; an empty table gives no row.
     """
     s = lambda c: F.col(c).cast("string").alias(c)
     rows = df.select(s("question_id"), s("question_type"), s("question_text"), F.col("options"), s("correct_answer"), s("explanation")).distinct()
-    counted = rows.select("correct_answer", "explanation").mapInArrow(_count_ends, "k int, slot int, seen bigint, ended bigint").groupBy("k", "slot").agg(F.sum("seen").alias("seen"), F.sum("ended").alias("ended"))
+    counted = rows.select("correct_answer", "explanation", F.col("options").cast("array<string>").alias("options")).mapInArrow(_count_ends, "k int, slot int, seen bigint, ended bigint").groupBy("k", "slot").agg(F.sum("seen").alias("seen"), F.sum("ended").alias("ended"))
     t = counted.toPandas()  # at most 2 * SLOTS rows
     tables = np.zeros((2, 2, SLOTS), np.int32)
     for n, c in enumerate(("seen", "ended")):

@@ -53,6 +53,25 @@ def test_broken_pairs_kinds_and_edges(spark):
     assert broken_pairs(df.limit(0)).collect() == []
 
 
+def test_broken_answers_that_are_options_too(spark):
+    whole = ["The rod keeps its heat", "The oil takes up the heat", "None of these", "None", "I don't know"]
+    asked = "How should the club account for a height that recovers late?"
+    bad = {
+        "no1": ("Regrettably I can't provide the worked steps.", "refusal"),
+        "no2": ("The model declined to answer.", "refusal"),
+        "copy": (asked, "copies_question"),
+        "cut1": ("The oil takes (up", "truncated"),
+        "cut2": ("It cannot be told from the", "truncated"),
+        "cut3": ("The oil takes up the he", "truncated"),
+        **{f"empty{i}": (x, "empty") for i, x in enumerate(("", "\u200b", "(blank)", "TBD", "N/A", "null", "..."))},
+    }
+    good = {"whole": whole[1], "none": "None", "these": "None of these", "letter": "A", "idk": "I don't know", "part": "The rod keeps"}
+    rows = [(k, "mcq", Q, [*whole, a], a, None, 0) for k, a in [*((k, a) for k, (a, _) in bad.items()), *good.items()]]
+    rows += [(f"f{i}", "mcq", Q, [*whole[:2], "The rod keeps"], whole[i % 2], None, 0) for i in range(30)]
+    got = {(r.question_id, r.defect) for r in broken_pairs(spark.createDataFrame(rows, PAIRS)).collect()}
+    assert got == {(k, d) for k, (_, d) in bad.items()}
+
+
 def test_delimiters_and_languages():
     assert open_delimiter("a (b [c]") and not open_delimiter("a) (b)")
     assert language(words("the rod is in the box and it was cold")) == "en"
