@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.session import cut, stored
@@ -23,7 +23,7 @@ SLOTS = 1 << 20  # of the word frequencies that order words by rarity: a fixed s
 GROUPS = 1024
 BLOCK = 4096
 FANOUT = 16
-MOST_COPIES = 1000  # equal records up to which all their pairs are written out
+PART = 1000  # ids of a class in one part, so that the pairs of a large class spread over tasks
 SMALL = 48  # up to so many points a tree is a single leaf
 
 
@@ -193,7 +193,7 @@ def _searcher(t: float):
 
 
 class NearDuplicates:
-    """``members`` (id, cid), ``classes`` (cid, words) of distinct word sets, ``pairs`` (a, b) of classes at least ``threshold`` similar (Jaccard).
+    """``members`` (id, cid, key, copy; ids of one copy have the same text), ``classes`` (cid, words) of distinct word sets, ``pairs`` (a, b) of classes at least ``threshold`` similar (Jaccard).
 
     Defined cases: null and empty texts, and texts without a word, are in no pair; rows with a null id are left
     out; an id with several texts takes part with each; repeated rows count once; equal word sets, whatever the
@@ -202,9 +202,9 @@ class NearDuplicates:
 
     def __init__(self, df: DataFrame, record_id: Column, text: Column, threshold: float = 0.75) -> None:
         sc = df.sparkSession.sparkContext
-        rows = df.select(record_id.cast("string").alias("id"), word_set(text.cast("string")).alias("words")).filter(F.col("id").isNotNull() & (F.size("words") > 0))
+        rows = df.select(record_id.cast("string").alias("id"), word_set(text.cast("string")).alias("words"), F.md5(text.cast("string")).alias("copy")).filter(F.col("id").isNotNull() & (F.size("words") > 0))
         rows = rows.withColumn("key", F.sha2(F.array_join("words", " "), 256)).withColumn("cid", F.xxhash64("key"))
-        self.members = stored(rows.select("id", "cid", "key").distinct())
+        self.members = stored(rows.select("id", "cid", "key", "copy").distinct())
         # The key keeps classes apart should two share a cid; pairs are verified on words in any case.
         self.classes = stored(rows.dropDuplicates(["key"]).select("cid", "key", "words"))
         hashed = self.classes.select("cid", F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
@@ -218,22 +218,30 @@ class NearDuplicates:
         both = both.filter(F.col("common") >= threshold * (F.size("words_a") + F.size("words_b") - F.col("common")))
         self.pairs = stored(both.select("key_a", "key_b", (F.col("common") / (F.size("words_a") + F.size("words_b") - F.col("common"))).alias("similarity")))
 
-    def id_pairs(self, most_copies: int = MOST_COPIES) -> DataFrame:
+    def id_pairs(self, most_copies: int | None = None) -> DataFrame:
         """(id_a, id_b) of all different ids, id_a < id_b, copies within a class included.
 
-        A class of more than ``most_copies`` ids is not multiplied out, as its pairs grow with the square: its
-        least id stands for it in all pairs, and each other id is paired with that one, so no link is lost and the
-        rest follows from membership.
+        The pairs of copies grow with the square of their number. A caller who does not want them names
+        ``most_copies``: where more ids than that have exactly the same text, the least stands for them in all pairs
+        and each other is paired with it alone. Different texts are never merged, even of the same words.
         """
-        sizes = self.members.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("rep")).filter("n > 1")
-        m = self.members.join(sizes, "key", "left").withColumn("large", F.coalesce(F.col("n") > most_copies, F.lit(False)))
-        shown = stored(m.filter(~F.col("large") | (F.col("id") == F.col("rep"))).select("key", "id", (F.col("n") > 1).alias("several")))
-        side = lambda x: shown.select(F.col("key").alias(f"key_{x}"), F.col("id").alias(f"id_{x}"))
-        far = self.pairs.join(side("a"), "key_a").join(side("b"), "key_b").filter("id_a != id_b").select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"))
-        own = shown.filter("several").select(F.col("key").alias("key_a"), F.col("id").alias("id_a"))
-        near = own.join(own.select(F.col("key_a").alias("key_b"), F.col("id_a").alias("id_b")), F.col("key_a") == F.col("key_b")).filter("id_a < id_b").select("id_a", "id_b")
-        star = m.filter(F.col("large") & (F.col("id") != F.col("rep"))).select(F.col("rep").alias("id_a"), F.col("id").alias("id_b"))
-        return far.unionByName(near).unionByName(star).distinct()
+        m, star = self.members, None
+        if most_copies is not None:
+            sizes = m.groupBy("key", "copy").agg(F.count("*").alias("n"), F.min("id").alias("rep")).filter(F.col("n") > most_copies)
+            m = stored(m.join(sizes, ["key", "copy"], "left"))
+            star = m.filter("id != rep").select(F.col("rep").alias("id_a"), F.col("id").alias("id_b"))
+            m = m.filter("rep IS NULL OR id = rep")
+        m = stored(m.select("key", "id").withColumn("parts", F.ceil(F.count("*").over(Window.partitionBy("key")) / PART).cast("int")).withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int")))
+        parts = m.groupBy("key").agg(F.first("parts").alias("parts"), F.count("*").alias("n"))
+        several = parts.filter("n > 1").select(F.col("key").alias("key_a"), F.col("key").alias("key_b"))
+        links = self.pairs.select("key_a", "key_b").unionByName(several)
+        for x in "ab":
+            links = links.join(parts.select(F.col("key").alias(f"key_{x}"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias(f"part_{x}")), f"key_{x}")
+        for x in "ab":
+            links = links.join(m.select(F.col("key").alias(f"key_{x}"), F.col("part").alias(f"part_{x}"), F.col("id").alias(f"id_{x}")), [f"key_{x}", f"part_{x}"])
+        # A class is linked with itself in both orders.
+        pairs = links.filter("id_a < id_b OR key_a != key_b AND id_a != id_b").select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"))
+        return (pairs if star is None else pairs.unionByName(star)).distinct()
 
     def groups(self) -> DataFrame:
         """One row per (id, class): id, class_id, group_id (least class of its connected component), links (classes similar to its own)."""
@@ -251,6 +259,6 @@ class NearDuplicates:
                 break
         links = both.groupBy("u").count().select(F.col("u").alias("key"), F.col("count").alias("links"))
         return (
-            self.members.join(label.select(F.col("u").alias("key"), F.col("l").alias("group_id")), "key", "left").join(links, "key", "left")
+            self.members.select("id", "key").distinct().join(label.select(F.col("u").alias("key"), F.col("l").alias("group_id")), "key", "left").join(links, "key", "left")
             .select("id", F.substring("key", 1, 16).alias("class_id"), F.substring(F.coalesce("group_id", "key"), 1, 16).alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))
         )

@@ -154,6 +154,24 @@ def test_near_duplicates_are_all_pairs_above_the_threshold(spark, threshold):
     assert all((groups[a] == groups[b]) == (root(a) == root(b)) for a in ids for b in ids[:40])
 
 
+def test_near_duplicates_of_large_classes_are_all_paired(spark):
+    rng = random.Random(11)
+    w = "one two three four five six".split()
+    texts = {f"q{i:04d}": " ".join(rng.sample(w, 6)) for i in range(700)} | {f"same{i:04d}": " ".join(w) for i in range(310)} | {"near": "one two three four five"}
+    near = NearDuplicates(spark.createDataFrame(list(texts.items()), "id string, text string"), F.col("id"), F.col("text"))
+    pairs = near.id_pairs()
+    assert pairs.count() == 1011 * 1010 // 2
+    assert pairs.filter("id_a = 'near' OR id_b = 'near'").count() == 1010
+    # A star is made of equal texts only.
+    few = {k: v for k, v in texts.items() if k == "near" or int(k[-4:]) < 9} | {"q0000": "six one two five four three", "q0001": "one one two three four five six"}
+    got = {tuple(r) for r in NearDuplicates(spark.createDataFrame(list(few.items()), "id string, text string"), F.col("id"), F.col("text")).id_pairs(most_copies=5).collect()}
+    held = {}
+    for k in few:
+        held.setdefault(few[k], []).append(k)
+    shown = sorted(x for ids in held.values() for x in (ids if len(ids) <= 5 else [min(ids)]))
+    assert got == {(a, b) for a in shown for b in shown if a < b} | {(min(ids), x) for ids in held.values() if len(ids) > 5 for x in ids if x != min(ids)}
+
+
 def test_near_duplicates_in_blocks_and_big_trees(spark, monkeypatch):
     """Every record shares a rare word, so that one tree is deep and cut into blocks."""
     import quillspark.llm.near_dup as nd
