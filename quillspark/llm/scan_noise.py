@@ -1,7 +1,7 @@
 """Noise in text from scanned pages.
 
-A lexicon of all the collection's words (a word must make up 1/2**18 of them, so it has at most 2**18 entries)
-scores a lattice over the de-lined character stream: known words, words put together over a hyphen or a stray
+A lexicon of all the collection's words (exact for those that make up 1/2**18 of them, so at most 2**18 entries; by
+hashed counts of a fixed size for all rarer ones, which never count a word too low) scores a lattice over the de-lined character stream: known words, words put together over a hyphen or a stray
 space, words that ran together, and words with a confused character are its edges, and the cheapest path is the
 repaired text. Running headers and page numbers are taken out first, and a dynamic programme over the remaining
 lines chooses the paragraph boundaries.
@@ -14,13 +14,16 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.session import stored
 
 LEXICON_SHARE = 1 << 18
+SLOTS = 1 << 20  # of the counts of rarer words: a fixed size, whatever the collection's
 KINDS = ("hyphen_break", "misread", "running_header", "page_number")
 # Characters that divide words at a line's end.
 HYPHENS = "-‐‑­¬"
@@ -68,32 +71,69 @@ def is_title(line: str) -> bool:
 
 
 class Lexicon:
-    def __init__(self, counts: dict[str, int], lower: dict[str, int], before: dict[str, int], behind: dict[str, int], total: int, unseen: int) -> None:
+    """Costs of words. ``rare``, where given, holds the hashed counts of words that are fewer than ``unseen``: quantity (as counts, lower, before, behind), table, slot."""
+
+    def __init__(self, counts: dict[str, int], lower: dict[str, int], before: dict[str, int], behind: dict[str, int], total: int, unseen: int, rare: np.ndarray | None = None) -> None:
+        self.hashed = rare
+        self.noise = float(rare[0, 0].sum()) / SLOTS if rare is not None else 0.0  # what other words add to a slot
         self.counts, self.before, self.behind, self.total = counts, before, behind, total
         self.cost = {w: -math.log(n / total) for w, n in counts.items()}
         self.plain = {w for w, n in counts.items() if 10 * lower.get(w, 0) >= n}  # not names
         self.longest = max((len(w) for w in self.plain if len(w) <= 64), default=0)  # of two words that could have run together
-        self.rare = -math.log(max(1, unseen) / max(2, total))  # of a word too rare for the lexicon
+        self.bar = -math.log(max(1, unseen) / max(2, total))  # of the rarest word counted exactly
+        self.rare = self.bar if rare is None else math.log(max(2, total))  # of a word met nowhere
         self.sure = CONFUSION + min(self.cost.values(), default=0.0)
         self.memo: dict[str, tuple[float, str] | None] = {}
         self.parsed: dict[str, tuple] = {}
 
-    def known(self, w: str) -> float | None:
-        return self.cost.get(w)
+    def _slots(self, w: str) -> tuple[int, int]:
+        h = xxhash.xxh64_intdigest(w.encode(), 42)
+        return h & (SLOTS - 1), (h >> 32) & (SLOTS - 1)
+
+    def _hashed(self, k: int, w: str) -> int:
+        """Of a word below the bar: quantity k, never too low."""
+        if self.hashed is None:
+            return 0
+        a, b = self._slots(w)
+        return int(min(self.hashed[k, 0, a], self.hashed[k, 1, b]))
+
+    def known(self, w: str, read: bool = True) -> float | None:
+        """The word's cost. One that was not read, but is put together, must stand out from what shares its slots."""
+        c = self.cost.get(w)
+        if c is None and self.hashed is not None:
+            n = self._hashed(0, w) - (0.0 if read else self.noise)
+            c = -math.log(n / self.total) if n >= (1 if read else 0.5) else None
+        return c
+
+    def is_plain(self, w: str) -> bool:
+        return w in self.plain or w not in self.cost and self.hashed is not None and 10 * self._hashed(1, w) >= self._hashed(0, w) > 0
+
+    def lone(self, w: str) -> bool:
+        """Whether the word is met once only, in a collection where that says little."""
+        return self.hashed is not None and w not in self.cost and self._hashed(0, w) == 1
+
+    def _numbered(self, exact: dict[str, int], k: int, w: str) -> bool:
+        if w in self.counts or self.hashed is None:
+            return exact.get(w, 0) >= 0.02 * self.counts.get(w, math.inf)
+        often = 0.02 * self._hashed(0, w)
+        return self._hashed(k, w) >= 3 + often + 3 * math.sqrt(often)  # beyond chance: page numbers stand beside rare words, too
 
     def expects_number(self, w: str) -> bool:
         """Whether numbers usually follow the word."""
-        return self.before.get(w, 0) >= 0.02 * self.counts.get(w, math.inf)
+        return self._numbered(self.before, 2, w)
 
     def takes_number(self, w: str) -> bool:
         """Whether numbers usually stand before the word."""
-        return self.behind.get(w, 0) >= 0.02 * self.counts.get(w, math.inf)
+        return self._numbered(self.behind, 3, w)
 
     def corrected(self, w: str) -> tuple[float, str] | None:
         """The best plain word one confusion away, with its cost."""
         if w in self.memo:
             return self.memo[w]
         best = None
+        own = self.known(w)
+        # A rarer word is worth a look only where it can cost less than w itself; a word counted exactly costs less than any.
+        rarer = [] if self.hashed is not None and (own is None or own > self.bar + CONFUSION) else None
         if 3 <= len(w) <= 40:
             for i in range(len(w)):
                 a, b = w[:i], w[i + 1 :]
@@ -106,6 +146,10 @@ class Lexicon:
                     c = self.cost.get(o)
                     if c is not None and o in self.plain and (best is None or c < best[0]):
                         best = (c, o)
+                    elif c is None and rarer is not None and best is None:
+                        rarer.append(o)
+        if best is None and rarer:
+            best = min(((c, o) for o in rarer if (c := self.known(o, read=False)) is not None and self.is_plain(o)), default=None)
         if len(self.memo) > 200_000:
             self.memo.clear()
         self.memo[w] = best
@@ -159,12 +203,12 @@ def decode(tokens: list[tuple[str, bool]], lex: Lexicon) -> tuple[list[str], set
             relax(i, i + 1, 5.0, token, none)
         else:
             if plain is not None:
-                relax(i, i + 1, plain, token, none)
+                relax(i, i + 1, plain + (6.0 if odd and low not in lex.cost else 0.0), token, none)
             elif "-" in core or "‐" in core:
                 pieces = [p for p in re.split(r"[-‐‑]", low) if p]
                 if len(pieces) > 1 and all(lex.known(p) is not None or p.isdigit() for p in pieces):
                     relax(i, i + 1, sum(lex.known(p) or 3.0 for p in pieces), token, none)
-            name = core[:1].isupper() and (plain is None or low not in lex.plain)
+            name = core[:1].isupper() and (plain is None or not lex.is_plain(low))
             if odd or not (name and not start_of_sentence):
                 fix = lex.corrected(low)
                 if fix is not None:
@@ -184,7 +228,7 @@ def decode(tokens: list[tuple[str, bool]], lex: Lexicon) -> tuple[list[str], set
             if core2 and core2[:1].islower() and not lead2.strip():
                 extra = HYPHEN if tokens[i][1] else SPACED_HYPHEN
                 whole, compound = low + low2, f"{low}-{low2}"
-                cw, cc = lex.known(whole), lex.known(compound)
+                cw, cc = lex.known(whole), lex.known(compound, read=False)
                 if cc is not None:
                     relax(i, i + 2, cc + COMPOUND, f"{lead}{core}-{core2}{trail2}", none)
                 if cw is not None:
@@ -198,16 +242,21 @@ def decode(tokens: list[tuple[str, bool]], lex: Lexicon) -> tuple[list[str], set
                     if cc is None and fix is None and "-" in core2:
                         relax(i, i + 2, lex.rare + extra, f"{lead}{core}{core2}{trail2}", hyp)
         # A stray space inside a word; two words run together.
-        if i + 1 < n and core and not trail and plain is None:
+        # (A word met once costs as much as an unknown one against these.)
+        single = plain is not None and low not in lex.cost and lex.lone(low)
+        less = lex.bar + 6.0 - plain if single else 0.0
+        rare = plain is None or low not in lex.cost
+        if i + 1 < n and core and not trail and rare:
             lead2, core2, trail2, low2 = parts[i + 1][:4]
-            cw = lex.known(low + low2) if core2 and not lead2 else None
-            if cw is not None:
-                relax(i, i + 2, cw + STRAY_SPACE, lead + core + core2 + trail2, none)
-        if plain is None and 6 <= len(core) <= 2 * lex.longest and core.isalpha() and core.islower():
+            cw = lex.known(low + low2, read=False) if core2 and not lead2 else None
+            if cw is not None and (low + low2 in lex.cost or cw < lex.rare - 0.5 and low2 not in lex.cost):  # met more than once, and not from an ordinary word
+                relax(i, i + 2, cw + STRAY_SPACE - less, lead + core + core2 + trail2, none)
+        if rare and 6 <= len(core) <= 2 * lex.longest and core.isalpha() and core.islower():
             for k in range(2, len(core) - 1):
-                a, b = lex.known(low[:k]), lex.known(low[k:])
+                # Halves must be counted exactly: together they cost too much else.
+                a, b = lex.cost.get(low[:k]), lex.cost.get(low[k:])
                 if a is not None and b is not None:
-                    relax(i, i + 1, a + b + RUN_TOGETHER, f"{lead}{core[:k]} {core[k:]}{trail}", none)
+                    relax(i, i + 1, a + b + RUN_TOGETHER - less, f"{lead}{core[:k]} {core[k:]}{trail}", none)
         start_of_sentence = ends or not core and start_of_sentence
     out: list[str] = []
     kinds: set[str] = set()
@@ -416,8 +465,8 @@ def repair(text: str | None, lex: Lexicon) -> tuple[str | None, list[str]]:
     return "\n\n".join(done), [k for k in KINDS if k in kinds]
 
 
-def lexicon(texts: DataFrame, text: str) -> tuple[dict, dict, dict, dict, int, int]:
-    """Of words and hyphened compounds: counts, counts in small letters, before a number and behind one; at most LEXICON_SHARE entries by the threshold."""
+def lexicon(texts: DataFrame, text: str) -> tuple[dict, dict, dict, dict, int, int, np.ndarray | None]:
+    """Of words and hyphened compounds: counts, counts in small letters, before a number and behind one; at most LEXICON_SHARE entries by the threshold, and the hashed counts of all below it."""
     joined = F.regexp_replace(F.col(text), f"[{HYPHENS}]\\s+", "")
     hits = lambda p, g: F.transform(F.regexp_extract_all(joined, F.lit(p), F.lit(g)), lambda w: w)
     part = lambda kind, p, g: F.transform(hits(p, g), lambda w: F.struct(F.lit(kind).alias("k"), w.alias("w")))
@@ -429,7 +478,15 @@ def lexicon(texts: DataFrame, text: str) -> tuple[dict, dict, dict, dict, int, i
     least = max(1, math.ceil(total / LEXICON_SHARE))
     rows = counts.filter(F.col("n") >= least).collect()  # at most LEXICON_SHARE rows
     table = lambda c: {r["w"]: r[c] for r in rows if r[c]}
-    return table("n"), table("l"), table("b"), table("a"), max(1, total), least
+    rare = None
+    if least > 1:
+        h = F.xxhash64("w")
+        slots = F.array(h.bitwiseAND(F.lit(SLOTS - 1)), F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(SLOTS - 1)))
+        sums = counts.filter(F.col("n") < least).select(F.posexplode(slots).alias("k", "slot"), "n", "l", "b", "a").groupBy("k", "slot").agg(*(F.sum(c).alias(c) for c in "nlba")).toPandas()  # at most 2 * SLOTS rows
+        rare = np.zeros((4, 2, SLOTS), np.int32)
+        for q, c in enumerate("nlba"):
+            rare[q, sums["k"].to_numpy(np.int64), sums["slot"].to_numpy(np.int64)] = np.minimum(sums[c].to_numpy(np.int64), 2**31 - 1)
+    return table("n"), table("l"), table("b"), table("a"), max(1, total), least, rare
 
 
 def scan_noise(texts: DataFrame, text: str = "text") -> DataFrame:

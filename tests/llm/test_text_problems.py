@@ -107,6 +107,23 @@ def test_scan_noise_repairs_and_names_what_it_found(spark):
     assert scan_noise(df.limit(0)).collect() == []
 
 
+def test_rare_words_are_known_however_large_the_collection(spark, monkeypatch):
+    """A low share makes words of fewer than a dozen too rare to be counted exactly."""
+    import quillspark.llm.scan_noise as sn
+
+    monkeypatch.setattr(sn, "LEXICON_SHARE", 120)
+    rows = [(f"p{i}", TEXT + (" The over view, the north side." if i < 16 else "")) for i in range(60)]
+    rows += [(f"r{i}", "The group predicts the partible circuit and the overside external solution.") for i in range(5)]
+    rows += [(f"s{i}", "The group recorded the larges circuit.") for i in range(5)]
+    rows += [("joined", "The group predicts the over-\nside external solution."), ("one", "The circuif predicts the average particle."), ("odd", "The aver4ge particle.")]
+    df = spark.createDataFrame(rows, "id string, text string")
+    assert sn.lexicon(df, "text")[5] > 7
+    got = {r.id: (r.noise, r.repaired) for r in scan_noise(df).collect()}
+    assert {k: v[0] for k, v in got.items() if v[0]} == {"joined": ["hyphen_break"], "one": ["misread"], "odd": ["misread"]}
+    assert got["joined"][1] == "The group predicts the overside external solution." and got["s0"][1] == "The group recorded the larges circuit."
+    assert got["one"][1] == "The circuit predicts the average particle." and got["odd"][1] == "The average particle."
+
+
 def test_paragraphs_follow_blank_lines_and_short_lines():
     lex = Lexicon({w: 50 for w in [*words(TEXT), "it", "was"]}, {w: 49 for w in [*words(TEXT), "it", "was"]}, {}, {}, 1000, 1)
     text = "The circuit predicts the average particle whenever\nthe solution is larger.\nThe group recorded the external solution and whenever it\nwas larger.\n\nThe group."
