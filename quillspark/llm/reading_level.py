@@ -27,7 +27,7 @@ from quillspark.session import stored
 SENTENCE = re.compile(r"[.!?]+\s|[\r\n]+")
 SLOTS = 1 << 18
 LEVELS = ("primary", "middle", "secondary", "tertiary")
-ROUNDS, TOLERANCE = 12, 0.003
+ROUNDS, TOLERANCE = 100, 0.001  # the rounds end once no word moves by more; their number only guards against none such
 COMMON = 0.005  # share of the documents at which a word carries half its weight
 BIN, ENOUGH, FULL_WORDS = 0.01, 300, 80  # of the corpus's scores, by which the cuts are settled
 SHORT = 4.0  # words from which a sentence counts in full
@@ -201,7 +201,7 @@ def reading_levels(docs: DataFrame, graded: DataFrame, doc_id: Column, text: Col
         top[k] += sums["top"].to_numpy()
         weight[k] += sums["total"].to_numpy()
         nxt = top / weight
-        moved = float(np.average(np.abs(nxt - level_of), weights=seen)) if seen.any() else 0.0  # of a word met at random
+        moved = np.abs(nxt - level_of)[seen > 0].max(initial=0.0)
         level_of = nxt
         if r and moved < TOLERANCE:
             break

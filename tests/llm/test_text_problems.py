@@ -280,3 +280,19 @@ def test_reading_levels_on_held_out_examples(spark):
     assert all(0 <= got[i].difficulty <= 3 for i in range(200))
     assert {r.reading_level for r in reading_levels(d, g.limit(0), *args).collect()} == {None}
     assert reading_levels(d.limit(0), g, *args).collect() == []
+
+
+def test_reading_levels_are_those_of_a_converged_run(spark, monkeypatch):
+    import quillspark.llm.reading_level as rl
+    from tests.fixtures import SMALL
+
+    if not SMALL.exists():
+        pytest.skip("no test tables")
+    d, g = (spark.read.parquet(f"{SMALL}/{name}.parquet") for name in ("documents", "level_samples"))
+    run = lambda **k: {r.doc_id: r for r in reading_levels(d, g, F.col("doc_id"), F.col("text"), F.col("text"), F.col("reading_level"), **k).collect() if r.difficulty is not None}
+    got = run()
+    monkeypatch.setattr(rl, "TOLERANCE", 1e-6)
+    want = run(rounds=300)
+    assert got.keys() == want.keys() and len(got) > 20
+    assert max(abs(got[k].difficulty - want[k].difficulty) for k in want) < 0.0002
+    assert all(got[k].reading_level == want[k].reading_level for k in want)
