@@ -388,7 +388,7 @@ def _paragraphs(lines: list[str]) -> list[list[str]]:
     if not full:
         return []
     width = max(len(ln) for ln in full)
-    price, reach = 0.8, 200
+    price = 0.8
     n = len(lines)
     cost, prev = [0.0] + [math.inf] * n, [0] * (n + 1)
     # Price of letting the paragraph go on behind a line, and of ending there.
@@ -401,14 +401,13 @@ def _paragraphs(lines: list[str]) -> list[list[str]]:
         item = bool(re.match(r"([-•*·]|\d+[.)]|\([a-z]\))\s", nxt))
         go_on.append(6.0 if blank or item else 6.0 * max(0.0, short - 0.2) if closes else 0.0)
         end.append(0.0 if blank or item else 0.6 if closes and nxt[:1].isupper() else 5.0)
+    # A paragraph of lines i to j - 1 goes on behind all of them but the last: prices so far, less those before it.
+    so_far, least, at = 0.0, math.inf, 0
     for j in range(1, n + 1):
-        run = 0.0
-        for i in range(j - 1, max(-1, j - 1 - reach), -1):
-            c = cost[i] + price + run + (end[j - 1] if j < n else 0.0)
-            if c < cost[j]:
-                cost[j], prev[j] = c, i
-            if i > 0:
-                run += go_on[i - 1]
+        if cost[j - 1] - so_far < least + 1e-9:
+            least, at = cost[j - 1] - so_far, j - 1
+        cost[j], prev[j] = least + so_far + price + (end[j - 1] if j < n else 0.0), at
+        so_far += go_on[j - 1]
     cuts, j = [], n
     while j > 0:
         cuts.append((prev[j], j))

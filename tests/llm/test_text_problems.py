@@ -131,6 +131,12 @@ def test_paragraphs_follow_blank_lines_and_short_lines():
     assert repair("x" * 50_000, lex)[0] == "x" * 50_000
 
 
+def test_paragraphs_of_any_number_of_lines_stay_whole():
+    lex = Lexicon({w: 50 for w in words(TEXT)}, {w: 49 for w in words(TEXT)}, {}, {}, 1000, 1)
+    line = "the circuit predicts the average particle"
+    assert repair("\n".join([line] * 700), lex)[0] == " ".join([line] * 700)
+
+
 def jaccard(a, b):
     a, b = set(words(a)), set(words(b))
     return len(a & b) / len(a | b) if a | b else 0.0
