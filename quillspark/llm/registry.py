@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.llm import percentile_queries
 from quillspark.llm.broken_pairs import broken_pairs
 from quillspark.llm.leakage import decontaminate, leaks
 from quillspark.llm.mixing import Mixture
@@ -92,8 +93,8 @@ def p10_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p2_repaired": p2_repaired, "p7_found": p7_found, "p7_groups": p7_groups, "p8_found": p8_found, "p8_clean": p8_clean, "p9_mix": p9_mix, "p9_report": p9_report, "p10_found": p10_found, "p10_levels": p10_levels}
+    return percentile_queries.QUERIES | {"p1_found": p1_found, "p2_found": p2_found, "p2_repaired": p2_repaired, "p7_found": p7_found, "p7_groups": p7_groups, "p8_found": p8_found, "p8_clean": p8_clean, "p9_mix": p9_mix, "p9_report": p9_report, "p10_found": p10_found, "p10_levels": p10_levels}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p7_found": P7_FOUND, "p8_found": P8_FOUND}
+    return percentile_queries.ORACLES | {"p7_found": P7_FOUND, "p8_found": P8_FOUND}
