@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.operators.features import feature_table
-from quillspark.operators.hierarchy import hierarchy
+from quillspark.operators.hierarchy import hierarchy, ranges
 from quillspark.operators.sessions import sessionize
 from quillspark.session import table
 
@@ -18,7 +18,7 @@ def all_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = hierarchy(all_links(spark, sf_dir))
+    h = ranges(all_links(spark, sf_dir))
     return h.filter("cycle_id IS NOT NULL").select("hierarchy", F.col("tree").alias("document_id"), F.col("node").alias("node_id"), "cycle_id")
 
 

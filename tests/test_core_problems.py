@@ -3,12 +3,11 @@ import random
 from collections import defaultdict
 from datetime import datetime, timedelta, timezone
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from quillspark.operators.features import feature_table, widen
-from quillspark.operators.hierarchy import hierarchy
+from quillspark.operators.hierarchy import Ranges, hierarchy, ranges
 from quillspark.operators.sessions import sessionize
 
 BASE = datetime(2026, 1, 1, tzinfo=timezone.utc)
@@ -140,3 +139,28 @@ def test_hierarchy_nulls_and_empty(spark):
     assert hierarchy(spark.createDataFrame([], schema)).collect() == []
     got = hierarchy(spark.createDataFrame([(None, None, "a", "b"), ("h", "t", None, "x"), ("h", "t", None, None)], schema)).collect()
     assert {(r.tree, r.node, r.depth) for r in got} == {("", "a", 0), ("", "b", 1), ("t", "x", 0)}
+
+
+def test_hierarchy_is_the_same_in_a_task_and_in_rounds(spark):
+    rng = random.Random(6)
+    rows = []
+    for t in range(3):
+        rows += [("h", f"t{t}", f"n{rng.randrange(0, k):03d}", f"n{k:03d}") for k in range(1, 40)]
+        rows += [("h", f"t{t}", f"n{rng.randrange(0, 20):03d}", f"n{rng.randrange(20, 40):03d}") for _ in range(8)]
+        rows += [("h", f"t{t}", f"x{k}", f"x{(k + 1) % 4}") for k in range(4)] + [("h", f"t{t}", "x1", "n039"), ("h", f"t{t}", "other", None)]
+    df = spark.createDataFrame(rows, "hierarchy string, tree string, parent string, child string")
+    near, far = ({(r.tree, r.node): r for r in hierarchy(df, max_local_links=b).collect()} for b in (1000, 0))
+    assert near == far
+    narrow = {(r.tree, r.node): r for r in ranges(df, max_local_links=0).collect()}
+    assert all(r.asDict() == {k: v for k, v in near[n].asDict().items() if k not in ("path", "descendants")} for n, r in narrow.items())
+
+
+def test_a_long_chain_needs_memory_in_proportion():
+    import tracemalloc
+
+    tracemalloc.start()
+    r = Ranges([(f"n{k:06d}", f"n{k + 1:06d}") for k in range(200_000)])
+    rows = r.unrolled()
+    assert [len(next(rows)[-2]) for _ in range(3)] == [1, 2, 3] and r.spans(100_000) == [(100_000, 200_001)]
+    assert tracemalloc.get_traced_memory()[1] < 400e6
+    tracemalloc.stop()
