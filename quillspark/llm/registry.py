@@ -22,18 +22,18 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scanned_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(field, record_id, text): evidence excerpts and citation quotes, each record once."""
-    e = table(spark, sf_dir, "evidence").select(F.lit("excerpt").alias("field"), F.concat_ws("/", "document_id", "evidence_id").alias("record_id"), F.col("excerpt").alias("text"))
-    c = table(spark, sf_dir, "source_citations").select(F.lit("quote").alias("field"), F.col("citation_id").alias("record_id"), F.col("quote").alias("text"))
+    """(field, record_id, document_id, text): evidence excerpts and citation quotes, each record once."""
+    e = table(spark, sf_dir, "evidence").select(F.lit("excerpt").alias("field"), F.concat_ws("/", "document_id", "evidence_id").alias("record_id"), "document_id", F.col("excerpt").alias("text"))
+    c = table(spark, sf_dir, "source_citations").select(F.lit("quote").alias("field"), F.col("citation_id").alias("record_id"), "document_id", F.col("quote").alias("text"))
     return e.unionByName(c).distinct()
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_noise(scanned_texts(spark, sf_dir)).select("field", "record_id", F.explode("noise").alias("noise")).distinct()
+    return scan_noise(scanned_texts(spark, sf_dir), document="document_id").select("field", "record_id", F.explode("noise").alias("noise")).distinct()
 
 
 def p2_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_noise(scanned_texts(spark, sf_dir)).select("field", "record_id", "repaired", F.array_join("noise", ",").alias("noise"))
+    return scan_noise(scanned_texts(spark, sf_dir), document="document_id").select("field", "record_id", "repaired", F.array_join("noise", ",").alias("noise"))
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:

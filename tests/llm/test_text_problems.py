@@ -1,5 +1,5 @@
 import random
-import re
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -107,6 +107,57 @@ def test_scan_noise_repairs_and_names_what_it_found(spark):
     assert scan_noise(df.limit(0)).collect() == []
 
 
+PROSE = [
+    "The method was described by Albert Einstein and later by the Royal Society of London.",
+    "About 42 samples were kept.",
+    "He moved to New York in 1990 and met Marie Curie, who had left Paris in 1903.",
+    "The work was shown by\nAlbert Einstein\nand was known to all.",
+    "The Royal Society\nwas founded in 1660\nby King Charles II.\nIt has 1600 fellows.",
+    "In 1905 the paper by Albert Einstein changed the field. The United Nations met on 24 October 1945 in San Francisco.",
+    "Figure 3 shows the cast of the play. There were 12 actors and 7 of them were from the east.",
+    "The form of the farm was clear; the causal link was casual.",
+    "Mr. John Smith lives at 12 Baker Street, London NW1 6XE. Call 555-0199.",
+    "See Smith [12] and Jones [14] for details of the experiment. The tube holds 5 litres.",
+    "THE NATIONAL ACADEMY report said so. The energy of a photon is 2.5 eV and the mass is 3 kg.",
+    "The pressure in the New York laboratory exceeded 30 units when the river melts.",
+]
+
+
+@pytest.mark.parametrize("folder", ["/root/testdata/sf0.001", "/root/testdata/sf0.01"])
+def test_ordinary_prose_stays_as_it_is(spark, folder):
+    """Names, dates, quantities and words the collection does not know, judged by the lexicon of the test tables."""
+    import quillspark.llm.scan_noise as sn
+    from quillspark.llm.registry import scanned_texts
+
+    if not Path(folder).exists():
+        pytest.skip("no test tables")
+    lex = Lexicon(*sn.lexicon(scanned_texts(spark, folder), "text"))
+    for t in PROSE:
+        assert repair(t, lex) == (t.replace("\n", " "), []), t
+    docs = spark.createDataFrame([(str(i), t) for i, t in enumerate(PROSE * 3)], "d string, text string")
+    assert all(r.noise == [] for r in scan_noise(docs, document="d").collect() + scan_noise(docs).collect())
+
+
+def test_words_over_several_breaks_with_several_confusions():
+    w = [*words(TEXT), "the", "group"]
+    lex = Lexicon({x: 50 for x in w}, {x: 49 for x in w}, 1000, 1)
+    assert repair("the solu- ti- on is larger", lex) == ("the solution is larger", ["hyphen_break"])
+    assert repair("the re5ervoi- rs", Lexicon({"the": 50, "reservoirs": 20}, {"the": 50, "reservoirs": 20}, 1000, 1))[0] == "the reservoirs"
+    assert repair("the 5o1ution is larger", lex) == ("the solution is larger", ["misread"])
+    lex = Lexicon({x: 5000 for x in w}, {x: 4900 for x in w}, 100_000, 1)
+    assert repair("the averageparticle is", lex)[0] == "the average particle is"
+    assert repair("the aver agepar ticle is", lex)[0] == "the average particle is"
+
+
+def test_headers_are_known_by_their_recurrence(spark):
+    rows = [(f"d{i}", f"t{i}{k}", f"{a}\nSome Odd Title\n{b}") for i in range(2) for k, (a, b) in enumerate((("The circuit predicts the", "average particle of it."), ("They saw the external", "reservoir of the group."), ("The solution is", "larger than that.")))]
+    rows += [("d9", "once", "The circuit was seen by\nSome Odd Title\nwho left."), ("d0", "inline", "They saw the external Some Odd Title reservoir of the group."), ("d9", "kept", "They saw the external Some Odd Title reservoir of the group.")]
+    rows += [("x", f"f{i}", "The circuit predicts the average particle of it. They saw the external reservoir of the group. The solution is larger than that.") for i in range(20)]
+    got = {r.id: r for r in scan_noise(spark.createDataFrame(rows, "d string, id string, text string"), document="d").collect()}
+    assert got["t00"].noise == ["running_header"] and got["t00"].repaired == "The circuit predicts the average particle of it."
+    assert got["inline"].noise == ["running_header"] and got["kept"].noise == [] and got["once"].noise == []
+
+
 def test_rare_words_are_known_however_large_the_collection(spark, monkeypatch):
     """A low share makes words of fewer than a dozen too rare to be counted exactly."""
     import quillspark.llm.scan_noise as sn
@@ -117,7 +168,7 @@ def test_rare_words_are_known_however_large_the_collection(spark, monkeypatch):
     rows += [(f"s{i}", "The group recorded the larges circuit.") for i in range(5)]
     rows += [("joined", "The group predicts the over-\nside external solution."), ("one", "The circuif predicts the average particle."), ("odd", "The aver4ge particle.")]
     df = spark.createDataFrame(rows, "id string, text string")
-    assert sn.lexicon(df, "text")[5] > 7
+    assert sn.lexicon(df, "text")[3] > 7
     got = {r.id: (r.noise, r.repaired) for r in scan_noise(df).collect()}
     assert {k: v[0] for k, v in got.items() if v[0]} == {"joined": ["hyphen_break"], "one": ["misread"], "odd": ["misread"]}
     assert got["joined"][1] == "The group predicts the overside external solution." and got["s0"][1] == "The group recorded the larges circuit."
@@ -125,14 +176,14 @@ def test_rare_words_are_known_however_large_the_collection(spark, monkeypatch):
 
 
 def test_paragraphs_follow_blank_lines_and_short_lines():
-    lex = Lexicon({w: 50 for w in [*words(TEXT), "it", "was"]}, {w: 49 for w in [*words(TEXT), "it", "was"]}, {}, {}, 1000, 1)
+    lex = Lexicon({w: 50 for w in [*words(TEXT), "it", "was"]}, {w: 49 for w in [*words(TEXT), "it", "was"]}, 1000, 1)
     text = "The circuit predicts the average particle whenever\nthe solution is larger.\nThe group recorded the external solution and whenever it\nwas larger.\n\nThe group."
     assert repair(text, lex)[0].split("\n\n") == ["The circuit predicts the average particle whenever the solution is larger.", "The group recorded the external solution and whenever it was larger.", "The group."]
     assert repair("x" * 50_000, lex)[0] == "x" * 50_000
 
 
 def test_paragraphs_of_any_number_of_lines_stay_whole():
-    lex = Lexicon({w: 50 for w in words(TEXT)}, {w: 49 for w in words(TEXT)}, {}, {}, 1000, 1)
+    lex = Lexicon({w: 50 for w in words(TEXT)}, {w: 49 for w in words(TEXT)}, 1000, 1)
     line = "the circuit predicts the average particle"
     assert repair("\n".join([line] * 700), lex)[0] == " ".join([line] * 700)
 
