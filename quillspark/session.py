@@ -17,6 +17,7 @@ def local_session(cores: str = "8", partitions: int = 8, app: str = "quillspark"
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.driver.host", "127.0.0.1")
         .getOrCreate()
