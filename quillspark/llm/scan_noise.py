@@ -345,7 +345,7 @@ def decode(tokens: list[tuple[str, bool]], lex: Lexicon) -> tuple[list[str], set
                     # The word ends inside the next letters.
                     for e in range(2, len(low2) - 1):
                         c = lex.cost.get(read + low2[:e])
-                        if c is not None and low2[e:] in lex.cost:
+                        if c is not None:
                             relax(at, (j, e), c + price + RUN_TOGETHER, front + shown + core2[:e], kinds)
                 read, shown = whole, shown + core2
         start = ends or not core and start
