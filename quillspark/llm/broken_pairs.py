@@ -3,7 +3,8 @@
 A suffix automaton over a prompt's words is traversed by each response to measure how much of it is copied; an
 automaton of refusal phrases, a delimiter stack and stopword votes find the other defects. Where a text breaks
 off without a visible sign, it is judged by how often its last words end a text or sentence anywhere in the
-collection; these counts live in tables of a fixed size that all rows feed.
+collection, and whether its last letters are met as a word or only as the beginning of words; these counts live in
+tables of a fixed size that all rows feed. What is not known there is not held against a text.
 """
 
 from __future__ import annotations
@@ -22,26 +23,35 @@ from quillspark.llm.words import language, words
 
 SLOTS = 1 << 20  # of the end statistics: a fixed size, whatever the collection's
 MIN_RUN, MIN_WORDS, COVERAGE = 3, 5, 0.8
-# What stands for no answer.
+# What stands for no answer.
 PLACEHOLDERS = "n a|na|n/a|null|none|nil|nan|tbd|tba|todo|blank|empty|undefined|missing|no answer|not available|not applicable|no response|unanswered|pending|xxx|lorem ipsum|placeholder|to be determined|to be added|answer here|insert answer".split("|")
-# Placeholders that are words as well, and so no defect where they stand among the options without brackets.
+# Placeholders that are words as well, and so no defect where they stand among the options without brackets.
 _ALSO_OPTIONS = frozenset("none nil na undefined empty blank missing pending".split())
-# Stems of refusals; the verbs of each language join each of its openings.
-_CANNOT = {
-    "en": (
-        "i can't|i cannot|i can not|i am unable to|i'm unable to|i am not able to|i'm not able to|i won't|i won't be|i will not|i will not be|i must decline to|i decline to|i'm not allowed to|i am not allowed to|i may not|we cannot|we can't|unable to|not permitted to".split("|"),
-        "provide|give|share|answer|help|assist|offer|produce|producing|write|writing|supply|supplying|comply|fulfil|fulfill|complete|respond|discuss|do that|do this|generate|continue|support|tell you|solve".split("|"),
+# A refusal by grammar: who speaks, what keeps the speaker, and what is not done, in every combination.
+_GRAMMAR = [
+    # English: the speaker is the one who answers, so "a firm cannot provide credit" is none.
+    (
+        "i|i also|i really|i simply|i just".split("|"),
+        "can't|cannot|can not|couldn't|could not|won't|will not|won't be able to|will not be able to|shouldn't|should not|may not|must not|am unable to|am not able to|am not going to|am not allowed to|am not permitted to|am not willing to|am not in a position to|have no wish to|have no intention to|don't wish to|do not wish to|don't want to|do not want to|would rather not|prefer not to|would prefer not to|have to decline to|must decline to|decline to|refuse to|must refuse to|don't think i should|do not think i should|don't think i can|do not think i can|don't feel able to".split("|"),
+        "answer|respond|reply|say|tell|provide|give|share|help|assist|offer|supply|discuss|comply|disclose|reveal|get into|go into|do that|do this|write|produce|fulfil|fulfill|complete this|complete that|continue with|support you|solve this|solve that|generate".split("|"),
     ),
-    "es": (["no puedo", "no podemos", "no me es posible", "no nos es posible", "me es imposible", "no debo"], "dar|ofrecer|ayudar|responder|escribir|proporcionar|contestar|compartir|facilitar|cumplir".split("|")),
-    "fr": (["je ne peux pas", "je ne peux", "je ne puis", "nous ne pouvons pas", "il m'est impossible de", "il m'est impossible d'", "je refuse de"], "donner|fournir|aider|répondre|écrire|partager|proposer|vous aider".split("|")),
-    "de": (["kann ich", "darf ich", "möchte ich", "ich kann", "ich darf", "ich möchte", "können wir", "dürfen wir"], "keine antwort|keine lösung|keine hilfe|leider nicht helfen|nicht helfen|leider keine|nicht beantworten|hier nicht|leider nicht|nicht antworten|dazu nichts".split("|")),
-}
+    ("i|i also|i really".split("|"), "don't feel comfortable|do not feel comfortable|am not comfortable|won't be|will not be|have no intention of|am uncomfortable".split("|"), "answering|responding|replying|saying|telling|providing|giving|sharing|helping|assisting|offering|supplying|discussing|disclosing|writing|producing|solving|generating|doing that|doing this".split("|")),
+    ("i'm|we're".split("|"), "unable to|not able to|not going to|not allowed to|not permitted to|not willing to|not in a position to|sorry but cannot".split("|"), "answer|respond|reply|say|tell|provide|give|share|help|assist|offer|supply|discuss|comply|disclose|reveal|get into|go into|do that|do this|write|produce|fulfil|fulfill|solve|generate".split("|")),
+    ("we|the assistant|this assistant|the model|this model|the system|the author".split("|"), "can't|cannot|can not|are unable to|is unable to|won't|will not|declined to|declines to|refused to|refuses to|is not able to|is not allowed to|are not able to".split("|"), "answer|respond|reply|help you|help with|assist|comply|fulfil|fulfill|share|disclose|discuss|provide an|provide the|provide this|give an answer|give the answer|give you".split("|")),
+    ("unable to|cannot|can't|can not|not able to|not permitted to|declining to|refusing to".split("|"), "comply with|answer this|answer that|respond to this|respond to that|assist with|help with|fulfil this|fulfill this|fulfil that|fulfill that|discuss this|discuss that".split("|"), [""]),
+    ("it is|it's|it would be|it isn't|it is not|that is|that's|that isn't|this is|this isn't".split("|"), "inappropriate for me to|not appropriate for me to|appropriate for me to|possible for me to|not possible for me to|impossible for me to|not something i can|something i can't|something i cannot|something i won't|something i am not|something i'm not|something i will not".split("|"), [""]),
+    ("the guidelines|my guidelines|guidelines|the policy|my policy|policy|policies|the rules|my rules|instructions".split("|"), "keep|prevent|prevents|stop|prohibit|prohibits|forbid|forbids|bar|do not allow|don't allow|does not allow|doesn't let|don't let".split("|"), "me|us".split("|")),
+    # Spanish, French, German.
+    ("no puedo|no podemos|no me es posible|no nos es posible|me es imposible|no debo|prefiero no|preferimos no|me niego a|lamento no poder|siento no poder|no estoy en condiciones de|no quiero".split("|"), "dar|ofrecer|ayudar|ayudarle|ayudarte|responder|escribir|proporcionar|contestar|compartir|facilitar|cumplir|hablar|decir|resolver|entregar".split("|"), [""]),
+    ("je ne peux pas|je ne peux|je ne puis|je ne dois pas|je ne souhaite pas|je ne veux pas|nous ne pouvons pas|il m'est impossible de|il m'est impossible d'|je refuse de|je préfère ne pas|je préfère ne rien|je suis incapable de|je ne suis pas en mesure de".split("|"), "donner|fournir|aider|répondre|écrire|partager|proposer|vous aider|vous donner|dire|communiquer|résoudre|rédiger".split("|"), [""]),
+    ("kann ich|darf ich|möchte ich|ich kann|ich darf|ich möchte|können wir|dürfen wir|wir können".split("|"), "|leider|hier|hierzu|dazu|dir|ihnen|das|darauf|diese frage|dir leider|ihnen leider".split("|"), "keine antwort|keine lösung|keine hilfe|keine auskunft|nicht helfen|leider keine|nicht beantworten|nicht antworten|nicht weiterhelfen|nichts sagen|nichts dazu|hier nicht|leider nicht|dazu nichts".split("|")),
+]
 _WHOLE = (
-    "must refrain from|have to refrain from|do not feel comfortable|don't feel comfortable|not comfortable|guidelines keep me|my guidelines|against my guidelines|isn't possible for me|is not possible for me|not possible for me to|have to decline|must decline|i decline|rather not answer|rather not say|prefer not to answer|"
-    "declined to answer|declines to answer|refused to answer|refuses to answer|cannot comply|can't comply|unable to comply|no answer will be given|no answer can be given|falls outside what|outside what the assistant|outside of what i|as an ai|as a language model|cannot fulfil|against policy|"
-    "prefiero no|lamento no poder|me niego a|je préfère ne pas|je préfère ne rien|je refuse|ich lehne|muss ich ablehnen"
+    "must refrain from|have to refrain from|against my guidelines|isn't possible for me|have to decline|must decline|i decline|rather not answer|rather not say|prefer not to answer|declined to answer|refused to answer|refuses to answer|declines to answer|"
+    "no answer will be given|no answer can be given|no answer is given|request was declined|request is declined|falls outside what|falls outside of what|outside what the assistant|outside of what i|as an ai|as a language model|against policy|i'd rather not|i must decline|"
+    "me niego a|je refuse|ich lehne|muss ich ablehnen|ich muss ablehnen|ich weigere mich"
 ).split("|")
-# Words no sentence ends with, by language together.
+# Words no sentence ends with, of all languages together.
 DANGLING = set("the a an of and or to in with from by for as at into than because while since although whenever whose which that if but its their el la los las un una de del que y en con por para porque si cuando su der die das den dem ein eine und mit weil dass wenn von zu le les des et dans pour avec parce quand du au un une".split())
 _TERMINAL = (".", "!", "?", "。", "…”")
 _CLOSERS = "\"'”’»)]} \t\r\n​\xa0"
@@ -49,10 +59,11 @@ _CLOSERS = "\"'”’»)]} \t\r\n​\xa0"
 
 def refusal_automaton() -> ahocorasick.Automaton:
     auto = ahocorasick.Automaton()
-    for openings, verbs in _CANNOT.values():
-        for o in openings:
-            for v in verbs:
-                auto.add_word(f" {o} {v} ", 1)
+    for first, second, third in _GRAMMAR:
+        for x in first:
+            for y in second:
+                for z in third:
+                    auto.add_word(f" {' '.join(w for w in (x, y, z) if w)} ", 1)
     for p in _WHOLE:
         auto.add_word(f" {p} ", 1)
     auto.make_automaton()
@@ -160,6 +171,9 @@ def _shapes(text: str) -> tuple[list[str], list[bool]]:
     return out, ends
 
 
+_WORD, _BEGUN = "\x02", "\x03"  # in place of a context: a word as a whole, and as the beginning of longer ones
+
+
 def _slots(context: tuple[str, ...]) -> tuple[int, int]:
     h = xxhash.xxh64_intdigest("\x1f".join(context).encode())
     return h & (SLOTS - 1), (h >> 32) & (SLOTS - 1)
@@ -170,10 +184,17 @@ def _count_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     seen: Counter = Counter()
     ended: Counter = Counter()
+    whole: Counter = Counter()  # words that surely are, as something stands behind them
+    lone: Counter = Counter()  # answers of one word
 
     def flush() -> pa.RecordBatch:
         total, end = np.zeros((2, SLOTS), np.int64), np.zeros((2, SLOTS), np.int64)
-        for c, n in seen.items():
+        begun: Counter = Counter()
+        for w, n in (whole + lone).items():
+            begun[_WORD, w] += n
+            for k in range(1, len(w)):
+                begun[_BEGUN, w[:k]] += n
+        for c, n in (seen + begun).items():
             for k, s in enumerate(_slots(c)):
                 total[k, s] += n
                 end[k, s] += ended.get(c, 0)
@@ -189,6 +210,9 @@ def _count_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if not text:
                     continue
                 w, ends = _shapes(text)
+                whole.update(x for x in w[: len(w) if text.rstrip(_CLOSERS).endswith(_TERMINAL) or texts is beside else -1] if x.isalpha() and x != "N")
+                if len(w) == 1 and texts is not beside and w[0].isalpha():
+                    lone[w[0]] += 1
                 for i in range(len(w)):
                     for n in range(1, 5):
                         if i + 1 >= n:
@@ -200,6 +224,8 @@ def _count_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield flush()
             seen.clear()
             ended.clear()
+            whole.clear()
+            lone.clear()
     if seen:
         yield flush()
 
@@ -228,7 +254,7 @@ def _breaks_off(text: str, options: list[str] | None, total: np.ndarray, end: np
     w, _ = _shapes(bare)
     if not w:
         return False
-    if w[-1] in DANGLING:
+    if len(w) > 1 and w[-1] in DANGLING or _cut_word(w[-1], total):
         return True
     if len(w) < 3:
         return False
@@ -238,7 +264,26 @@ def _breaks_off(text: str, options: list[str] | None, total: np.ndarray, end: np
         seen, ended = total[k, (a, b)[k]], end[k, (a, b)[k]]
         if seen >= (8 if n > 1 else 4):
             return bool(ended < 0.05 * seen)
-    return w[-1] not in "#N"  # a word that occurs nowhere else was cut
+    return False  # nothing is known of how such a text ends
+
+
+def _cut_word(w: str, total: np.ndarray) -> bool:
+    """Whether the letters are met as the beginning of words, hardly ever as a word."""
+    if len(w) < 2 or not w.isalpha():
+        return False
+
+    def count(kind: str) -> int:
+        a, b = _slots((kind, w))
+        return int(min(total[0, a], total[1, b]))
+
+    return count(_BEGUN) >= 3 and count(_BEGUN) > 20 * max(0, count(_WORD))
+
+
+def _closed_breaks_off(text: str, total: np.ndarray) -> bool:
+    """For a value with its unit, or true and false: no sentence, so only what no whole answer ends with."""
+    bare = text.strip()
+    w, _ = _shapes(bare)
+    return open_delimiter(bare) or bare.endswith(("...", "…")) and bool(words(bare)) or bool(w) and not bare.endswith(_TERMINAL) and (len(w) > 1 or len(w[-1]) > 1) and _cut_word(w[-1].lower(), total)
 
 
 def _finder(total_end, min_run: int, coverage: float):
@@ -254,12 +299,13 @@ def _finder(total_end, min_run: int, coverage: float):
                 asked = words(text)
                 asked_in = language(asked)
                 auto = SuffixAutomaton(asked)
+                sentences = [words(x) for x in re.split(r"[.!?]+", text or "")] + [asked]
                 for field, response in (("a", answer), ("e", explanation)):
                     if not response or field == "a" and "empty" in found:
                         continue
                     said = words(response)
                     refuses = next(refusals.iter(_spoken(response)), None) is not None
-                    copies = len(said) >= MIN_WORDS and copied_share(auto, said, min_run) >= coverage
+                    copies = copied_share(auto, said, min_run) >= coverage if len(said) >= MIN_WORDS else len(said) > 1 and said in sentences
                     if refuses:
                         found.add("refusal")
                     if copies:
@@ -268,7 +314,7 @@ def _finder(total_end, min_run: int, coverage: float):
                     if asked_in and spoken_in and asked_in != spoken_in:
                         found.add("other_language")
                     closed = field == "a" and kind in ("true_false", "numerical")
-                    if not refuses and not copies and (open_delimiter(response.strip()) if closed else _breaks_off(response, options if field == "a" else None, total, end)):
+                    if not refuses and not copies and (_closed_breaks_off(response, total) if closed else _breaks_off(response, options if field == "a" else None, total, end)):
                         found.add("truncated")
                 for d in sorted(found):
                     ids.append(qid)

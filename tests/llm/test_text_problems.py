@@ -72,6 +72,31 @@ def test_broken_answers_that_are_options_too(spark):
     assert got == {(k, d) for k, (_, d) in bad.items()}
 
 
+def test_what_is_not_known_is_no_defect(spark):
+    """However small the table: texts without a stop, of words met nowhere else."""
+    fine = ["Powerhouse of the cell", "Water boils at lower pressure", "Plants turn light into sugar", "By the square of its distance", "A firm cannot provide credit when we cannot support the loan.", "I can provide an answer", "He cannot answer to the charge of theft"]
+    rows = [(f"q{i}", "short_answer", "Why does the kettle boil sooner on a mountain?", None, a, None, 0) for i, a in enumerate(fine)]
+    assert broken_pairs(spark.createDataFrame(rows[:4], PAIRS)).collect() == []
+    assert broken_pairs(spark.createDataFrame(rows, PAIRS)).collect() == []
+
+
+REFUSED = ["I'm sorry, I don't think I should respond to that.", "Sorry, that is something I am not going to get into.", "I have no wish to answer this.", "It would be inappropriate for me to say.", "I'd rather not answer that.", "The assistant cannot comply.", "My guidelines prevent me from it.", "Lo siento, no puedo responder a eso.", "Je ne peux pas vous aider.", "Dazu kann ich leider nichts sagen, ich kann nicht helfen."]
+
+
+def test_refusals_by_grammar(spark):
+    rows = [(f"q{i}", "short_answer", "Why does the kettle boil sooner on a mountain?", None, a, None, 0) for i, a in enumerate(REFUSED)]
+    got = {r.question_id for r in broken_pairs(spark.createDataFrame(rows, PAIRS)).collect() if r.defect == "refusal"}
+    assert got == {r[0] for r in rows}
+
+
+def test_short_values_and_short_copies(spark):
+    rows = [(f"f{i}", "numerical", Q, None, f"{i} seconds", "True enough, the seconds count here.", 0) for i in range(20)]
+    rows += [("cut", "numerical", Q, None, "656 secon", None, 0), ("cut2", "true_false", Q, None, "tr", None, 0), ("copy", "short_answer", "What is osmosis?", None, "What is osmosis?", None, 0), ("short", "short_answer", "What is osmosis?", None, "Osmosis.", None, 0)]
+    rows += [(f"t{i}", "true_false", Q, None, "true", None, 0) for i in range(5)]
+    got = {(r.question_id, r.defect) for r in broken_pairs(spark.createDataFrame(rows, PAIRS)).collect()}
+    assert got == {("cut", "truncated"), ("cut2", "truncated"), ("copy", "copies_question")}
+
+
 def test_delimiters_and_languages():
     assert open_delimiter("a (b [c]") and not open_delimiter("a) (b)")
     assert language(words("the rod is in the box and it was cold")) == "en"
