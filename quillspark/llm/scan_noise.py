@@ -163,7 +163,7 @@ class Lexicon:
         spots = [(i, n, x) for i in range(len(w)) for n in (1, 2) if i + n <= len(w) for x in CONFUSED.get(w[i : i + n], ())]
         found: dict[str, float] = {}
         own = self.known(w)
-        for k in range(1, MOST_CONFUSED + 1):
+        for k in range(1, MOST_CONFUSED + 1 if own is None else 2):  # a word that is met is no double misreading
             for chosen in combinations(spots, k):
                 if any(a[0] + a[1] > b[0] for a, b in zip(chosen, chosen[1:])):
                     continue
@@ -192,7 +192,11 @@ _CORE = re.compile(rf"^({_PUNCT}*)(.*?)({_PUNCT}*)$", re.S)
 
 
 def _parts(token: str, lex: Lexicon) -> tuple:
-    """(lead, core, trail, core in small letters, cost if known, number, odd, ends a sentence, as a neighbour); kept, as tokens recur."""
+    """(lead, core, trail, core in small letters, cost if known, number, odd, ends a sentence, as a neighbour, settled); kept, as tokens recur.
+
+    A token is settled where nothing can cost less than the word itself: it is counted exactly, no correction is
+    cheaper, and no hyphen cuts it off.
+    """
     got = lex.parsed.get(token)
     if got is None:
         lead, core, trail = _CORE.match(token).groups()
@@ -202,7 +206,10 @@ def _parts(token: str, lex: Lexicon) -> tuple:
         if len(lex.parsed) > 200_000:
             lex.parsed.clear()
         ends = bool(re.search(r"[.!?]['\"”’)]*$", token))
-        got = lex.parsed[token] = (lead, core, trail, low, lex.known(low), number, odd, ends, "#" if number else low)
+        plain = lex.known(low)
+        cut = bool(core) and bool(trail) and trail[-1] in HYPHENS and not trail.rstrip(HYPHENS)
+        settled = plain is not None and not cut and (plain <= lex.sure or low in lex.cost and not number and not odd and all(c >= plain for c, _ in lex.corrected(low)))
+        got = lex.parsed[token] = (lead, core, trail, low, plain, number, odd, ends, "#" if number else low, settled)
     return got
 
 
@@ -245,17 +252,13 @@ def decode(tokens: list[tuple[str, bool]], lex: Lexicon) -> tuple[list[str], set
 
     start = True  # of a sentence
     for k in range(n):
-        lead, core, trail, low, plain, number, odd, ends, _ = parts[k]
+        lead, core, trail, low, plain, number, odd, ends, _, settled = parts[k]
         token = tokens[k][0]
-        hyphened = bool(core) and bool(trail) and trail[-1] in HYPHENS and not trail.rstrip(HYPHENS)
-        if plain is not None and plain <= lex.sure and not hyphened:
-            # No correction costs less than this frequent word itself, and no word goes on behind it.
-            if 0 in best[k]:
-                relax((k, 0), (k + 1, 0), plain, token, _NONE)
-            for o in [o for o in best[k] if o]:
-                c = lex.cost.get(low[o:])
+        if settled:
+            for o in best[k]:
+                c = lex.cost.get(low[o:]) if o else plain
                 if c is not None:
-                    relax((k, o), (k + 1, 0), c, core[o:] + trail, _NONE)
+                    relax((k, o), (k + 1, 0), c, core[o:] + trail if o else token, _NONE)
             start = ends
             continue
         rare = plain is None or low not in lex.cost
@@ -281,7 +284,10 @@ def decode(tokens: list[tuple[str, bool]], lex: Lexicon) -> tuple[list[str], set
                     if len(pieces) > 1 and all(lex.known(p) is not None or p.isdigit() for p in pieces):
                         relax(at, (k + 1, 0), sum(lex.known(p) or 3.0 for p in pieces), token, _NONE)
                 if odd or not (name and not start):
+                    kept = best[k + 1].get(0, (math.inf,))[0] - best[k][o][0]
                     for c, word in lex.corrected(low):
+                        if c >= kept:
+                            break  # the word as it was read costs less
                         if odd or supported(k, k + 1, word, low):
                             relax(at, (k + 1, 0), c, lead + _shaped(core, word) + trail, _MIS)
                             break
