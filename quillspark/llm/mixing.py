@@ -3,8 +3,10 @@
 The largest mix that every source can fill gives each source a factor: so many whole copies of all its documents,
 and a fractional inclusion probability for one more. The flight phase moves these probabilities, three documents at
 a time, along the null space of the two balancing equations (tokens and documents per source) until each is 0 or 1;
-it runs in every partition on its own with constant memory and leaves at most two documents a source, which fly on
-in ever fewer groups. Only the last two of a source are landed, by giving up first the document count, then tokens.
+it runs in every group of documents on its own with constant memory and leaves at most two documents a source, which
+fly on in ever fewer groups. Only the last two of a source are landed, by giving up first the document count, then
+tokens. Groups are made by hashes of the documents' ids and flown in order of id, so the same documents always give the
+same mix, however they lie in files and partitions.
 """
 
 from __future__ import annotations
@@ -12,18 +14,18 @@ from __future__ import annotations
 import base64
 import math
 from collections.abc import Iterator
+from itertools import groupby
 
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.session import cut, stored
+from quillspark.session import stored
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the public pattern that splits text for byte_bpe_50k.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
-LONGEST_PIECE = 4000  # letters; a longer run is encoded in pieces, as its cost would grow faster than its length
+GROUP = 50_000  # documents that fly together at first
 FAN_IN = 256
 EPS = 1e-9
 
@@ -34,30 +36,19 @@ def source_name(source: Column) -> Column:
     return F.when(F.length(name) > 0, name)
 
 
-def with_tokens(df: DataFrame, text: str, tokenizer: str = TOKENIZER, pattern: str = PATTERN) -> DataFrame:
-    """df without its text but with n_tokens bigint; null and empty texts have 0."""
+def with_tokens(df: DataFrame, text: str, tokenizer: str, pattern: str = PATTERN) -> DataFrame:
+    """df without its text but with n_tokens bigint, of whole texts; null and empty texts have 0. ``tokenizer`` is the path of a vocabulary file of lines of base64 and rank."""
     with open(tokenizer, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     shared = df.sparkSession.sparkContext.broadcast(ranks)  # the vocabulary, of fixed size
     keep = [c for c in df.columns if c not in (text, "n_tokens")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import re
-
         import tiktoken
 
         enc = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=shared.value, special_tokens={})
-        long_run = re.compile(rf"\S{{{LONGEST_PIECE}}}")
-
-        def count(t: str | None) -> int:
-            if not t:
-                return 0
-            if long_run.search(t):
-                return sum(len(enc.encode_ordinary(t[i : i + LONGEST_PIECE])) for i in range(0, len(t), LONGEST_PIECE))
-            return len(enc.encode_ordinary(t))
-
         for b in batches:
-            n = [count(t) for t in b.column(b.num_columns - 1).to_pylist()]
+            n = [len(enc.encode_ordinary(t)) if t else 0 for t in b.column(b.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(n, pa.int64())], names=[*keep, "n_tokens"])
 
     src = df.select(*keep, F.col(text).cast("string").alias("__text"))
@@ -121,34 +112,26 @@ _SCHEMA = "source string, doc_id bigint, n_tokens bigint, p double, part int"
 
 
 def _flight(seed: int, last: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part = TaskContext.get().partitionId()
-        groups: set[int] = set()
-
-        def rows() -> Iterator[tuple]:
-            for b in batches:
-                if b.num_columns == 5:
-                    groups.update(b.column(4).to_pylist())
-                yield from zip(*(b.column(k).to_pylist() for k in range(4)))
+    """Rows sorted by group (part), source and id -> the same with p decided, but for at most two a group and source; with ``last`` for none."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(out: list[tuple]) -> pa.RecordBatch:
-            s, d, n, p = zip(*out)
-            return pa.RecordBatch.from_arrays([pa.array(s, pa.string()), pa.array(d, pa.int64()), pa.array(n, pa.int64()), pa.array(p, pa.float64()), pa.array([part] * len(out), pa.int32())], names=["source", "doc_id", "n_tokens", "p", "part"])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.int32()))], names=["source", "doc_id", "n_tokens", "p", "part"])
 
         out: list[tuple] = []
-        rest: dict[str, list[list]] = {}
-        for source, doc, tokens, p in fly(rows(), seed):
-            if last and not _decided(p):
-                rest.setdefault(source, []).append([doc, tokens, p])
-                continue
-            out.append((source, doc, tokens, p))
-            if len(out) == 10_000:
-                yield flush(out)
-                out = []
-        for source, units in rest.items():
-            out += [(source, *u) for u in land(units, seed)]
+        rows = (r for b in batches for r in zip(*(b.column(k).to_pylist() for k in range(5))))
+        for part, group in groupby(rows, key=lambda r: r[4]):
+            rest: dict[str, list[list]] = {}
+            for source, doc, tokens, p in fly((r[:4] for r in group), seed):
+                if last and not _decided(p):
+                    rest.setdefault(source, []).append([doc, tokens, p])
+                    continue
+                out.append((source, doc, tokens, p, part))
+                if len(out) == 10_000:
+                    yield flush(out)
+                    out = []
+            for source, units in rest.items():
+                out += [(source, *u, part) for u in land(units, seed)]
         if out:
             yield flush(out)
 
@@ -176,7 +159,7 @@ class Mixture:
     of their own; empty tables give an empty mix; other columns are not read.
     """
 
-    def __init__(self, docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", total_tokens: float | None = None, seed: int = 42, tokenizer: str = TOKENIZER) -> None:
+    def __init__(self, docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", total_tokens: float | None = None, seed: int = 42, *, tokenizer: str) -> None:
         want = targets.select(source_name(F.col("source")).alias("source"), F.col("target_share").cast("double").alias("target_share"), F.col("max_repeats").cast("int").alias("max_repeats")).filter("source IS NOT NULL AND target_share > 0").groupBy("source").agg(F.max_by("max_repeats", "target_share").alias("max_repeats"), F.max("target_share").alias("target_share"))
         rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), source_name(F.col(source)).alias("source"), F.col(text).alias("text")).join(want.select("source"), "source", "left_semi").filter("length(text) > 0")
         sized = stored(with_tokens(rows.select("source", "doc_id", "text"), "text", tokenizer).filter("n_tokens > 0"))
@@ -187,21 +170,17 @@ class Mixture:
         factor = spark.createDataFrame([(s, int(math.floor(f + EPS)), max(0.0, f - math.floor(f + EPS))) for s, f in sorted(factors.items())], "source string, whole int, p double")
         # A row per target: as small as the targets.
         start = sized.join(F.broadcast(factor.select("source", "p")), "source").select("source", "doc_id", "n_tokens", "p")
-        state = stored(start.mapInArrow(_flight(seed, False), _SCHEMA))
-        settled = state.filter(f"p < {EPS} OR p > {1 - EPS}")
-        rest = state.filter(f"p >= {EPS} AND p <= {1 - EPS}")
-        groups = (rest.agg(F.max("part")).first()[0] or 0) + 1
-        level = 0
-        while groups > 1:
-            groups = -(-groups // FAN_IN)
-            level += 1
-            key = F.floor(F.col("part") / (FAN_IN**level)).cast("int")
-            regrouped = rest.withColumn("g", key).repartition("g").sortWithinPartitions("g", "source", "doc_id") if groups > 1 else rest.repartition(1).sortWithinPartitions("source", "doc_id")
-            flown = cut(regrouped.select("source", "doc_id", "n_tokens", "p", "part").mapInArrow(_flight(seed + level, groups == 1), _SCHEMA))
-            settled = settled.unionByName(flown.filter(f"p < {EPS} OR p > {1 - EPS}"))
-            rest = flown.filter(f"p >= {EPS} AND p <= {1 - EPS}")
-        if level == 0:
-            settled = settled.unionByName(cut(rest.repartition(1).sortWithinPartitions("source", "doc_id").mapInArrow(_flight(seed, True), _SCHEMA)))
+        groups = max(1, math.ceil(sized.count() / GROUP))
+        rest = start.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int"))
+        settled, level = None, 0
+        while True:
+            flown = stored(rest.repartition("part").sortWithinPartitions("part", "source", "doc_id", "n_tokens").mapInArrow(_flight(seed + level, groups == 1), _SCHEMA))
+            done = flown.filter(f"p < {EPS} OR p > {1 - EPS}")
+            settled = done if settled is None else settled.unionByName(done)
+            if groups == 1:
+                break
+            groups, level = -(-groups // FAN_IN), level + 1
+            rest = flown.filter(f"p >= {EPS} AND p <= {1 - EPS}").withColumn("part", F.floor(F.col("part") / FAN_IN).cast("int"))
         mixed = settled.join(F.broadcast(factor.select("source", "whole")), "source").select("doc_id", "source", "n_tokens", (F.col("whole") + F.round("p").cast("int")).alias("copies"))
         self.mix = mixed.filter("copies > 0")
         have = mixed.groupBy("source").agg(F.count("*").alias("documents"), F.sum("n_tokens").alias("tokens"), F.sum(F.col("n_tokens") * F.col("copies")).alias("mixed_tokens"), F.sum("copies").alias("mixed_documents"), F.max("copies").alias("most_copies"))

@@ -27,9 +27,9 @@ from quillspark.session import stored
 SENTENCE = re.compile(r"[.!?]+\s|[\r\n]+")
 SLOTS = 1 << 18
 LEVELS = ("primary", "middle", "secondary", "tertiary")
-ROUNDS, TOLERANCE = 100, 0.001  # the rounds end once no word moves by more; their number only guards against none such
+ROUNDS, TOLERANCE = 100, 0.0001  # the rounds end once no word moves by more; their number only guards against none such
 COMMON = 0.005  # share of the documents at which a word carries half its weight
-BIN, ENOUGH, FULL_WORDS = 0.01, 300, 80  # of the corpus's scores, by which the cuts are settled
+BIN, FULL_WORDS = 0.01, 80  # of the corpus's scores, by which the cuts are settled
 SHORT = 4.0  # words from which a sentence counts in full
 PRIOR = 0.5  # full sentences' worth of the mean level that each word starts with
 _EDGES = "doc_id bigint, grade double, n_words int, lang string, slots array<int>, sentences array<int>"
@@ -144,8 +144,8 @@ def _cuts(scores: np.ndarray, grades: np.ndarray) -> np.ndarray:
 def _settle(cuts: np.ndarray, scores: np.ndarray, grades: np.ndarray, bins: np.ndarray) -> np.ndarray:
     """Move each cut to where the corpus is thinnest between the examples' means; bins count documents by BIN.
 
-    A cut stays within the middle three fifths between the two means, and where it is when the corpus is too small
-    to tell; of equally thin places the nearest to the examples' cut counts.
+    A cut stays within the middle three fifths between the two means; of equally thin places, which a small corpus
+    has many of, the nearest to the examples' cut counts. The rule is the same for any number of documents.
     """
     width = np.arange(-8, 9)
     kernel = np.exp(-0.5 * (width / 2.5) ** 2)
@@ -157,8 +157,7 @@ def _settle(cuts: np.ndarray, scores: np.ndarray, grades: np.ndarray, bins: np.n
             continue
         low, high = scores[grades == g].mean(), scores[grades == g + 1].mean()
         inside = (at >= low + 0.2 * (high - low)) & (at <= high - 0.2 * (high - low))
-        around = (at >= low - 0.2) & (at <= high + 0.2)
-        if not inside.any() or bins[around].sum() < ENOUGH:
+        if not inside.any():
             continue
         least = smooth[inside].min()
         thin = at[inside][smooth[inside] <= least + 1e-9]

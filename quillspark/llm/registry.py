@@ -70,12 +70,19 @@ def p8_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
+def _mixture(spark: SparkSession, sf_dir: str) -> Mixture:
+    """Of the vocabulary file that the session's quillspark.tokenizer names."""
+    vocabulary = spark.conf.get("quillspark.tokenizer", "/opt/tokenizers/byte_bpe_50k.tiktoken")
+    return Mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_targets"), tokenizer=vocabulary)
+
+
 def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_targets")).mix
+    return _mixture(spark, sf_dir).mix
 
 
 def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_targets")).report
+    """Of the same mix as p9_mix: the draw depends on the documents alone."""
+    return _mixture(spark, sf_dir).report
 
 
 def _levels(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -309,6 +309,9 @@ def test_leaks_against_brute_force(spark, block):
     assert clean[6][0] == 6 and "beta" not in clean[6][2] and clean[6][2].count("q") == 3010
 
 
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
 def test_mixture_reaches_shares_within_repeats(spark):
     rng = random.Random(9)
     text = lambda n: " ".join(rng.choice(["rod", "heat", "turn", "long", "cold"]) for _ in range(n))
@@ -316,7 +319,7 @@ def test_mixture_reaches_shares_within_repeats(spark):
     docs += [(9000, None, "small", 1), (9001, "", "small", 1), (9002, "x" * 20_000, "other", 1)]
     d = spark.createDataFrame(docs, "doc_id bigint, text string, source string, p int").repartition(5)
     t = spark.createDataFrame([("big_source", 0.5, 1), ("SMALL", 0.3, 3), ("absent", 0.2, 2)], "source string, target_share double, max_repeats int")
-    m = Mixture(d, t)
+    m = Mixture(d, t, tokenizer=VOCABULARY)
     rep = {r.source: r for r in m.report.collect()}
     assert rep["absent"].mixed_tokens == 0
     assert abs(rep["big_source"].actual_share - 0.625) < 0.01 and abs(rep["small"].actual_share - 0.375) < 0.01
@@ -326,14 +329,39 @@ def test_mixture_reaches_shares_within_repeats(spark):
     # Documents are balanced too: the count follows the fraction of tokens.
     big = rep["big_source"]
     assert abs(big.mixed_documents / big.documents - big.mixed_tokens / big.tokens) < 0.02
-    small = Mixture(d, t, total_tokens=1000.0)
+    small = Mixture(d, t, total_tokens=1000.0, tokenizer=VOCABULARY)
     assert abs(sum(r.n_tokens * r.copies for r in small.mix.collect()) - 1000) < 200
-    assert Mixture(d.limit(0), t).mix.collect() == [] and Mixture(d, t.limit(0)).report.collect() == []
+    assert Mixture(d.limit(0), t, tokenizer=VOCABULARY).mix.collect() == [] and Mixture(d, t.limit(0), tokenizer=VOCABULARY).report.collect() == []
+
+
+def test_the_mix_depends_on_the_documents_alone(spark, monkeypatch):
+    import quillspark.llm.mixing as mx
+
+    monkeypatch.setattr(mx, "GROUP", 40)
+    monkeypatch.setattr(mx, "FAN_IN", 3)
+    rng = random.Random(12)
+    d = spark.createDataFrame([(i, "rod heat turn " * rng.randrange(5, 30), rng.choice(["a", "a", "b"])) for i in range(700)], "doc_id bigint, text string, source string")
+    t = spark.createDataFrame([("a", 0.4, 1), ("b", 0.6, 2)], "source string, target_share double, max_repeats int")
+    one = {(r.doc_id, r.copies) for r in Mixture(d.repartition(7), t, tokenizer=VOCABULARY).mix.collect()}
+    m = Mixture(d.orderBy(F.rand(3)).coalesce(2), t, tokenizer=VOCABULARY)
+    assert one == {(r.doc_id, r.copies) for r in m.mix.collect()}
+    assert {r.source: r.mixed_documents for r in m.report.collect()} == {s: sum(c for i, c in one if i in ids) for s, ids in (("a", {r.doc_id for r in d.filter("source = 'a'").collect()}), ("b", {r.doc_id for r in d.filter("source = 'b'").collect()}))}
+    assert all(abs(r.actual_share - r.target_share) < 0.01 for r in m.report.collect())
+
+
+def test_token_counts_are_the_tokenizers_own(spark):
+    import base64
 
+    import tiktoken
 
-def test_token_counts(spark):
-    d = spark.createDataFrame([(1, "hello world"), (2, None), (3, "")], "doc_id bigint, text string")
-    assert {r.doc_id: r.n_tokens for r in with_tokens(d, "text").collect()} == {1: 2, 2: 0, 3: 0}
+    from quillspark.llm.mixing import PATTERN
+
+    rng = random.Random(13)
+    texts = ["hello world", None, "", "x" * 10_000, "".join(rng.choice("abcdefgh") for _ in range(10_000)) + " and then a tail, of words", " " * 9000 + "y"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(VOCABULARY, "rb"))}
+    enc = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    assert {r.doc_id: r.n_tokens for r in with_tokens(d, "text", VOCABULARY).collect()} == {i: len(enc.encode_ordinary(t)) if t else 0 for i, t in enumerate(texts)}
 
 
 def test_reading_levels_on_held_out_examples(spark):
@@ -378,3 +406,17 @@ def test_reading_levels_are_those_of_a_converged_run(spark, monkeypatch):
     assert got.keys() == want.keys() and len(got) > 20
     assert max(abs(got[k].difficulty - want[k].difficulty) for k in want) < 0.0002
     assert all(got[k].reading_level == want[k].reading_level for k in want)
+
+
+def test_reading_levels_in_a_small_and_a_large_corpus(spark):
+    from tests.fixtures import SMALL
+
+    large = SMALL.parent / "sf0.1"
+    if not large.exists():
+        pytest.skip("no test tables")
+    d, g = (spark.read.parquet(f"{large}/{name}.parquet") for name in ("documents", "level_samples"))
+    few = d.filter("doc_id % 40 = 7")
+    run = lambda x: {r.doc_id: r for r in reading_levels(x, g, F.col("doc_id"), F.col("text"), F.col("text"), F.col("reading_level")).collect() if r.reading_level is not None and r.n_words >= 80}
+    small, whole = run(few), run(d)
+    assert len(small) > 100 and small.keys() <= whole.keys()
+    assert sum(small[k].reading_level == whole[k].reading_level for k in small) >= 0.97 * len(small)
