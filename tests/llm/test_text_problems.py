@@ -296,19 +296,35 @@ def test_near_duplicates_of_nothing(spark):
 ITEMS = [(1, "alpha beta gamma delta epsilon zeta"), (2, "zero beta gamma delta epsilon one"), (3, "short one"), (None, "alpha beta gamma delta"), (4, None)]
 
 
-@pytest.mark.parametrize("block", [50_000, 5])
-def test_leaks_against_brute_force(spark, block):
+def test_leaks_against_brute_force(spark):
     docs = [(1, "x Alpha, BETA gamma-delta y"), (2, "beta gamma delta epsilon"), (3, None), (4, ""), (5, "alpha beta gamma"), (2, "beta gamma delta epsilon"), (6, "q " * 3000 + "zero beta gamma delta epsilon one " + "q " * 10)]
     d = spark.createDataFrame([(*x, 0) for x in docs], "doc_id bigint, text string, item_id int")
     i = spark.createDataFrame(ITEMS, "item_id bigint, text string")
-    got = {(r.doc_id, r.item_id, r.longest) for r in leaks(d, i, min_words=4, block_words=block).collect()}
+    got = {(r.doc_id, r.item_id, r.longest) for r in leaks(d, i, min_words=4).collect()}
     assert got == {(1, 1, 4), (2, 1, 4), (2, 2, 4), (6, 2, 6), (6, 1, 4)}
     assert leaks(d, i.limit(0)).collect() == [] and leaks(d.limit(0), i).collect() == []
-    clean = {r.doc_id: (r.removed_words, r.dropped, r.clean_text) for r in decontaminate(d, i, min_words=4, block_words=block).collect()}
+    clean = {r.doc_id: (r.removed_words, r.dropped, r.clean_text) for r in decontaminate(d, i, min_words=4).collect()}
     assert clean[2] == (4, True, None) and clean[5] == (0, False, "alpha beta gamma") and clean[3] == (0, False, None)
     assert clean[6][0] == 6 and "beta" not in clean[6][2] and clean[6][2].count("q") == 3010
 
 
+def test_leaks_of_many_items_by_every_filter(spark, monkeypatch):
+    """Against all runs of words, also where the filter lets everything pass."""
+    import quillspark.llm.leakage as lk
+
+    rng = random.Random(14)
+    text = lambda n: " ".join(rng.choice("abcdefgh") for _ in range(n))
+    items = [(i, text(rng.randrange(3, 25))) for i in range(150)]
+    docs = [(i, text(rng.randrange(0, 200)) + " " + " ".join(items[rng.randrange(150)][1].split()[1:9])) for i in range(60)]
+    runs = lambda t: {tuple(w[k : k + 7]) for w in [t.split()] for k in range(len(w) - 6)}
+    want = {(d, i) for d, t in docs for i, x in items if runs(t) & runs(x)}
+    d, it = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    for slots in (1 << 22, 1):
+        monkeypatch.setattr(lk, "FILTER_SLOTS", slots)
+        assert {(r.doc_id, r.item_id) for r in leaks(d, it, min_words=7).collect()} == want
+    assert len(want) > 20
+
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
