@@ -4,8 +4,13 @@ Words are hashed into GROUPS groups and a record becomes the point of its group
 is at most the sum of their coordinates' minima, and that of a record with anything in a tree's node at most the
 sum of minima with the node's upper corner, so nodes below the overlap that the threshold demands are passed over.
 The forest has one tree per word among a record's rarest: records of similarity t or more share one of their few
-rarest words, so no pair is lost by searching trees apart. A tree grown too large is cut into blocks that are
-searched pairwise. Pairs that survive are verified on the word sets. Exact copies travel as one class.
+rarest words, so no pair is lost by searching trees apart. Where a word has more than BLOCK records, its tree is
+parted by the second word the records share, and where that is not enough by the third: similar records also share
+their second and third common word within a few places more. So a record stands in a bounded number of trees of a
+bounded size, whatever the number of records; only what shares three words with more than BLOCK others is cut into
+blocks that are searched pairwise. Within a tree points lie in the order of their rarest words' groups, so that a
+leaf holds like records and its corner is tight. Pairs that survive are verified on the word sets. Exact copies
+travel as one class.
 """
 
 from __future__ import annotations
@@ -22,6 +27,8 @@ from quillspark.session import cut, stored
 SLOTS = 1 << 20  # of the word frequencies that order words by rarity: a fixed size
 GROUPS = 1024
 BLOCK = 4096
+DEPTH = 3  # words by which a tree is parted at most
+PAIR_SLOTS = 1 << 22  # of the frequencies of words together: a fixed size
 FANOUT = 16
 PART = 1000  # ids of a class in one part, so that the pairs of a large class spread over tasks
 SMALL = 48  # up to so many points a tree is a single leaf
@@ -37,32 +44,100 @@ def _needed(m, n, t: float):
     return np.ceil(t / (1 + t) * (m + n) - 1e-9)
 
 
-def _poster(frequency, t: float):
+def _mixed(key: int, h: int) -> int:
+    """The key of one word more, as a signed 64-bit number."""
+    x = ((key ^ (h & 0xFFFFFFFFFFFFFFFF)) * 0x9E3779B97F4A7C15 + 0x7F4A7C15) & 0xFFFFFFFFFFFFFFFF
+    x ^= x >> 29
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _ordered(col: pa.ListArray, seen: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Words of the records, rarest first: offsets, row, rank, word, frequency."""
+    off = col.offsets.to_numpy().astype(np.int64)
+    h = col.values.to_numpy(zero_copy_only=False)[off[0] : off[-1]] if len(off) else np.zeros(0, np.int64)
+    off = off - off[0]
+    row = np.repeat(np.arange(len(off) - 1), np.diff(off))
+    freq = seen[h & (SLOTS - 1)]
+    order = np.lexsort((h, freq, row))
+    rank = np.arange(len(h)) - off[row]
+    return off, row, rank, h[order], freq[order]
+
+
+def _probe(m: np.ndarray, t: float) -> np.ndarray:
+    """Of how many rarest words similar records share one."""
+    return m - np.ceil(t * m - 1e-9).astype(np.int64) + 1
+
+
+def _parted(h: list[int], first: int, n_first: int, probe: int, tables: list[np.ndarray], block: int) -> Iterator[tuple[int, int, int]]:
+    """Trees of a record under its word ``first``: (key, frequency, words of the key). More words follow where a tree is too large and ``tables`` tell of them."""
+    work = [(first, h[first], n_first, 1)]
+    while work:
+        last, key, n, depth = work.pop()
+        if n < 2:
+            continue  # leads nowhere
+        if n <= block or depth > len(tables):
+            yield key, n, depth
+            continue
+        table = tables[depth - 1]
+        for j in range(last + 1, min(len(h), probe + depth)):
+            k = _mixed(key, h[j])
+            work.append((j, k, int(table[k & (PAIR_SLOTS - 1)]), depth + 1))
+
+
+def _counter(shared, t: float, block: int):
+    """Counts of the keys of one word more than ``shared`` has tables for, where the tree above is too large."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, tables = shared.value
+        sums = np.zeros(PAIR_SLOTS, np.int64)
+        for b in batches:
+            off, row, rank, h, freq = _ordered(b.column(1), seen)
+            probe = _probe(np.diff(off), t)
+            for i in np.flatnonzero((rank < probe[row]) & (freq > block)):
+                r = row[i]
+                words, p = h[off[r] : off[r + 1]].tolist(), int(probe[r])
+                work = [(int(rank[i]), words[rank[i]], 1)]
+                while work:
+                    last, key, depth = work.pop()
+                    for j in range(last + 1, min(len(words), p + depth)):
+                        k = _mixed(key, words[j])
+                        if depth > len(tables):
+                            sums[k & (PAIR_SLOTS - 1)] += 1
+                        elif tables[depth - 1][k & (PAIR_SLOTS - 1)] > block:
+                            work.append((j, k, depth + 1))
+        k = np.flatnonzero(sums)
+        if len(k):
+            yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(sums[k])], names=["slot", "n"])
+
+    return count
+
+
+def _poster(shared, t: float, block: int):
     """(cid, hashes) -> postings: bucket, lo, hi (blocks), side, cid, size, pos, groups."""
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = frequency.value
+        seen, tables = shared.value
         for b in batches:
-            col = b.column(1)
-            off = col.offsets.to_numpy().astype(np.int64)
-            h = col.values.to_numpy(zero_copy_only=False)[off[0] : off[-1]] if len(off) else np.zeros(0, np.int64)
-            off = off - off[0]
-            m = np.diff(off)
-            cid = b.column(0).to_numpy()
+            off, row, rank, h, freq = _ordered(b.column(1), seen)
             if not h.size:
                 continue
-            row = np.repeat(np.arange(len(m)), m)
-            freq = seen[h & (SLOTS - 1)]
-            order = np.lexsort((h, freq, row))
-            rank = np.arange(len(h)) - off[row]  # position among its record's words, rarest first, once ordered
-            h, freq = h[order], freq[order]
+            m = np.diff(off)
+            cid = b.column(0).to_numpy()
             group = ((h >> 40) & (GROUPS - 1)).astype(np.uint16)
-            probe = m - np.ceil(t * m - 1e-9).astype(np.int64) + 1
-            take = np.flatnonzero((rank < probe[row]) & (freq > 1))  # a word no other record has leads nowhere
             packed = [group[off[r] : off[r + 1]].tobytes() for r in range(len(m))]
-            blocks = -(-freq[take] // BLOCK)
-            rows = row[take]
-            rep = np.repeat(np.arange(len(take)), blocks)
+            probe = _probe(m, t)
+            within = rank < probe[row]
+            one = np.flatnonzero(within & (freq > 1) & (freq <= block))
+            keys, many, at = [h[one]], [np.ones(len(one), np.int64)], [one]
+            for i in np.flatnonzero(within & (freq > block)):
+                r = row[i]
+                got = list(_parted(h[off[r] : off[r + 1]].tolist(), int(rank[i]), int(freq[i]), int(probe[r]), tables, block))
+                keys.append(np.array([g[0] for g in got], np.int64))
+                many.append(np.array([-(-g[1] // block) for g in got], np.int64))
+                at.append(np.full(len(got), i))
+            key, blocks, at = np.concatenate(keys), np.concatenate(many), np.concatenate(at)
+            rows = row[at]
+            rep = np.repeat(np.arange(len(at)), blocks)
             other = np.arange(len(rep)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
             own = (((cid[rows] >> 20) & 0x7FFFFFFF) % blocks)[rep]
             lo, hi = np.minimum(own, other), np.maximum(own, other)
@@ -70,7 +145,7 @@ def _poster(frequency, t: float):
             for s in range(0, len(r), 20_000):
                 k = slice(s, s + 20_000)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h[take][rep][k]), pa.array(lo[k].astype(np.int32)), pa.array(hi[k].astype(np.int32)), pa.array(own[k].astype(np.int32)), pa.array(cid[r][k]), pa.array(m[r][k].astype(np.int32)), pa.array(rank[take][rep][k].astype(np.int32)), pa.array([packed[x] for x in r[k]], pa.binary())],
+                    [pa.array(key[rep][k]), pa.array(lo[k].astype(np.int32)), pa.array(hi[k].astype(np.int32)), pa.array(own[k].astype(np.int32)), pa.array(cid[r][k]), pa.array(m[r][k].astype(np.int32)), pa.array(rank[at][rep][k].astype(np.int32)), pa.array([packed[x] for x in r[k]], pa.binary())],
                     names=["bucket", "lo", "hi", "side", "cid", "size", "pos", "groups"],
                 )
 
@@ -81,7 +156,9 @@ def _points(groups: list[bytes]) -> np.ndarray:
     k = len(groups)
     lens = np.array([len(g) // 2 for g in groups])
     flat = np.frombuffer(b"".join(groups), np.uint16).astype(np.int64) + np.repeat(np.arange(k) * GROUPS, lens)
-    return np.minimum(np.bincount(flat, minlength=k * GROUPS), 255).reshape(k, GROUPS).astype(np.uint8)
+    counts = np.bincount(flat, minlength=k * GROUPS).reshape(k, GROUPS)
+    top = int(counts.max(initial=0))
+    return counts.astype(np.uint8 if top < 256 else np.int32)
 
 
 def _bound(q: np.ndarray, p: np.ndarray) -> np.ndarray:
@@ -98,8 +175,10 @@ def _bound(q: np.ndarray, p: np.ndarray) -> np.ndarray:
 
 def tree_pairs(cid: np.ndarray, size: np.ndarray, pos: np.ndarray, side: np.ndarray, groups: list[bytes], t: float, cross: bool) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of a bucket whose points' bound reaches the overlap they need; the smaller set is the query."""
-    order = np.lexsort((cid, pos, size))
+    order = np.array(sorted(range(len(cid)), key=lambda i: (groups[i], cid[i])), np.int64)  # like records side by side
     cid, size, pos, side = cid[order], size[order], pos[order], side[order]
+    place = np.empty(len(cid), np.int64)
+    place[np.lexsort((cid, pos, size))] = np.arange(len(cid))  # the smaller set is the query
     pts = _points([groups[i] for i in order])
     index = np.flatnonzero(pos <= size - np.ceil(2 * t / (1 + t) * size - 1e-9))
     if not len(index):
@@ -107,7 +186,7 @@ def tree_pairs(cid: np.ndarray, size: np.ndarray, pos: np.ndarray, side: np.ndar
 
     def fits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Sizes, and places of the shared word, leave room for the overlap needed; ordered, each pair once."""
-        ok = (size[a] >= t * size[b] - 1e-9) & (np.minimum(size[a] - pos[a], size[b] - pos[b]) >= _needed(size[a], size[b], t)) & (a < b)
+        ok = (size[a] >= t * size[b] - 1e-9) & (np.minimum(size[a] - pos[a], size[b] - pos[b]) >= _needed(size[a], size[b], t)) & (place[a] < place[b])
         return ok & (side[a] != side[b]) if cross else ok
 
     k = len(cid)
@@ -116,16 +195,17 @@ def tree_pairs(cid: np.ndarray, size: np.ndarray, pos: np.ndarray, side: np.ndar
         keep = fits(a, b)
         a, b = a[keep], b[keep]
     else:
-        # Bulk-loaded by size: leaves of FANOUT points, nodes of FANOUT leaves; corners are upper bounds.
+        # Bulk-loaded: leaves of FANOUT points, nodes of FANOUT leaves; corners are upper bounds.
         leaves = [np.arange(s, min(s + FANOUT, k)) for s in range(0, k, FANOUT)]
         corner = np.maximum.reduceat(pts, np.arange(0, k, FANOUT), axis=0)
         nodes = np.maximum.reduceat(corner, np.arange(0, len(leaves), FANOUT), axis=0)
-        least, most = size[::FANOUT], size[[x[-1] for x in leaves]]
+        least, most = np.minimum.reduceat(size, np.arange(0, k, FANOUT)), np.maximum.reduceat(size, np.arange(0, k, FANOUT))
+        under = np.minimum.reduceat(least, np.arange(0, len(leaves), FANOUT))
         got_a, got_b = [], []
         for s in range(0, len(index), 512):
             q = index[s : s + 512]
             room = _bound(pts[q], nodes)
-            need = t / (1 + t) * (size[q][:, None] + np.maximum(size[q][:, None], least[::FANOUT][None, :])) - 1e-6
+            need = t / (1 + t) * (size[q][:, None] + np.maximum(size[q][:, None], under[None, :])) - 1e-6
             qi, ni = np.nonzero(room >= need)
             if not len(qi):
                 continue
@@ -211,7 +291,15 @@ class NearDuplicates:
         counted = hashed.select(F.explode("h").alias("h")).groupBy(F.col("h").bitwiseAND(F.lit(SLOTS - 1)).alias("slot")).agg(F.count("*").alias("n")).toPandas()  # at most SLOTS rows
         frequency = np.zeros(SLOTS, np.int64)
         frequency[counted["slot"].to_numpy()] = counted["n"].to_numpy()
-        posts = hashed.mapInArrow(_poster(sc.broadcast(frequency), threshold), "bucket bigint, lo int, hi int, side int, cid bigint, size int, pos int, groups binary")
+        tables: list[np.ndarray] = []
+        hot = frequency.max(initial=0) > BLOCK
+        while hot and len(tables) < DEPTH - 1:
+            sums = hashed.mapInArrow(_counter(sc.broadcast((frequency, tables)), threshold, BLOCK), "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()  # at most PAIR_SLOTS rows
+            table = np.zeros(PAIR_SLOTS, np.int64)
+            table[sums["slot"].to_numpy(np.int64)] = sums["n"].to_numpy()
+            tables = [*tables, table]
+            hot = table.max(initial=0) > BLOCK
+        posts = hashed.mapInArrow(_poster(sc.broadcast((frequency, tables)), threshold, BLOCK), "bucket bigint, lo int, hi int, side int, cid bigint, size int, pos int, groups binary")
         found = posts.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi").mapInArrow(_searcher(threshold), "a bigint, b bigint").distinct()
         side = lambda x: self.classes.select(F.col("cid").alias(x), F.col("key").alias(f"key_{x}"), F.col("words").alias(f"words_{x}"))
         both = found.join(side("a"), "a").join(side("b"), "b").withColumn("common", F.size(F.array_intersect("words_a", "words_b")))

@@ -288,6 +288,71 @@ def test_near_duplicates_in_blocks_and_big_trees(spark, monkeypatch):
     assert len(want) > 3
 
 
+@pytest.mark.parametrize("block", [100, 12, 3])
+def test_near_duplicates_in_parted_trees(spark, monkeypatch, block):
+    """A few words make all records, so that trees are parted by second and third words, and blocks remain."""
+    import quillspark.llm.near_dup as nd
+
+    monkeypatch.setattr(nd, "BLOCK", block)
+    rng = random.Random(9)
+    base = [[f"w{rng.randrange(25)}" for _ in range(10)] for _ in range(40)]
+    texts = {f"k{i:03d}": " ".join(rng.sample([*base[i % 40], f"w{rng.randrange(25)}"], 10)) for i in range(300)}
+    near = nd.NearDuplicates(spark.createDataFrame(list(texts.items()), "id string, text string"), F.col("id"), F.col("text"), 0.75)
+    ids = list(texts)
+    want = {(b, a) for i, a in enumerate(ids) for b in ids[:i] if jaccard(texts[a], texts[b]) >= 0.75}
+    assert {tuple(r) for r in near.id_pairs().collect()} == want
+    assert len(want) > 300
+
+
+def test_postings_stay_flat_with_the_number_of_records():
+    """The vocabulary and shares of the test bank's questions, taken for ever more records."""
+    import numpy as np
+    import pyarrow as pa
+
+    import quillspark.llm.near_dup as nd
+
+    class Shared:
+        def __init__(self, value):
+            self.value = value
+
+    rng = np.random.default_rng(15)
+    share = 1 / np.arange(1, 4001) ** 0.9  # a fixed vocabulary by Zipf's law
+    h = rng.integers(-(2**63), 2**63 - 1, 4000)
+    sets = [np.unique(rng.choice(4000, 60, p=share / share.sum())) for _ in range(10_000)]
+    col = pa.array([h[s].tolist() for s in sets], pa.list_(pa.int64()))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(10_000) << 20), col], names=["cid", "h"])
+    per = {}
+    for scale in (1, 100, 1000):  # 10^4, 10^6, 10^7 records
+        seen = np.zeros(nd.SLOTS, np.int64)
+        for s in sets:
+            seen[h[s] & (nd.SLOTS - 1)] += scale
+        tables = []
+        for _ in range(nd.DEPTH - 1):
+            table = np.zeros(nd.PAIR_SLOTS, np.int64)
+            for out in nd._counter(Shared((seen, tables)), 0.75, nd.BLOCK)(iter([batch])):
+                table[out.column(0).to_numpy()] = out.column(1).to_numpy() * scale
+            tables.append(table)
+        posts = list(nd._poster(Shared((seen, tables)), 0.75, nd.BLOCK)(iter([batch])))
+        per[scale] = sum(b.num_rows for b in posts) / 10_000
+    print(per)
+    assert max(per.values()) < 150
+
+
+def test_near_duplicates_of_every_hundredth_question(spark):
+    from quillspark.llm.registry import p7_found
+    from tests.fixtures import SMALL
+
+    folder = SMALL.parent / "sf0.1"
+    if not folder.exists():
+        pytest.skip("no test tables")
+    bank = {(r.question_id, frozenset(words(r.question_text))) for r in spark.read.parquet(f"{folder}/questions.parquet").select("question_id", "question_text").distinct().collect() if words(r.question_text)}
+    ids = sorted({i for i, _ in bank})[::100]
+    asked = [(i, s) for i, s in bank if i in set(ids)]
+    want = {(min(i, j), max(i, j)) for i, s in asked for j, r in bank if i != j and len(s & r) >= 0.75 * len(s | r)}
+    got = {tuple(r) for r in p7_found(spark, str(folder)).collect()}
+    assert want <= got and {p for p in got if set(p) & set(ids)} == want and len(want) > 5
+
+
 def test_near_duplicates_of_nothing(spark):
     near = NearDuplicates(spark.createDataFrame([], "id string, text string"), F.col("id"), F.col("text"))
     assert near.id_pairs().collect() == [] and near.groups().collect() == []
