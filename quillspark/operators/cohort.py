@@ -112,3 +112,22 @@ def gaps(states: DataFrame, links: DataFrame) -> DataFrame:
     reasons = F.array_compact(F.array(F.when(thin, "INSUFFICIENT_EVIDENCE"), F.when(low, "LOW_MASTERY"), F.when(weak_, "WEAK_PREREQUISITE"), F.when(broad, "HIGH_DOWNSTREAM_IMPACT")))
     kind = F.when(low, "LOW_MASTERY").when(thin, "INSUFFICIENT_EVIDENCE").when(weak_, "WEAK_PREREQUISITE").otherwise("HIGH_DOWNSTREAM_IMPACT")
     return g.withColumn("reasons", F.array_join(reasons, ",")).filter("reasons != ''").withColumn("gap_type", kind)
+
+
+def learner_progress(states: DataFrame, concepts: DataFrame) -> DataFrame:
+    """Per learner over all of a subject's concepts: explored, mastered (0.75), developing (0.4), mean mastery with 0.30 for what was not tried, and how much was explored."""
+    all_ = concepts.select("concept_id").distinct()
+    n = all_.agg(F.count("*").alias("n"))
+    g = states.join(all_, "concept_id", "left_semi").groupBy("learner_id").agg(F.count("*").alias("explored"), F.count_if(F.col("mastery") >= 0.75).alias("mastered"), F.count_if((F.col("mastery") >= 0.4) & (F.col("mastery") < 0.75)).alias("developing"), F.sum("mastery").alias("sm"))
+    rate = F.col("explored") / F.col("n")
+    return g.join(F.broadcast(n)).select(  # one row
+        "learner_id", F.col("n").alias("total_concepts"), F.col("explored").alias("explored_concepts"), F.col("mastered").alias("mastered_concepts"), F.col("developing").alias("developing_concepts"), (F.col("n") - F.col("explored")).alias("unexplored_concepts"),
+        F.round((F.col("sm") + MISSING * (F.col("n") - F.col("explored"))) / F.col("n"), 3).alias("average_mastery"), F.round(rate, 3).alias("exploration_rate"), F.when(rate > 0.6, "HIGH").when(rate > 0.2, "MEDIUM").otherwise("LOW").alias("overall_confidence"),
+    )
+
+
+def sufficiency(states: DataFrame, learners: DataFrame, concepts: DataFrame) -> DataFrame:
+    """Per learner: observed concepts, attempts, and UNINITIALIZED (none), INSUFFICIENT_EVIDENCE (below 3) or INITIALIZED."""
+    g = states.filter("attempts > 0").join(concepts.select("concept_id").distinct(), "concept_id", "left_semi").groupBy("learner_id").agg(F.count("*").alias("observed_concepts"), F.sum("attempts").alias("attempts"))
+    x = learners.join(g, "learner_id", "left").fillna(0, ["observed_concepts", "attempts"])
+    return x.withColumn("status", F.when(F.col("attempts") == 0, "UNINITIALIZED").when(F.col("attempts") < 3, "INSUFFICIENT_EVIDENCE").otherwise("INITIALIZED"))

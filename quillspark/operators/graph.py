@@ -39,6 +39,8 @@ def _kahn(links: list[tuple[str, str]]) -> list[tuple[str, int, bool]]:
     wait: dict[str, int] = {}
     for a, b in set(links):
         wait.setdefault(a, 0)
+        if b is None:
+            continue
         wait.setdefault(b, 0)
         down.setdefault(a, set()).add(b)
         wait[b] += 1
@@ -58,7 +60,7 @@ def _kahn(links: list[tuple[str, str]]) -> list[tuple[str, int, bool]]:
 
 
 def topological_order(links: DataFrame) -> DataFrame:
-    """(tree, node, place, acyclic): the lexicographically least order in which prerequisites come first.
+    """(tree, node, place, acyclic): the lexicographically least order in which prerequisites come first; a null target only names its node.
 
     The order of one tree is sequential by its definition; a task keeps the distinct links of one tree at a time.
     """
@@ -80,5 +82,5 @@ def topological_order(links: DataFrame) -> DataFrame:
         if held:
             yield flush()
 
-    rows = links.select("tree", "source", "target").dropna().distinct().repartition("tree").sortWithinPartitions("tree")
+    rows = links.select("tree", "source", "target").dropna(subset=["tree", "source"]).distinct().repartition("tree").sortWithinPartitions("tree")
     return rows.mapInArrow(run, "tree string, node string, place int, acyclic boolean")

@@ -203,3 +203,31 @@ def misconceptions(events: DataFrame) -> DataFrame:
     e = events.filter("learner_id IS NOT NULL AND misconception_id IS NOT NULL AND wrong IS NOT NULL")
     e = e.dropDuplicates(["learner_id", "misconception_id", "at", "event_id"])
     return e.repartition("learner_id", "misconception_id").sortWithinPartitions("learner_id", "misconception_id", "at", "event_id").select("learner_id", "misconception_id", "wrong").mapInPandas(run, "learner_id string, misconception_id string, confidence double, frequency int, status string")
+
+
+def trajectory(df: DataFrame, entity: Column, item: Column, event_id: Column, at: Column, score: Column, first: int | None = None, p_init: float = P_INIT, transit: float = P_TRANSIT, slip: float = P_SLIP, guess: float = P_GUESS) -> DataFrame:
+    """(entity, item, step, mastery): mastery before the first and after each answer, not rounded; of the ``first`` answers where given.
+
+    Rows repeating (entity, item, time, event_id) count once. The fold streams over sorted rows with constant memory.
+    """
+    s = score.cast("double")
+    events = df.select(entity.cast("string").alias("entity"), item.cast("string").alias("item"), at.alias("at"), event_id.alias("event_id"), (s >= 0.5).alias("right")).dropna(subset=["entity", "item", "at", "right"]).dropDuplicates(["entity", "item", "at", "event_id"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, p, n = None, p_init, 0
+        for pdf in batches:
+            rows = []
+            for e, i, right in zip(pdf["entity"].tolist(), pdf["item"].tolist(), pdf["right"].tolist()):
+                if (e, i) != key:
+                    key, p, n = (e, i), p_init, 0
+                    rows.append((e, i, 0, p))
+                n += 1
+                if first is not None and n > first:
+                    continue
+                known, not_known = (p * (1 - slip), (1 - p) * guess) if right else (p * slip, (1 - p) * (1 - guess))
+                post = known / (known + not_known)
+                p = post * (1 - transit) + transit
+                rows.append((e, i, n, p))
+            yield pd.DataFrame(rows, columns=["entity", "item", "step", "mastery"])
+
+    return events.repartition("entity", "item").sortWithinPartitions("entity", "item", "at", "event_id").select("entity", "item", "right").mapInPandas(run, "entity string, item string, step int, mastery double")

@@ -231,15 +231,6 @@ def mth_01_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.join(total, "learner_id").groupBy("learner_id").agg((F.round(F.sum(L.plog2p(F.col("mastery") / F.col("t"))), 5) + 0.0).alias("entropy"))
 
 
-@query(f"""WITH {STATES}, w AS (SELECT s.learner_id, s.concept_id, (1.0::DOUBLE - s.mastery) * (0.5::DOUBLE + 0.5::DOUBLE * 0.85::DOUBLE) + 0.1::DOUBLE AS w FROM states s)
-SELECT learner_id, concept_id, round(w / sum(w) OVER (PARTITION BY learner_id), 6) AS prior FROM w""")
-def mth_05_hypothesis_priors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Normalised weights of each learner's concepts as causes of a gap."""
-    s = states(spark, sf_dir).select("learner_id", "concept_id", ((1.0 - F.col("mastery")) * (0.5 + 0.5 * 0.85) + 0.1).alias("w"))
-    total = s.groupBy("learner_id").agg(F.sum("w").alias("t"))
-    return s.join(total, "learner_id").select("learner_id", "concept_id", F.round(F.col("w") / F.col("t"), 6).alias("prior"))
-
-
 @query(r"""WITH i AS (SELECT DISTINCT interaction_id, question_id, question_type, response FROM interactions), """ + _QUESTIONS + r""",
 j AS (SELECT i.interaction_id, i.question_type AS k, lower(trim(i.response)) AS r, lower(trim(q.correct_answer)) AS e FROM i JOIN q USING (question_id)),
 n AS (SELECT *, TRY_CAST(nullif(regexp_extract(r, '^[+-]?\d+(\.\d+)?'), '') AS DOUBLE) AS rn, TRY_CAST(nullif(regexp_extract(e, '^[+-]?\d+(\.\d+)?'), '') AS DOUBLE) AS en,

@@ -85,15 +85,3 @@ def str_14_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "evidence").groupBy("document_id", "evidence_id").agg(F.max("excerpt").alias("t"))
     d = e.select("document_id", F.explode(F.regexp_extract_all("t", F.lit(DEFINES), F.lit(1))).alias("term"))
     return d.groupBy("document_id", F.lower("term").alias("term")).agg(F.count("*").alias("times"))
-
-
-@query(f"""WITH {STATES}, w AS (SELECT learner_id, concept_id, mastery, (1.0::DOUBLE - mastery) * (0.5::DOUBLE + 0.5::DOUBLE * 0.85::DOUBLE) + 0.1::DOUBLE AS w FROM states), asked AS (SELECT learner_id, arg_min(concept_id, (mastery, concept_id)) AS q FROM states GROUP BY 1),
-b AS (SELECT w.learner_id, w.concept_id, w * (CASE WHEN w.concept_id = asked.q THEN 0.75::DOUBLE ELSE 0.1::DOUBLE END) AS b FROM w JOIN asked USING (learner_id)), p AS (SELECT *, b / sum(b) OVER (PARTITION BY learner_id) AS p FROM b)
-SELECT learner_id, concept_id, round(p, 6) AS belief, CASE WHEN p >= 0.75 THEN 'confirmed' WHEN p <= 0.05 THEN 'eliminated' ELSE 'open' END AS state FROM p""")
-def mth_06_07_beliefs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Beliefs in each concept as the cause of a gap after a wrong answer on the learner's weakest concept."""
-    s = states(spark, sf_dir).select("learner_id", "concept_id", "mastery")
-    asked = s.groupBy("learner_id").agg(F.min_by("concept_id", F.struct("mastery", "concept_id")).alias("q"))
-    b = s.join(asked, "learner_id").withColumn("b", ((1.0 - F.col("mastery")) * (0.5 + 0.5 * 0.85) + 0.1) * F.when(F.col("concept_id") == F.col("q"), 0.75).otherwise(0.1))
-    p = F.col("b") / F.col("t")
-    return b.join(b.groupBy("learner_id").agg(F.sum("b").alias("t")), "learner_id").select("learner_id", "concept_id", F.round(p, 6).alias("belief"), F.when(p >= 0.75, "confirmed").when(p <= 0.05, "eliminated").otherwise("open").alias("state"))

@@ -97,36 +97,6 @@ x AS (SELECT q.tree, q.learner_id, q.c AS q, i.p, greatest(0.001::DOUBLE, least(
 z AS (SELECT *, sum(p * k) OVER (PARTITION BY tree, learner_id, q) AS ok FROM x)"""
 
 
-@query(f"""WITH RECURSIVE {_HYP} SELECT tree, learner_id, q AS concept_id, round(greatest(0, sum(-p * log2(p)) - max(ok) * sum(-(p * k / ok) * log2(p * k / ok)) - (1.0::DOUBLE - max(ok)) * sum(-(p * (1.0::DOUBLE - k) / (1.0::DOUBLE - ok)) * log2(p * (1.0::DOUBLE - k) / (1.0::DOUBLE - ok)))), 6) + 0.0::DOUBLE AS gain FROM z GROUP BY 1, 2, 3""")
-def mth_04_hypothesis_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Information gain of asking about a concept, over all concepts of the document as hypotheses of the learner's gap.
-
-    Hypotheses at or before the asked concept share one likelihood and all others share another, so two sums per
-    question replace the product of questions and hypotheses.
-    """
-    l = doc_links(spark, sf_dir)  # noqa: E741
-    nodes = l.select("tree", F.col("source").alias("concept_id")).unionByName(l.select("tree", F.col("target").alias("concept_id"))).distinct()
-    h = hierarchy(l.select(F.lit("p").alias("hierarchy"), "tree", F.col("target").alias("parent"), F.col("source").alias("child")))
-    before = h.select("tree", F.col("node").alias("q"), F.explode(F.array_union("descendants", F.array("node"))).alias("concept_id"))
-    s = nodes.join(states(spark, sf_dir), "concept_id").select("tree", "learner_id", "concept_id", "mastery", ((1.0 - F.col("mastery")) * (0.5 + 0.5 * 0.85) + 0.1).alias("w"))
-    total = s.groupBy("tree", "learner_id").agg(F.sum("w").alias("t"))
-    p = s.join(total, ["tree", "learner_id"]).withColumn("p", F.col("w") / F.col("t"))
-    plogp = F.sum(F.col("p") * F.log2("p"))
-    whole = p.groupBy("tree", "learner_id").agg(plogp.alias("all"))
-    near = p.join(before, ["tree", "concept_id"]).groupBy("tree", "learner_id", "q").agg(F.sum("p").alias("pa"), plogp.alias("sa"))
-    x = p.select("tree", "learner_id", F.col("concept_id").alias("q"), "mastery").join(near, ["tree", "learner_id", "q"]).join(whole, ["tree", "learner_id"])
-    ka = F.lit(0.25)
-    kb = F.greatest(F.lit(0.001), F.least(F.lit(0.999), F.col("mastery") * 0.9 + (1.0 - F.col("mastery")) * 0.25))
-    pa, pb, sa, sb = F.col("pa"), F.greatest(F.lit(0.0), 1.0 - F.col("pa")), F.col("sa"), F.col("all") - F.col("sa")
-
-    def spread(a, b):  # P(r) and entropy of what is believed after r, given both likelihoods of r
-        pr = pa * a + pb * b
-        return pr, -(a / pr * (sa + pa * F.log2(a / pr)) + b / pr * (sb + pb * F.log2(b / pr)))
-
-    (ok, h_ok), (no, h_no) = spread(ka, kb), spread(1.0 - ka, 1.0 - kb)
-    return x.select("tree", "learner_id", F.col("q").alias("concept_id"), (F.round(F.greatest(F.lit(0.0), -F.col("all") - ok * h_ok - no * h_no), 6) + 0.0).alias("gain"))
-
-
 @query(f"""WITH {STATES}, {ROSTER}, w AS (SELECT DISTINCT learner_id, question_id FROM interactions WHERE correctness < 0.5 AND learner_id IS NOT NULL AND question_id IS NOT NULL), n AS (SELECT class_id, count(*) AS n FROM roster GROUP BY 1)
 SELECT r.class_id, 'misc_' || substr(sha256(w.question_id), 1, 10) AS misconception_id, count(DISTINCT w.learner_id) AS learners, round(count(DISTINCT w.learner_id) / max(n.n), 2) AS prevalence FROM w JOIN roster r USING (learner_id) JOIN n ON n.class_id = r.class_id GROUP BY 1, 2""")
 def agg_04_misconception_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,12 +120,6 @@ def agg_09_gains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.groupBy("concept_id").agg(n.alias("answers"), F.round(F.sum("b") / 10_000.0 / n, 8).alias("pre_mean"), F.round(F.sum("a") / 10_000.0 / n, 8).alias("post_mean"), sb.alias("struggling_before"), sa.alias("struggling_after"), ((F.sum("a") - F.sum("b") > 1000 * n) | (sa < sb)).alias("effective"))
 
 
-@query(f"""WITH {STATES} SELECT learner_id, count(*) AS observed, CAST(sum(attempts) AS BIGINT) AS attempts, CASE WHEN sum(attempts) < 3 THEN 'INSUFFICIENT_EVIDENCE' ELSE 'INITIALIZED' END AS status FROM states GROUP BY 1""")
-def agg_14_sufficiency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = states(spark, sf_dir).groupBy("learner_id").agg(F.count("*").alias("observed"), F.sum("attempts").alias("attempts"))
-    return s.withColumn("status", F.when(F.col("attempts") < 3, "INSUFFICIENT_EVIDENCE").otherwise("INITIALIZED"))
-
-
 @query(f"""WITH {_QUESTIONS}, c AS (SELECT document_id, chapter_id, unnest(concept_ids) AS c FROM q), k AS (SELECT document_id, chapter_id, count(DISTINCT c) AS concepts, string_agg(DISTINCT c, ',' ORDER BY c) AS concept_ids FROM c GROUP BY 1, 2)
 SELECT q.document_id, q.chapter_id, count(*) AS questions, round(avg(difficulty), 8) AS difficulty, coalesce(max(k.concepts), 0) AS concepts, coalesce(max(k.concept_ids), '') AS concept_ids FROM q LEFT JOIN k ON k.document_id = q.document_id AND k.chapter_id = q.chapter_id GROUP BY 1, 2""")
 def agg_10_30_topics(spark: SparkSession, sf_dir: str) -> DataFrame:

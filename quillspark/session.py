@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -31,16 +32,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as spark.checkpoint.dir names it; a temporary one only where that is unset."""
+    """The folder all executors share, as spark.checkpoint.dir names it.
+
+    Only a local session, whose tasks run on this machine, gets a temporary one where that is unset; on a cluster it
+    must be named, as executors would write where nobody reads.
+    """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     current = sc._jsc.sc().getCheckpointDir()
     if current.isEmpty():
+        if not named and not re.match(r"local($|\[)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quillspark-"))
         current = sc._jsc.sc().getCheckpointDir()
     return named or current.get()
 
 
+def tables_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder; it is deleted when the application ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/quillspark-{spark.sparkContext.applicationId}"
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return path
+
+
+def discard(spark: SparkSession) -> None:
+    """Delete the stored tables of this application now; only once their results are written."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(tables_dir(spark))
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives executor loss, ends the lineage."""
     shared_dir(df.sparkSession)
@@ -50,7 +71,7 @@ def cut(df: DataFrame) -> DataFrame:
 def stored(df: DataFrame) -> DataFrame:
     """Write to a compressed table in the shared folder and read it back; for results read more than once."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/stored-{uuid.uuid4().hex}"
+    path = f"{tables_dir(spark)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
