@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,9 +15,23 @@ must shall should will would do does did done have has had having what which who
 much many more most some any each other another into over under about after before between during through against above
 below up down out off again further once because while both few only own same too s t just don now
 """.split()
-# Accented letters and what stands for them in search.
-ACCENTED = "áàâäãåéèêëíìîïóòôöõúùûüñçýÿÁÀÂÄÃÅÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÑÇÝ"
-BARE = "aaaaaaeeeeiiiiooooouuuuncyyAAAAAAEEEEIIIIOOOOOUUUUNCY"
+
+
+def _decomposed() -> tuple[str, str]:
+    """Letters of the Latin, Greek and Cyrillic blocks that are a base letter with marks, and their base letters, by Unicode's own decomposition."""
+    marked = [(chr(c), unicodedata.normalize("NFKD", chr(c))) for r in ((0xC0, 0x250), (0x386, 0x500), (0x1E00, 0x2000)) for c in range(*r)]
+    pairs = [(c, d[0]) for c, d in marked if len(d) > 1 and all(unicodedata.combining(x) for x in d[1:])]
+    return "".join(c for c, _ in pairs), "".join(d for _, d in pairs)
+
+
+def _compatible() -> tuple[str, str]:
+    """Characters that stand for one other by Unicode's compatibility: full width, superscripts, odd spaces."""
+    pairs = [(chr(c), d) for r in ((0xA0, 0x100), (0x2000, 0x2100), (0x3000, 0x3001), (0xFF01, 0xFFEF)) for c in range(*r) if len(d := unicodedata.normalize("NFKC", chr(c))) == 1 and d != chr(c)]
+    return "".join(c for c, _ in pairs), "".join(d for _, d in pairs)
+
+
+ACCENTED, BARE = _decomposed()
+COMPATIBLE, PLAIN = _compatible()
 # Ligatures.
 LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
 # Phrases that negate or hedge a requirement.
@@ -27,7 +43,8 @@ NUMERALS = {"i": "1", "ii": "2", "iii": "3", "iv": "4", "v": "5", "vi": "6", "vi
 
 
 def strip_accents(text: Column) -> Column:
-    return F.translate(text, ACCENTED, BARE)
+    """Letters without their marks, composed or decomposed; ligatures as their letters."""
+    return F.translate(F.regexp_replace(fold_ligatures(text), r"[\u0300-\u036F]", ""), ACCENTED, BARE)
 
 
 def singular(token: Column) -> Column:
@@ -53,8 +70,8 @@ def search_tokens(text: Column) -> Column:
 
 
 def matching_key(text: Column) -> Column:
-    """Lower-case text without punctuation, spaces squeezed."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_\s]", ""), r"\s+", " "))
+    """Lower-case text without punctuation, spaces squeezed; compatible characters count as one."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.translate(fold_ligatures(text), COMPATIBLE, PLAIN)), r"[^\p{L}\p{N}_\s]", ""), r"\s+", " "))
 
 
 def entity_key(text: Column) -> Column:
@@ -228,3 +245,74 @@ def options_clean(options: Column) -> Column:
 def unit_interval(raw: Column, default: float = 0.5) -> Column:
     v = raw.try_cast("double")
     return F.when(v.isNull() | F.isnan(v), F.lit(default)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), v)))
+
+
+# ---------------------------------------------------------------- blocks of pages
+
+_EDGES = r"^[ \t\r\n]+|[ \t\r\n]+$"
+# Orders to a model hidden in documents.
+INJECTIONS = r"ignore\s+(all\s+)?previous\s+instructions|disregard\s+(all\s+)?prior\s+prompts|system\s+prompt:|you\s+are\s+now\s+an?\s+AI|override\s+system\s+rules|developer\s+mode\s+enabled"
+# Symbols with a name in LaTeX.
+LATEX = {"√": "\\sqrt", "∫": "\\int", "∑": "\\sum", "α": "\\alpha", "β": "\\beta", "θ": "\\theta", "π": "\\pi", "λ": "\\lambda", "Δ": "\\Delta"}
+DOMAINS = ["physics", "calculus", "biology", "chemistry", "finance", "economics", "computer science"]
+
+
+def block_type(text: Column, size: Column, font: Column, body: Column) -> tuple[Column, Column]:
+    """(type, role) of a block by its mark, font, size against the body's, weight and number."""
+    s, f = F.regexp_replace(text, _EDGES, ""), F.lower(font)
+    ratio, bold = size / F.greatest(body, F.lit(1.0)), f.rlike("bold|black")
+    item, code = s.rlike(r"^(\d+[.)]|[a-zA-Z][.)]|[•◦–—*-])\s+"), f.rlike("mono|courier|code")
+    heading = (ratio >= 1.15) | bold | (s.rlike(r"^\d+(\.\d+)*\s+[A-Z]") & (F.length(s) < 100))
+    level = F.when((ratio >= 1.6) | ((ratio >= 1.3) & bold), "heading_l1").when((ratio >= 1.25) | bold, "heading_l2").otherwise("heading_l3")
+    return F.when(item, "list_item").when(code, "code").when(heading, "heading").otherwise("paragraph"), F.when(item | code, None).when(heading, level).otherwise("body")
+
+
+def structure_role(text: Column, y0: Column, page_height: Column) -> Column:
+    """Role of a block in a textbook, null for plain text; the first rule that holds counts."""
+    s = F.regexp_replace(text, _EDGES, "")
+    return (
+        F.when(s == "", None)
+        .when((y0 >= 0.85 * page_height) & s.rlike(r"^([*\d†‡§]+|\(\d+\))\s+[A-Z]"), "footnote")
+        .when(s.rlike(r"(\.{3,}|…)\s*\d+\s*$") | s.rlike(r"(?i)^(Contents|Table of Contents)$"), "toc")
+        .when(s.rlike(r"^[A-Z][a-zA-Z0-9\s-]{2,30}\s*[:—-]\s+[A-Z]") & (F.length(s) < 250), "glossary_entry")
+        .when(s.rlike(r"^(\[\d+\]|\d+\.)\s+[A-Z][a-z]+,") | s.rlike(r"(?i)^(References|Bibliography)$"), "bibliography")
+        .when(s.rlike(r"(?i)^(Example|Worked Example)\s+\d+"), "worked_example")
+        .when(s.rlike(r"(?i)^(Exercise|Problem|Practice Question)\s+\d+"), "exercise")
+        .when(s.rlike(r"(?i)^(Note|Remember|Key Point|Tip|Warning):\s+"), "sidebar")
+    )
+
+
+def is_math_block(text: Column, font: Column) -> Column:
+    s = F.regexp_replace(text, _EDGES, "")
+    symbols = F.regexp_count(s, F.lit(r"[∀-⋿⨀-⫿℀-⅏Ͱ-Ͽ=+\-*/^√]"))
+    return (s != "") & (F.lower(font).rlike("math|cmex|cmsy|symbol") | (symbols / F.length(s) >= 0.25) | s.rlike(r"^(\([0-9]+(\.[0-9]+)*\)|Eq\.\s*[0-9]+)$"))
+
+
+def as_latex(text: Column) -> Column:
+    """Symbols by name between dollar signs; null where a text is longer than 150 letters or three lines."""
+    s = F.regexp_replace(text, _EDGES, "")
+    out = s
+    for symbol, name in LATEX.items():
+        out = F.replace(out, F.lit(symbol), F.lit(name))
+    return F.when((F.length(s) <= 150) & (F.regexp_count(s, F.lit("\n")) < 3), F.concat(F.lit("$$"), out, F.lit("$$")))
+
+
+def block_warnings(text: Column, x0: Column, y0: Column, x1: Column, y1: Column, width: Column, height: Column, white: Column) -> Column:
+    s = F.regexp_replace(text, _EDGES, "")
+    hidden = (s != "") & ((x1 < 0) | (x0 > width) | (y1 < 0) | (y0 > height) | white)
+    return F.array_compact(F.array(F.when(hidden, "HIDDEN_TEXT_DETECTED"), F.when(s.rlike(f"(?i){INJECTIONS}"), "POSSIBLE_PROMPT_INJECTION")))
+
+
+def role_weight(role: Column) -> Column:
+    """Weight of a block's text in extraction; 0 leaves it out."""
+    return F.when(role.isin("page_number", "header", "footer", "watermark", "bibliography", "boilerplate"), 0.0).when(role == "glossary", 1.5).when(role.isin("toc_entry", "index_entry"), 0.1).otherwise(1.0)
+
+
+def title_profile(title: Column) -> tuple[Column, Column]:
+    """(genre, domain) by words of the title; the first that occurs counts, a null title is a textbook's."""
+    low = F.lower(title)
+    genre = F.when(low.rlike("exam|paper|test"), "question_paper").when(low.rlike("slide|lecture"), "slides").when(low.rlike("worksheet|exercise"), "worksheet").otherwise("textbook")
+    domain = F.lit(None).cast("string")
+    for d in reversed(DOMAINS):
+        domain = F.when(F.contains(low, F.lit(d)), d).otherwise(domain)
+    return genre, domain

@@ -251,10 +251,10 @@ def mth_14_grading(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TOKENS = """
 {name} AS (SELECT id, CASE WHEN length(w) <= 4 THEN w WHEN w LIKE '%ses' OR w LIKE '%xes' OR w LIKE '%zes' OR w LIKE '%ches' OR w LIKE '%shes' THEN left(w, length(w) - 2)
   WHEN w LIKE '%ies' AND length(w) > 5 THEN left(w, length(w) - 3) || 'y' WHEN w LIKE '%s' AND w NOT LIKE '%ss' THEN left(w, length(w) - 1) ELSE w END AS t
-  FROM (SELECT id, unnest(regexp_extract_all(lower(translate(coalesce(text, ''), '{acc}', '{bare}')), '[a-z0-9_]+')) AS w FROM {src}) z WHERE w NOT IN ({stop}))
+  FROM (SELECT id, unnest(regexp_extract_all(lower(strip_accents(coalesce(text, ''))), '[a-z0-9_]+')) AS w FROM {src}) z WHERE w NOT IN ({stop}))
 """
-_DOC_TOKENS = _TOKENS.format(name="dt", src="(SELECT doc_id AS id, text FROM documents)", acc=T.ACCENTED, bare=T.BARE, stop=_quoted(T.STOP_TOKENS))
-_QUERY_TOKENS = _TOKENS.format(name="qt", src="(SELECT item_id AS id, text FROM eval_items)", acc=T.ACCENTED, bare=T.BARE, stop=_quoted(T.STOP_TOKENS))
+_DOC_TOKENS = _TOKENS.format(name="dt", src="(SELECT doc_id AS id, text FROM documents)", stop=_quoted(T.STOP_TOKENS))
+_QUERY_TOKENS = _TOKENS.format(name="qt", src="(SELECT item_id AS id, text FROM eval_items)", stop=_quoted(T.STOP_TOKENS))
 _BM25 = f"""{_DOC_TOKENS}, {_QUERY_TOKENS},
 nd AS (SELECT count(*) AS n_docs FROM documents), ln AS (SELECT d.doc_id AS id, count(dt.t) AS len FROM documents d LEFT JOIN dt ON dt.id = d.doc_id GROUP BY 1), av AS (SELECT avg(len) AS avg_len FROM ln),
 tf AS (SELECT id, t, count(*) AS tf FROM dt GROUP BY 1, 2), df AS (SELECT t, count(*) AS df FROM tf GROUP BY 1),

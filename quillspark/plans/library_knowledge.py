@@ -76,12 +76,3 @@ def qc_07_concept_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     blank = lambda x: F.trim(F.coalesce(x, F.lit(""))) == ""
     why = F.array_compact(F.array(F.when(blank("canonical_name"), "no_name"), F.when(F.col("shared") > 1, "shared_name"), F.when(F.coalesce("confidence", F.lit(0.0)) < 0.7, "low_confidence"), F.when(blank("description"), "no_description")))
     return c.join(n, "key", "left").select("concept_id", F.array_join(why, ",").alias("objections"))
-
-
-@query(r"""WITH e AS (SELECT document_id, evidence_id, max(excerpt) AS t FROM evidence GROUP BY 1, 2), d AS (SELECT document_id, lower(unnest(regexp_extract_all(t, '""" + DEFINES + r"""', 1))) AS term FROM e WHERE t IS NOT NULL)
-SELECT document_id, term, count(*) AS times FROM d GROUP BY 1, 2""")
-def str_14_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Terms that evidence defines, by document."""
-    e = table(spark, sf_dir, "evidence").groupBy("document_id", "evidence_id").agg(F.max("excerpt").alias("t"))
-    d = e.select("document_id", F.explode(F.regexp_extract_all("t", F.lit(DEFINES), F.lit(1))).alias("term"))
-    return d.groupBy("document_id", F.lower("term").alias("term")).agg(F.count("*").alias("times"))
