@@ -12,7 +12,7 @@ from quillspark.operators import graph, layout, resolve
 from quillspark.operators.hierarchy import hierarchy
 from quillspark.operators.tracing import calibration, misconceptions
 from quillspark.plans.library import _BM25, _DOC_TOKENS, _QUESTIONS, ANSWERS, STATES, _quoted, answers, query
-from quillspark.session import shared_dir, table
+from quillspark.session import table, tables_dir
 from quillspark.streaming import answers as S
 
 # ---------------------------------------------------------------- strings
@@ -257,31 +257,61 @@ def win_07_08_misconceptions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _folder(spark: SparkSession) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{tables_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
-def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.read_answers(spark, f"{sf_dir}/interactions.parquet")
+def _arrivals(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
+    """The interactions as a stream of six files in order of delivery, one a trigger."""
+    i = S.received(table(spark, sf_dir, "interactions")).select("interaction_id", "learner_id", "session_id", "concept_ids", "correctness", "score", "ts", "received").filter("received IS NOT NULL")
+    return S.read_arrivals(spark, S.in_order_of_arrival(i, f"{folder}/in"))
 
 
-@query("SELECT DISTINCT interaction_id, learner_id, epoch_us(ts) AS us FROM interactions")
-def stm_01_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Interactions once each, although redelivered, from the stream."""
-    once = S.once(_stream(spark, sf_dir), late="400 days").select("interaction_id", "learner_id", F.unix_micros("ts").alias("us"))
-    return S.run_to_table(once, _folder(spark))
+_DELIVERED = """dl AS (SELECT interaction_id, learner_id, session_id, concept_ids, correctness, score, ts, epoch_us(coalesce(TRY_CAST(json_extract_string(metadata, '$.received_at') AS TIMESTAMPTZ), ts)) AS us FROM interactions WHERE interaction_id IS NOT NULL),
+tm AS (SELECT interaction_id, list(us ORDER BY us) AS t FROM dl WHERE us IS NOT NULL GROUP BY 1), pr AS (SELECT interaction_id, len(t) AS deliveries, list_reduce(list_prepend([t[1]], list_transform(t[2:], lambda x: [x])), lambda s, x: CASE WHEN x[1] > s[len(s)] + 86400000000 THEN s || x ELSE s END) AS kept FROM tm)"""
 
 
-@query("SELECT epoch_us(date_trunc('day', ts AT TIME ZONE 'UTC')) AS start_us, count(*) AS answers, count(*) FILTER (correctness >= 0.5) AS \"right\", round(sum(coalesce(score, 0)), 4) AS score FROM (SELECT DISTINCT interaction_id, ts, correctness, score FROM interactions) i GROUP BY 1")
+@query(f"WITH {_DELIVERED} SELECT interaction_id, deliveries, len(kept) AS processed, deliveries - len(kept) AS replayed FROM pr")
+def stm_01_02_19_idempotency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deliveries by token: processed once in 24 hours, otherwise answered by what was kept."""
+    folder = _folder(spark)
+    out = S.run_to_table(S.idempotent(_arrivals(spark, sf_dir, folder), "interaction_id", "received", "score"), folder)
+    return out.groupBy(F.col("token").alias("interaction_id")).agg(F.count("*").alias("deliveries"), F.count_if(~F.col("replayed")).alias("processed"), F.count_if("replayed").alias("replayed"))
+
+
+@query(f"WITH {_DELIVERED} SELECT epoch_us(date_trunc('day', make_timestamp(us))) AS start_us, count(*) AS answers, count(*) FILTER (correctness >= 0.5) AS \"right\", round(sum(coalesce(score, 0)), 4) AS score FROM dl WHERE us IS NOT NULL GROUP BY 1")
 def stm_04_daily_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Answers a day, duplicates left out, from the stream."""
-    s = S.activity(S.once(_stream(spark, sf_dir), late="400 days"))
-    out = S.run_to_table(s.select("start", "answers", "right", "score"), _folder(spark), "update", ["start"])
+    """Deliveries a day of arrival, with a watermark of 24 hours."""
+    folder = _folder(spark)
+    s = S.activity(_arrivals(spark, sf_dir, folder).withWatermark("received", S.LATE), at="received")
+    out = S.run_to_table(s.select("start", "answers", "right", "score"), folder, "update", ["start"])
     return out.select(F.unix_micros("start").alias("start_us"), "answers", "right", F.round("score", 4).alias("score"))
 
 
-@query(f"WITH {STATES} SELECT learner_id, concept_id, attempts, correct FROM states")
-def stm_06_mastery_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts of the stateful fold after the whole stream."""
-    s = S.mastery_stream(S.once(_stream(spark, sf_dir), late="400 days"))
-    out = S.run_to_table(s, _folder(spark), "update", ["learner_id", "concept_id"], "attempts")
-    return out.select("learner_id", "concept_id", "attempts", "correct")
+@query("""WITH i AS (SELECT DISTINCT interaction_id, learner_id, session_id, ts, correctness FROM interactions WHERE learner_id IS NOT NULL AND session_id IS NOT NULL) SELECT learner_id, session_id, count(*) AS answers, string_agg(interaction_id, ',' ORDER BY ts, interaction_id) AS history FROM i GROUP BY 1, 2""")
+def stm_04_session_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log of answers by learner and session, each once, in order of time."""
+    i = table(spark, sf_dir, "interactions").filter("learner_id IS NOT NULL AND session_id IS NOT NULL").select("interaction_id", "learner_id", "session_id", "ts", "correctness").distinct()
+    return i.groupBy("learner_id", "session_id").agg(F.count("*").alias("answers"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ts", "interaction_id"))), lambda x: x["interaction_id"]), ",").alias("history"))
+
+
+_STEP_STREAM = STATES[STATES.index("round(greatest(0.01") : STATES.index(")) * 10000) / 10000") + len(")) * 10000) / 10000")]
+
+
+@query(f"""WITH {_DELIVERED}, ev AS (SELECT dl.interaction_id, any_value(learner_id) AS learner_id, any_value(concept_ids) AS concept_ids, any_value(correctness) AS correctness FROM dl GROUP BY 1),
+e AS (SELECT learner_id, interaction_id, correctness, us, unnest(list_distinct(concept_ids)) AS concept_id FROM (SELECT ev.*, unnest(pr.kept) AS us FROM ev JOIN pr USING (interaction_id)) z WHERE learner_id IS NOT NULL AND correctness IS NOT NULL AND NOT isnan(correctness)),
+o AS (SELECT learner_id, concept_id, list(CASE WHEN correctness >= 0.5 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END ORDER BY us, interaction_id) AS obs FROM e GROUP BY 1, 2)
+SELECT learner_id, concept_id, round(list_reduce(list_prepend(0.30::DOUBLE, obs), lambda p, x: {_STEP_STREAM}), 4) AS mastery, len(obs) AS attempts, CAST(list_sum(obs) AS BIGINT) AS correct FROM o""")
+def stm_05_06_mastery_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mastery after the whole stream, answers in order of delivery, redeliveries within 24 hours once."""
+    folder = _folder(spark)
+    out = S.run_to_table(S.mastery_stream(_arrivals(spark, sf_dir, folder), at="received"), folder, "update", ["learner_id", "concept_id"], "attempts")
+    return out.select("learner_id", "concept_id", F.round("mastery", 4).alias("mastery"), "attempts", "correct")
+
+
+@query("""WITH s AS (SELECT learner_id, session_id, count(*) AS answers, count(*) FILTER (correctness >= 0.5) AS "right" FROM interactions WHERE learner_id IS NOT NULL AND session_id IS NOT NULL AND ts IS NOT NULL GROUP BY 1, 2) SELECT learner_id, session_id, answers, "right", answers >= 25 AS completed FROM s""")
+def stm_08_session_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions after the whole stream: answers as delivered, and whether they were completed."""
+    folder = _folder(spark)
+    s = S.session_states(_arrivals(spark, sf_dir, folder).withColumn("received", F.col("received")), at="received", idle="3650 days")
+    out = S.run_to_table(s, folder, "update", ["learner_id", "session_id"], "answers")
+    return out.select("learner_id", "session_id", "answers", "right", (F.col("status") == "COMPLETED").alias("completed"))

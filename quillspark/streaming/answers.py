@@ -23,14 +23,67 @@ def read_answers(spark: SparkSession, path: str, files_per_trigger: int = 4) ->
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(re.sub(r"\.(\w+)$", r"[.]\1", path))  # as a pattern: a single file is read as well as a folder
 
 
-def once(stream: DataFrame, late: str = LATE) -> DataFrame:
-    """Each interaction_id once within the watermark; redeliveries later than that pass as new."""
-    return stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).dropDuplicatesWithinWatermark(["interaction_id"])
+def once(stream: DataFrame, late: str = LATE, at: str = "ts") -> DataFrame:
+    """Each interaction_id once within the watermark on ``at``; redeliveries later than that pass as new."""
+    return stream.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late).dropDuplicatesWithinWatermark(["interaction_id"])
 
 
-def activity(stream: DataFrame, width: str = "1 day", slide: str | None = None) -> DataFrame:
-    """Answers, right answers and total score per window; windows tumble, or slide if told to."""
-    w = F.window("ts", width, slide) if slide else F.window("ts", width)
+def received(df: DataFrame) -> DataFrame:
+    """df with ``received``, when a row was delivered: metadata's received_at, else the time of the answer."""
+    at = F.get_json_object("metadata", "$.received_at").try_cast("timestamp")
+    return df.withColumn("received", F.coalesce(at, F.col("ts").cast("timestamp")))
+
+
+def in_order_of_arrival(df: DataFrame, folder: str, files: int = 6) -> str:
+    """Write df as ``files`` files in order of ``received``, as they would have come in; gives the folder."""
+    bounds = df.select(F.unix_micros("received").cast("double").alias("t")).approxQuantile("t", [k / files for k in range(1, files)], 0.0) if files > 1 else []
+    cuts = [F.lit(b) for b in bounds]
+    files = len(cuts) + 1  # no rows, no bounds
+    at = F.unix_micros("received").cast("double")
+    for k in range(files):
+        low = at > cuts[k - 1] if k and cuts else F.lit(True)
+        high = at <= cuts[k] if k < len(cuts) else F.lit(True)
+        df.filter(low & high).write.mode("append").parquet(f"{folder}/arrival={k}")
+    return folder
+
+
+def read_arrivals(spark: SparkSession, folder: str, files_per_trigger: int = 1) -> DataFrame:
+    schema = spark.read.parquet(folder).drop("arrival").schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).option("recursiveFileLookup", "true").parquet(folder)
+
+
+def idempotent(stream: DataFrame, token: str, at: str, payload: str, ttl: str = LATE) -> DataFrame:
+    """(token, at, replayed, response) of every delivery with a token, in order of ``at``.
+
+    The first delivery is processed and its payload kept for ``ttl``; deliveries within it are answered by the kept
+    payload (replayed), the next one beyond it is processed anew. A token's state is dropped once the watermark
+    passes its end. Deliveries must come in order of ``at`` up to an hour.
+    """
+    life = int(pd.Timedelta(ttl).value // 1000)
+
+    def answer(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        until, kept = state.get if state.exists else (-(2**62), None)
+        out = []
+        for t, value in sorted((r for pdf in pdfs for r in zip(pdf["us"].tolist(), pdf["payload"].tolist())), key=lambda r: r[0]):
+            replayed = t <= until
+            if not replayed:
+                until, kept = t + life, value
+            out.append((key[0], t, replayed, kept))
+        state.update((int(until), kept))
+        state.setTimeoutTimestamp(max(until // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=["token", "us", "replayed", "response"])
+
+    rows = stream.filter(F.col(token).isNotNull()).withWatermark(at, "1 hour").select(F.col(token).alias("token"), F.col(at).alias("at"), F.unix_micros(at).alias("us"), F.col(payload).cast("string").alias("payload"))
+    out = rows.groupBy("token").applyInPandasWithState(answer, "token string, us long, replayed boolean, response string", "until long, kept string", "append", GroupStateTimeout.EventTimeTimeout)
+    return out.select("token", F.timestamp_micros("us").alias("at"), "replayed", "response")
+
+
+def activity(stream: DataFrame, width: str = "1 day", slide: str | None = None, at: str = "ts") -> DataFrame:
+    """Answers, right answers and total score per window of ``at``; windows tumble, or slide if told to."""
+    w = F.window(at, width, slide) if slide else F.window(at, width)
     return stream.groupBy(w).agg(F.count("*").alias("answers"), F.count_if(F.col("correctness") >= 0.5).alias("right"), F.sum(F.coalesce("score", F.lit(0.0))).alias("score")).select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), "answers", "right", "score")
 
 
@@ -40,33 +93,65 @@ def gap_sessions(stream: DataFrame, gap: str = "30 minutes") -> DataFrame:
     return s.select("learner_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "answers")
 
 
-_STATE = "place int, attempts long, correct long"
+_STATE = "place int, attempts long, correct long, ids array<string>, times array<long>"
 _OUT = "learner_id string, concept_id string, mastery double, attempts long, correct long"
 
 
-def mastery_stream(stream: DataFrame, p_init: float = P_INIT, transit: float = P_TRANSIT, slip: float = P_SLIP, guess: float = P_GUESS) -> DataFrame:
-    """Running mastery per (learner, concept): within a trigger answers are taken in order of (ts, interaction_id).
+def mastery_stream(stream: DataFrame, at: str = "ts", ttl: str = LATE, p_init: float = P_INIT, transit: float = P_TRANSIT, slip: float = P_SLIP, guess: float = P_GUESS) -> DataFrame:
+    """Running mastery per (learner, concept): within a trigger answers are taken in order of (``at``, interaction_id).
 
-    An answer older than what its key has already folded is folded in as it comes; a batch recompute gives the
-    order by time.
+    A redelivered interaction counts once within ``ttl`` of the delivery that counted; the ids of that time are the
+    only part of the state that is not of fixed size. An answer older than what its key has already folded is
+    folded in as it comes; a batch recompute gives the order by time.
     """
     maps = step_maps(transit, slip, guess).tolist()
     start = round(p_init * 10_000) - 100
+    life = int(pd.Timedelta(ttl).value // 1000)
 
     def fold(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        place, n, good = state.get if state.exists else (start, 0, 0)
-        rows = pd.concat(list(pdfs)).sort_values(["ts", "interaction_id"])
-        for right in (rows["correctness"] >= 0.5).astype(int).tolist():
-            place = maps[right][place]
+        place, n, good, ids, times = state.get if state.exists else (start, 0, 0, [], [])
+        held = dict(zip(ids, times))
+        rows = sorted(r for pdf in pdfs for r in zip(pdf["us"].tolist(), pdf["interaction_id"].tolist(), pdf["right"].tolist()))
+        for t, i, right in rows:
+            if i in held and t <= held[i] + life:
+                continue
+            held[i] = t
+            place = maps[int(right)][place]
             n += 1
-            good += right
-        state.update((int(place), int(n), int(good)))
+            good += int(right)
+        if rows:
+            held = {i: t for i, t in held.items() if t + life >= rows[-1][0]}
+        state.update((int(place), int(n), int(good), list(held), list(held.values())))
         yield pd.DataFrame([(*key, (place + 100) / 10_000, n, good)], columns=["learner_id", "concept_id", "mastery", "attempts", "correct"])
 
-    rows = stream.filter("learner_id IS NOT NULL AND correctness IS NOT NULL").select("learner_id", F.explode(F.array_distinct("concept_ids")).alias("concept_id"), "ts", "interaction_id", "correctness")
+    rows = stream.filter("learner_id IS NOT NULL AND correctness IS NOT NULL AND NOT isnan(correctness) AND interaction_id IS NOT NULL")
+    rows = rows.select("learner_id", F.explode(F.array_distinct("concept_ids")).alias("concept_id"), F.unix_micros(F.col(at).cast("timestamp")).alias("us"), "interaction_id", (F.col("correctness") >= 0.5).alias("right")).filter("us IS NOT NULL")
     return rows.groupBy("learner_id", "concept_id").applyInPandasWithState(fold, _OUT, _STATE, "update", GroupStateTimeout.NoTimeout)
 
 
+def session_states(stream: DataFrame, at: str = "ts", most: int = 25, idle: str = "30 minutes") -> DataFrame:
+    """(learner_id, session_id, answers, right, first, last, status): COMPLETED from ``most`` answers on, EXPIRED once ``idle`` has passed since the last one by the watermark, else ACTIVE; a row with every change."""
+    rest = int(pd.Timedelta(idle).value // 1_000_000)
+
+    def fold(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        n, good, first, last, status = state.get if state.exists else (0, 0, 2**62, -(2**62), "ACTIVE")
+        if state.hasTimedOut:
+            status = "EXPIRED" if status == "ACTIVE" else status
+            state.remove()
+        else:
+            for pdf in pdfs:
+                n += len(pdf)
+                good += int((pdf["correctness"] >= 0.5).sum())
+                first, last = min(first, int(pdf["us"].min())), max(last, int(pdf["us"].max()))
+            status = "COMPLETED" if n >= most else "ACTIVE"
+            state.update((int(n), int(good), int(first), int(last), status))
+            state.setTimeoutTimestamp(max(last // 1000 + rest, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame([(*key, n, good, first, last, status)], columns=["learner_id", "session_id", "answers", "right", "first_us", "last_us", "status"])
+
+    rows = stream.filter("learner_id IS NOT NULL AND session_id IS NOT NULL").withWatermark(at, "1 hour").select("learner_id", "session_id", at, F.unix_micros(at).alias("us"), "correctness")
+    return rows.groupBy("learner_id", "session_id").applyInPandasWithState(fold, "learner_id string, session_id string, answers long, right long, first_us long, last_us long, status string", "n long, good long, first long, last long, status string", "update", GroupStateTimeout.EventTimeTimeout)
+
+
 def run_to_table(stream: DataFrame, folder: str, mode: str = "append", keys: list[str] | None = None, order: str | None = None) -> DataFrame:
     """Drive a stream over all that is there and give its result as a batch DataFrame from a table under ``folder``.
 
