@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions.learning import noisy_or
@@ -36,9 +36,13 @@ def completeness(concepts: DataFrame) -> DataFrame:
 
 
 def ngram_counts(tokens: DataFrame, stop: list[str], longest: int = 3) -> DataFrame:
-    """tokens (id, tokens) -> (n, gram, occurrences, documents); grams of two and more may not begin or end with a stop word."""
+    """tokens (id, tokens) -> (n, gram, occurrences, documents); grams of two and more may not begin or end with a stop word.
+
+    Documents are placed by id once, so that their grams are counted where they are, and only distinct ones of a
+    document reach the one shuffle by gram.
+    """
     grams = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda n: F.when(F.size("tokens") >= n, F.transform(F.sequence(F.lit(1), F.size("tokens") - n + 1), lambda i: F.slice("tokens", i, n))).otherwise(F.array().cast("array<array<string>>"))))
-    rows = tokens.select("id", F.explode(grams).alias("g")).filter((F.size("g") == 1) | (~F.element_at("g", 1).isin(stop) & ~F.element_at("g", -1).isin(stop)))
+    rows = tokens.repartition("id").select("id", F.explode(grams).alias("g")).filter((F.size("g") == 1) | (~F.element_at("g", 1).isin(stop) & ~F.element_at("g", -1).isin(stop)))
     per = rows.groupBy("id", F.size("g").alias("n"), F.array_join("g", " ").alias("gram")).agg(F.count("*").alias("k"))
     return per.groupBy("n", "gram").agg(F.sum("k").alias("occurrences"), F.count("*").alias("documents"))
 
@@ -68,6 +72,10 @@ def question_checks(questions: DataFrame, concepts: DataFrame, citations: DataFr
 
 
 def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The last row of each key in the given order; a keyed upsert of append-only data."""
-    w = Window.partitionBy(*keys).orderBy(*[F.col(o).desc_nulls_last() for o in order])
-    return df.withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").drop("__rn")
+    """The last row of each key in the given order, nulls first; a keyed upsert of append-only data, combined before the shuffle.
+
+    Of rows equal in the order any one is kept.
+    """
+    rank = F.struct(*[x for o in order for x in (F.col(o).isNotNull(), F.col(o))])
+    rest = [c for c in df.columns if c not in keys]
+    return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), rank).alias("__r")).select(*[F.col(c) if c in keys else F.col(f"__r.`{c}`").alias(c) for c in df.columns])

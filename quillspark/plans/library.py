@@ -320,6 +320,7 @@ f AS (SELECT query, id, sum(s) AS score FROM (SELECT query, id, 1.0::DOUBLE / (6
 {_RANK.format(src='f', k=8)}""")
 def top_08_rank_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks, queries = _chunks(spark, sf_dir)
+    chunks = retrieval.Index(chunks)
     g = _graph(spark, sf_dir, queries)
     w = Window.partitionBy("query").orderBy(F.col("score").desc(), F.col("id").desc())
     channels = {"lexical": retrieval.bm25(chunks, queries, k=20, half_match=False), "vector": retrieval.cosine(chunks, queries), "graph": g.withColumn("rank", F.row_number().over(w))}

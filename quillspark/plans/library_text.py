@@ -89,11 +89,11 @@ def str_09_20_21_prj_04_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_DOC_TOKENS}, o AS (SELECT doc_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+') AS w FROM documents),
 g AS (SELECT id, n, array_to_string(w[k : k + n - 1], ' ') AS gram, w[k] AS a, w[k + n - 1] AS z FROM (SELECT id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS k FROM o CROSS JOIN (SELECT unnest([1, 2, 3]) AS n) q WHERE len(w) >= n) y),
 p AS (SELECT id, n, gram, count(*) AS c FROM g WHERE n = 1 OR (a NOT IN ({_quoted(T.STOP_TOKENS)}) AND z NOT IN ({_quoted(T.STOP_TOKENS)})) GROUP BY 1, 2, 3)
-SELECT CAST(n AS INTEGER) AS n, gram, CAST(sum(c) AS BIGINT) AS occurrences, count(*) AS documents FROM p GROUP BY 1, 2 HAVING count(*) >= 3""".replace("\\\\p", "\\p"))
+SELECT CAST(n AS INTEGER) AS n, gram, CAST(sum(c) AS BIGINT) AS occurrences, count(*) AS documents FROM p GROUP BY 1, 2""".replace("\\\\p", "\\p"))
 def agg_20_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Word grams of one to three words that occur in three documents or more."""
+    """Word grams of one to three words, how often and in how many documents."""
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)).alias("tokens"))
-    return resolve.ngram_counts(d, T.STOP_TOKENS).filter("documents >= 3")
+    return resolve.ngram_counts(d, T.STOP_TOKENS)
 
 
 # ---------------------------------------------------------------- evidence, questions, quality
