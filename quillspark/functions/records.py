@@ -74,11 +74,15 @@ def description(excerpts: Column) -> Column:
     return F.when(F.size(defining) > 0, cut(F.element_at(defining, 1))).when(F.size(longer) > 0, cut(F.element_at(longer, 1))).otherwise(F.lit(""))
 
 
+def _bare(c: Column) -> Column:
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
 def json_object(reply: Column) -> Column:
     """The object in a model's reply: of a fenced block, the whole, or between the outermost braces; a list is wrapped as items; null where nothing parses."""
-    fenced = F.transform(F.regexp_extract_all(reply, F.lit(r"(?s)```(?:json)?\s*(.*?)```"), F.lit(1)), F.trim)
+    fenced = F.transform(F.regexp_extract_all(reply, F.lit(r"(?s)```(?:json)?\s*(.*?)```"), F.lit(1)), _bare)
     outer = F.regexp_extract(reply, r"(?s)(\{.*\})", 1)
-    tried = F.concat(fenced, F.array(F.trim(reply), outer))
+    tried = F.concat(fenced, F.array(_bare(reply), outer))
     good = F.filter(tried, lambda c: (c.startswith("{") & F.json_object_keys(c).isNotNull()) | (c.startswith("[") & F.json_array_length(c).isNotNull()))
     first = F.get(good, 0)
     return F.when(first.startswith("["), F.concat(F.lit('{"items":'), first, F.lit("}"))).otherwise(first)

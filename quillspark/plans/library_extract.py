@@ -241,10 +241,10 @@ def prj_07_block_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(rf"""WITH {BLOCKS}, t AS (SELECT *, trim(text, ' ' || chr(9) || chr(13)) AS s FROM b) SELECT doc_id, k, role FROM (SELECT doc_id, k, CASE WHEN s = '' THEN NULL WHEN y0 >= 0.85 * 792 AND regexp_matches(s, '^([*\d†‡§]+|\(\d+\))\s+[A-Z]') THEN 'footnote' WHEN regexp_matches(s, '(\.{{3,}}|…)\s*\d+\s*$') OR regexp_matches(s, '(?i)^(Contents|Table of Contents)$') THEN 'toc'
 WHEN regexp_matches(s, '^[A-Z][a-zA-Z0-9\s-]{{2,30}}\s*[:—-]\s+[A-Z]') AND length(s) < 250 THEN 'glossary_entry' WHEN regexp_matches(s, '^(\[\d+\]|\d+\.)\s+[A-Z][a-z]+,') OR regexp_matches(s, '(?i)^(References|Bibliography)$') THEN 'bibliography' WHEN regexp_matches(s, '(?i)^(Example|Worked Example)\s+\d+') THEN 'worked_example'
-WHEN regexp_matches(s, '(?i)^(Exercise|Problem|Practice Question)\s+\d+') THEN 'exercise' WHEN regexp_matches(s, '(?i)^(Note|Remember|Key Point|Tip|Warning):\s+') THEN 'sidebar' END AS role FROM t) z WHERE role IS NOT NULL""")
+WHEN regexp_matches(s, '(?i)^(Exercise|Problem|Practice Question)\s+\d+') THEN 'exercise' WHEN regexp_matches(s, '(?i)^(Note|Remember|Key Point|Tip|Warning):\s+') THEN 'sidebar' END AS role FROM t) z""")
 def prj_08_structure_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What lines are in the structure of a textbook, footnotes by their place on the page; the first rule that holds counts."""
-    return blocks(spark, sf_dir).select("doc_id", "k", T.structure_role(F.col("text"), F.col("y0"), F.lit(HEIGHT)).alias("role")).filter("role IS NOT NULL")
+    return blocks(spark, sf_dir).select("doc_id", "k", T.structure_role(F.col("text"), F.col("y0"), F.lit(HEIGHT)).alias("role"))
 
 
 _MATH = r"[\x{2200}-\x{22FF}\x{2A00}-\x{2AFF}\x{2100}-\x{214F}\x{0370}-\x{03FF}=+\-*/^√∫∑∏αβγδεθλπσωΔ∇]"

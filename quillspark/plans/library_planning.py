@@ -350,7 +350,7 @@ def prj_40_41_45_question_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions without a citation are invalid; grounded ones are valid with a citation, eligible ones valid and never asked."""
     c = table(spark, sf_dir, "source_citations").filter("question_id IS NOT NULL").groupBy("question_id").agg(F.count_distinct("citation_id").alias("n"))
     a = table(spark, sf_dir, "interactions").filter("question_id IS NOT NULL").select("question_id", F.lit(1).alias("asked")).distinct()
-    x = newest(spark, sf_dir).join(c, "question_id", "left").join(a, "question_id", "left").fillna(0, ["n"])
+    x = newest(spark, sf_dir).select("question_id", "validation_status").join(c, "question_id", "left").join(a, "question_id", "left").fillna(0, ["n"])
     s = F.upper("validation_status")
     return x.select("question_id", F.when(F.col("n") == 0, "INVALID").otherwise(s).alias("status"), ((F.col("n") > 0) & (s == "VALID")).alias("grounded"), (F.col("asked").isNull() & (s == "VALID")).alias("eligible"))
 

@@ -8,6 +8,8 @@ from tests.fixtures import SMALL, dirty, empty
 pytestmark = pytest.mark.skipif(not SMALL.exists(), reason="no test tables")
 #: These have a row whatever they read, or none without an answer stream's files.
 ALWAYS = {"agg_17_completeness", "agg_25_26_calibration", "agg_rollup_by_class"}
+#: These also hold the registry's own names and formulas.
+ALWAYS |= {"jn_21_set_09_formula_matches", "qc_02_str_23_variants", "qc_03_equivalents", "str_16_17_18_formula_meanings", "str_22_symbol_differences"}
 QUERIES = problems.QUERIES | library.QUERIES
 
 
