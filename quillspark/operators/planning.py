@@ -246,3 +246,18 @@ def next_targets(paths: DataFrame) -> DataFrame:
     """(learner_id, tree, concept_id, target_type) of each path's first step that is not done."""
     first = paths.filter(F.col("status").isin("PENDING", "IN_PROGRESS")).groupBy("learner_id", "tree").agg(F.min_by(F.struct("concept_id", "foundational"), "place").alias("b"))
     return first.select("learner_id", "tree", "b.concept_id", F.when(F.col("b.foundational"), "FOUNDATIONAL_START").otherwise("PREREQUISITE_REMEDIATION").alias("target_type"))
+
+
+def next_questions(goals: DataFrame, questions: DataFrame, states: DataFrame, asked: DataFrame, gain) -> DataFrame:
+    """(learner_id, question_id, score): of the questions of the learner's tree (document_id) that were not asked, most 0.5 gain + 0.3 uncertainty + 0.2 / (1 + exposure); ties by id.
+
+    Mastery and uncertainty are means over a question's concepts, prior values where there is no state; ``gain``
+    builds the information gain from mastery and discrimination. Learners meet the questions of one tree only.
+    """
+    q = questions.filter(F.size("concept_ids") > 0).select(F.col("document_id").alias("tree"), "question_id", F.coalesce("information_value", F.lit(1.0)).alias("value"), F.coalesce("exposure_count", F.lit(0)).alias("exposure"), F.explode("concept_ids").alias("concept_id"))
+    done = asked.filter("learner_id IS NOT NULL AND question_id IS NOT NULL").distinct()
+    x = goals.select("learner_id", "tree").join(q, "tree").join(done, ["learner_id", "question_id"], "left_anti")
+    x = x.join(states.select("learner_id", "concept_id", "mastery", "uncertainty"), ["learner_id", "concept_id"], "left")
+    g = x.groupBy("learner_id", "question_id", "value", "exposure").agg(F.avg(F.coalesce("mastery", F.lit(PRIOR_MASTERY))).alias("m"), F.avg(F.coalesce("uncertainty", F.lit(PRIOR_UNCERTAINTY))).alias("u"))
+    s = g.select("learner_id", "question_id", F.round(0.5 * gain(F.col("m"), F.col("value")) + 0.3 * F.col("u") + 0.2 / (1.0 + F.col("exposure")) + 1e-9, 4).alias("score"))
+    return s.groupBy("learner_id").agg(F.min_by(F.struct("question_id", "score"), F.struct(-F.col("score"), F.col("question_id"))).alias("b")).select("learner_id", "b.*")

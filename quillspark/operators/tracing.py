@@ -132,37 +132,46 @@ GRID = {"transit": (0.05, 0.10, 0.15, 0.20, 0.25, 0.30), "slip": (0.05, 0.08, 0.
 def calibration(df: DataFrame, entity: Column, item: Column, event_id: Column, at: Column, score: Column, p_init: float = P_INIT) -> DataFrame:
     """(transit, slip, guess, predictions, rmse): one-step-ahead error of every parameter set of GRID.
 
-    All sets run side by side as one vector per answer, in one pass over the sorted answers. A run cut by a
-    partition's border is joined first: keys are hashed, so a (learner, concept) stays in one task and streams
-    through it with constant memory.
+    All sets and all runs of a batch run side by side, one step for the next answer of each. Keys are hashed, so a
+    (learner, concept) stays in one task and streams through it with the memory of a batch.
     """
     grid = np.array(np.meshgrid(*GRID.values(), indexing="ij")).reshape(3, -1)
     tr, sl, gu = grid
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key = last = None
-        p = np.full(len(tr), p_init)
-        total, count, n = np.zeros(len(tr)), 0, 0
+        total, count = np.zeros(len(tr)), 0
+        held: tuple | None = None  # the key, p and answers of the run that the last batch ended in
         for pdf in batches:
-            for who, what, a, e, right in zip(pdf["entity"].tolist(), pdf["item"].tolist(), pdf["at_us"].tolist(), pdf["event_id"].tolist(), pdf["right"].tolist()):
-                if (who, what) != key:
-                    key, last, n = (who, what), None, 0
-                    p = np.full(len(tr), p_init)
-                elif last == (a, e) and e is not None:
-                    continue
-                last = (a, e)
-                if n:
-                    total += (p * (1 - sl) + (1 - p) * gu - right) ** 2
-                    count += 1
-                k, u = (1 - sl, gu) if right else (sl, 1 - gu)
-                post = p * k / (p * k + (1 - p) * u)
-                p = np.clip(post + (1 - post) * tr, MASTERY_FLOOR, MASTERY_CEILING)
-                n += 1
+            if not len(pdf):
+                continue
+            key = pdf["entity"].str.cat(pdf["item"], "\x1f").to_numpy()
+            right = pdf["right"].to_numpy(bool)
+            start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            size = np.diff(np.append(start, len(key)))
+            p = np.full((len(start), len(tr)), p_init)
+            before = np.zeros(len(start), np.int64)
+            if held is not None and held[0] == key[0]:
+                p[0], before[0] = held[1], held[2]
+            # All runs of the batch take their next answer together, the longest first.
+            order = np.argsort(-size, kind="stable")
+            for step in range(int(size.max())):
+                k = order[: np.searchsorted(-size[order], -step, "left")]
+                r = right[start[k] + step][:, None]
+                q = p[k]
+                known = before[k] + step > 0
+                total += (((q * (1 - sl) + (1 - q) * gu - r) ** 2)[known]).sum(0)
+                count += int(known.sum())
+                yes, no = q * np.where(r, 1 - sl, sl), (1 - q) * np.where(r, gu, 1 - gu)
+                post = yes / (yes + no)
+                p[k] = np.clip(post + (1 - post) * tr, MASTERY_FLOOR, MASTERY_CEILING)
+            held = (key[-1], p[-1], int(before[-1] + size[-1]))
         yield pd.DataFrame({"transit": tr, "slip": sl, "guess": gu, "squares": total, "n": count})
 
     s = score.cast("double")
     rows = df.select(entity.cast("string").alias("entity"), item.cast("string").alias("item"), F.unix_micros(at.cast("timestamp")).alias("at_us"), event_id.cast("string").alias("event_id"), (s >= 0.5).alias("right"), F.isnan(s).alias("nan")).filter("entity IS NOT NULL AND item IS NOT NULL AND at_us IS NOT NULL AND right IS NOT NULL AND NOT nan").drop("nan")
-    parts = rows.repartition("entity", "item").sortWithinPartitions("entity", "item", "at_us", "event_id").mapInPandas(run, "transit double, slip double, guess double, squares double, n long")
+    rows = rows.repartition("entity", "item")
+    once = rows.filter("event_id IS NOT NULL").dropDuplicates(["entity", "item", "at_us", "event_id"]).unionByName(rows.filter("event_id IS NULL"))
+    parts = once.repartition("entity", "item").sortWithinPartitions("entity", "item", "at_us", "event_id").mapInPandas(run, "transit double, slip double, guess double, squares double, n long")
     return parts.groupBy("transit", "slip", "guess").agg(F.sum("n").alias("predictions"), F.sqrt(F.sum("squares") / F.sum("n")).alias("rmse"))
 
 

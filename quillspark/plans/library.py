@@ -190,7 +190,7 @@ _QUESTIONS = "q AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY que
 
 
 @query(f"""WITH {_QUESTIONS} SELECT question_id, exposure_count FROM q""")
-def src_22_latest_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+def src_24_latest_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Newest export of each question: an upsert by key."""
     return resolve.latest(table(spark, sf_dir, "questions"), ["question_id"], ["exposure_count", "created_at"]).select("question_id", "exposure_count")
 
@@ -211,17 +211,6 @@ def mth_03_information_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.select("question_id", F.round(gain, 6).alias("gain"), F.round(L.item_score(gain, F.lit(0.85), F.coalesce("exposure_count", F.lit(0))), 6).alias("score"))
 
 
-@query(f"""WITH {_QUESTIONS}, base AS (SELECT question_id, c AS concept_id, information_value, coalesce(difficulty, 0.5::DOUBLE) AS p, coalesce(exposure_count, 0) AS ex FROM (SELECT *, unnest(list_distinct(concept_ids)) AS c FROM q) z), {_IG},
-s AS (SELECT concept_id, question_id, round(0.5::DOUBLE * gain + 0.3::DOUBLE * 0.85::DOUBLE + 0.2::DOUBLE / (1.0 + ex), 6) AS score FROM i)
-SELECT concept_id, question_id, score FROM (SELECT *, row_number() OVER (PARTITION BY concept_id ORDER BY score DESC, question_id) AS rn FROM s) z WHERE rn = 1""")
-def top_09_next_question(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best next question of each concept; ties go to the smaller id."""
-    q = resolve.latest(table(spark, sf_dir, "questions"), ["question_id"], ["exposure_count", "created_at"]).withColumn("concept_id", F.explode(F.array_distinct("concept_ids")))
-    gain = L.information_gain(F.coalesce("difficulty", F.lit(0.5)), F.coalesce("information_value", F.lit(1.0)))
-    s = q.select("concept_id", "question_id", F.round(L.item_score(gain, F.lit(0.85), F.coalesce("exposure_count", F.lit(0))), 6).alias("score"))
-    return s.groupBy("concept_id").agg(F.min_by(F.struct("question_id", "score"), F.struct(-F.col("score"), F.col("question_id"))).alias("b")).select("concept_id", "b.question_id", "b.score")
-
-
 @query(f"""WITH {STATES}, h AS (SELECT learner_id, concept_id, mastery / sum(mastery) OVER (PARTITION BY learner_id) AS p FROM states)
 SELECT learner_id, round(sum(CASE WHEN p > 0 THEN -p * log2(p) ELSE 0 END), 5) + 0.0::DOUBLE AS entropy FROM h GROUP BY 1""")
 def mth_01_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import learning as L
 from quillspark.operators import cohort, planning, resolve
 from quillspark.operators.hierarchy import hierarchy
+from quillspark.operators.tracing import trajectory
 from quillspark.plans.library import _GAPS, _IG, _QUESTIONS, ANSWERS, ROSTER, STATES, answers, query, roster, states
 from quillspark.plans.library_text import _REACH, doc_links
-from quillspark.session import stored, table
+from quillspark.session import stored, table, tables_dir
+from quillspark.sources import store
 
 UNSURE = _GAPS.split("\ndn AS")[0].rstrip().rstrip(",")
 
@@ -384,8 +388,36 @@ s AS (SELECT learner_id, concept_id, k AS step, list_reduce(list_prepend(0.30::D
 SELECT learner_id, concept_id, CAST(step AS INTEGER) AS step, round(p, 3) AS mastery FROM s""")
 def win_05_trajectory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mastery before and after each of a learner's first twenty answers on a concept (what a chart shows)."""
-    from quillspark.operators.tracing import trajectory
-
     a = answers(spark, sf_dir).filter("NOT isnan(correctness)")
     t = trajectory(a, F.col("learner_id"), F.col("concept_id"), F.col("interaction_id"), F.col("ts"), F.col("correctness"), first=20)
     return t.select(F.col("entity").alias("learner_id"), F.col("item").alias("concept_id"), "step", F.round("mastery", 3).alias("mastery"))
+
+
+@query(f"""WITH {GOALS.replace(_REACH, _REACH.split(", r AS (")[0])}, {_QUESTIONS}, dn AS (SELECT DISTINCT learner_id, question_id FROM interactions WHERE learner_id IS NOT NULL AND question_id IS NOT NULL),
+x AS (SELECT tg.learner_id, q.question_id, q.information_value, coalesce(q.exposure_count, 0) AS ex, unnest(q.concept_ids) AS c FROM tg JOIN q ON q.document_id = tg.tree WHERE len(q.concept_ids) > 0 AND NOT EXISTS (SELECT 1 FROM dn WHERE dn.learner_id = tg.learner_id AND dn.question_id = q.question_id)),
+base AS (SELECT x.learner_id, x.question_id, x.information_value, x.ex, avg(coalesce(u.mastery, 0.3::DOUBLE)) AS p, avg(coalesce(u.un, 0.85::DOUBLE)) AS un FROM x LEFT JOIN u ON u.learner_id = x.learner_id AND u.concept_id = x.c GROUP BY 1, 2, 3, 4), {_IG},
+sk AS (SELECT learner_id, question_id, round(0.5::DOUBLE * gain + 0.3::DOUBLE * un + 0.2::DOUBLE / (1.0 + ex) + 1e-9, 4) AS score FROM i)
+SELECT learner_id, arg_min(question_id, (-score, question_id)) AS question_id, max(score) AS score FROM sk GROUP BY 1""")
+def top_09_22_next_question(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The next question of each learner in their document that was not asked yet: gain, uncertainty and freshness by the learner's own states."""
+    s = stored(states(spark, sf_dir))
+    return planning.next_questions(goals(spark, sf_dir, s), newest(spark, sf_dir), s, table(spark, sf_dir, "interactions").select("learner_id", "question_id"), L.information_gain)
+
+
+@query(f"WITH {STATES} SELECT learner_id, concept_id, round(mastery, 4) AS mastery, attempts FROM states")
+def src_20_22_23_state_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """States written as a version, and read back through the active pointer."""
+    root = f"{tables_dir(spark)}/states-{uuid.uuid4().hex}"
+    s = states(spark, sf_dir).select("learner_id", "concept_id", F.round("mastery", 4).alias("mastery"), "attempts")
+    store.write_version(s.limit(0), root, "v1")
+    store.write_version(s, root, "v2")
+    return store.read_active(spark, root)
+
+
+@query("""WITH c AS (SELECT document_id, page, citation_id, block_id, row_number() OVER (PARTITION BY document_id, page ORDER BY citation_id DESC, coalesce(block_id, '') DESC) AS rn FROM source_citations WHERE page IS NOT NULL) SELECT document_id, page, citation_id FROM c WHERE rn = 1""")
+def src_27_28_29_page_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state of each page after two deliveries: the last one by key wins."""
+    c = table(spark, sf_dir, "source_citations").filter("page IS NOT NULL").select("document_id", "page", "citation_id")
+    even = F.pmod(F.xxhash64("citation_id"), F.lit(2)) == 0
+    first = store.upsert(c.limit(0), c.filter(even), ["document_id", "page"], F.col("citation_id"))
+    return store.upsert(first, c.filter(~even), ["document_id", "page"], F.col("citation_id"))
