@@ -316,3 +316,13 @@ def title_profile(title: Column) -> tuple[Column, Column]:
     for d in reversed(DOMAINS):
         domain = F.when(F.contains(low, F.lit(d)), d).otherwise(domain)
     return genre, domain
+
+
+def vision_need(chars: Column, garbage: Column, ink: Column, cover: Column, paths: Column, garbled: float = 0.15) -> tuple[Column, Column]:
+    """(reason, complexity) of a page that has to be seen: a diagram, a garbled text layer, a figure; null and 0 for others."""
+    diagram = (paths > 35) & (cover >= 0.15)
+    broken = (garbage >= garbled) & (chars >= 50)
+    figure = (cover >= 0.40) & (chars < 100) & (ink > 0.05)
+    one = F.lit(1.0)
+    score = F.when(diagram, F.least(one, 0.4 + paths / 100.0 * 0.3 + cover * 0.3)).when(broken, F.least(one, 0.6 + garbage * 0.4)).when(figure, F.least(one, 0.5 + cover * 0.5)).otherwise(0.0)
+    return F.when(diagram, "diagram").when(broken, "garbled").when(figure, "figure"), score

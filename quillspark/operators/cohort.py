@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MISSING = 0.30
@@ -131,3 +131,11 @@ def sufficiency(states: DataFrame, learners: DataFrame, concepts: DataFrame) ->
     g = states.filter("attempts > 0").join(concepts.select("concept_id").distinct(), "concept_id", "left_semi").groupBy("learner_id").agg(F.count("*").alias("observed_concepts"), F.sum("attempts").alias("attempts"))
     x = learners.join(g, "learner_id", "left").fillna(0, ["observed_concepts", "attempts"])
     return x.withColumn("status", F.when(F.col("attempts") == 0, "UNINITIALIZED").when(F.col("attempts") < 3, "INSUFFICIENT_EVIDENCE").otherwise("INITIALIZED"))
+
+
+def minutes(total: Column, bottleneck: Column) -> tuple[Column, Column, Column]:
+    """A lesson's time: at most 15 or 30 % for a prerequisite, at most 25 or 65 % of the rest for instruction, at least 5 for a check."""
+    first = F.when(bottleneck, F.least(F.lit(15), F.floor(0.30 * total))).otherwise(F.lit(0)).cast("int")
+    rest = total - first
+    teach = F.least(F.lit(25), F.floor(0.65 * rest)).cast("int")
+    return first, teach, F.greatest(F.lit(5), rest - teach).cast("int")

@@ -2,7 +2,7 @@
 
 import pytest
 
-from quillspark.plans import library, library_checks, library_extract, library_knowledge, library_more, library_planning, library_text, problems  # noqa: F401
+from quillspark.plans import library, library_checks, library_extract, library_knowledge, library_more, library_planning, library_service, library_text, problems  # noqa: F401
 from tests.fixtures import SMALL, dirty, empty
 
 pytestmark = pytest.mark.skipif(not SMALL.exists(), reason="no test tables")
