@@ -37,15 +37,15 @@ def mentions(texts: DataFrame, terms: DataFrame) -> DataFrame:
     """First place of each concept in each text: (id, concept_id, start, term), start from 1.
 
     texts (id, text); terms (concept_id, term, ord): ord 0 is the name, aliases follow; the first term that occurs
-    counts. Texts and terms meet on the terms' first whole word; the rest of a term is looked up in the pairs that
-    meet, so no text is held against every concept. A term without a whole word at its start is not found.
+    counts, also inside a longer word. Texts and concepts meet on any word of any of the concept's terms, and only
+    what meets is searched, so no text is held against every concept. A concept none of whose words stands whole in
+    a text is not found there.
     """
+    words = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit(r"[a-z0-9_-]{2,}"), F.lit(0)))
     t = terms.select("concept_id", F.lower(F.trim("term")).alias("term"), "ord").filter(F.length("term") > 0)
-    t = t.withColumn("token", F.regexp_extract("term", r"[a-z0-9_-]{2,}", 0)).filter("token != ''")
     low = texts.select("id", F.lower("text").alias("low")).filter("low IS NOT NULL")
-    tok = low.select("id", F.explode(F.array_distinct(F.regexp_extract_all("low", F.lit(r"[a-z0-9_-]{2,}"), F.lit(0)))).alias("token"))
-    hits = tok.join(t, "token").select("id", "concept_id", "term", "ord").join(low, "id")
-    hits = hits.withColumn("start", F.expr("instr(low, term)")).filter("start > 0")
+    meet = low.select("id", F.explode(words(F.col("low"))).alias("token")).join(t.select("concept_id", F.explode(words(F.col("term"))).alias("token")).distinct(), "token").select("id", "concept_id").distinct()
+    hits = meet.join(t, "concept_id").join(low, "id").withColumn("start", F.expr("instr(low, term)")).filter("start > 0")
     return hits.groupBy("id", "concept_id").agg(F.min_by(F.struct("start", "term"), F.struct("ord", "term")).alias("m")).select("id", "concept_id", "m.start", "m.term")
 
 

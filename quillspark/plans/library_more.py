@@ -28,9 +28,9 @@ def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
 
 
-_TERMS = "tm AS (SELECT concept_id, lower(trim(ts[k])) AS term, k AS ord FROM (SELECT concept_id, list_concat([canonical_name], coalesce(aliases, [])) AS ts, unnest(generate_series(1, 1 + len(coalesce(aliases, [])))) AS k FROM concepts) z WHERE ts[k] IS NOT NULL AND trim(ts[k]) <> ''), tk AS (SELECT *, regexp_extract(term, '[a-z0-9_-]{2,}') AS token FROM tm)"
+_TERMS = "tm AS (SELECT concept_id, lower(trim(ts[k])) AS term, k AS ord FROM (SELECT concept_id, list_concat([canonical_name], coalesce(aliases, [])) AS ts, unnest(generate_series(1, 1 + len(coalesce(aliases, [])))) AS k FROM concepts) z WHERE ts[k] IS NOT NULL AND trim(ts[k]) <> ''), tw AS (SELECT concept_id, list_distinct(flatten(list(regexp_extract_all(term, '[a-z0-9_-]{2,}')))) AS words FROM tm GROUP BY 1), tk AS (SELECT tm.*, tw.words FROM tm JOIN tw USING (concept_id))"
 _MENTIONS_OF = """{terms}, tx AS (SELECT id, lower(text) AS low, regexp_extract_all(lower(text), '[a-z0-9_-]{{2,}}') AS toks FROM ({src}) z WHERE text IS NOT NULL),
-hit AS (SELECT tx.id, tk.concept_id, tk.term, tk.ord, instr(tx.low, tk.term) AS start FROM tx JOIN tk ON contains(tx.low, tk.term) AND tk.token <> '' AND list_contains(tx.toks, tk.token)),
+hit AS (SELECT tx.id, tk.concept_id, tk.term, tk.ord, instr(tx.low, tk.term) AS start FROM tx JOIN tk ON contains(tx.low, tk.term) AND list_has_any(tx.toks, tk.words)),
 mn AS (SELECT id, concept_id, arg_min(start, (ord, term)) AS start, arg_min(term, (ord, term)) AS term FROM hit GROUP BY 1, 2)"""
 _MENTIONS = _MENTIONS_OF.format(terms=_TERMS, src="SELECT doc_id AS id, text FROM documents")
 _EVIDENCE_MENTIONS = _MENTIONS_OF.format(terms=_TERMS, src="SELECT document_id || '/' || evidence_id AS id, max(excerpt) AS text FROM evidence GROUP BY 1")

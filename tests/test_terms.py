@@ -73,3 +73,11 @@ def test_accents_and_compatible_characters(spark):
     got = each(spark, list(words), T.search_tokens)
     assert got == {k: [v] for k, v in words.items()}
     assert each(spark, ["Ｆｕｌｌ ｗｉｄｔｈ!", "x² ﬁt"], T.matching_key) == {"Ｆｕｌｌ ｗｉｄｔｈ!": "full width", "x² ﬁt": "x2 fit"}
+
+
+def test_mentions_inside_words_and_by_any_alias(spark):
+    from quillspark.operators.relations import mentions
+
+    texts = spark.createDataFrame([(1, "The geothermal energy of the rock."), (2, "Entropies of heat death."), (3, None)], "id int, text string")
+    terms = spark.createDataFrame([("c1", "thermal energy", 0), ("c2", "entropy", 0), ("c2", "heat death", 1), ("c3", "rock music", 0)], "concept_id string, term string, ord int")
+    assert {(r.id, r.concept_id, r.start, r.term) for r in mentions(texts, terms).collect()} == {(1, "c1", 8, "thermal energy"), (2, "c2", 14, "heat death")}
