@@ -18,7 +18,6 @@ import math
 import re
 import unicodedata
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +41,6 @@ CONFUSED = {
     "rn": ("m",), "nn": ("m",), "in": ("m",), "ni": ("m",), "ii": ("u", "n"), "ri": ("n",), "li": ("h", "u"), "ll": ("u",), "cl": ("d",), "ci": ("d",), "vv": ("w",), "lo": ("b",), "lc": ("k",), "ij": ("y",), "tl": ("d",),
 }
 CONFUSION, HYPHEN, SPACED_HYPHEN, COMPOUND, STRAY_SPACE, RUN_TOGETHER = 3.4, 1.0, 2.0, 0.5, 9.0, 9.0
-MOST_CONFUSED = 2  # characters of one word
 SUBTITLE = 6  # words of a subtitle looked for behind a colon in running text; on a line of its own it may have any number
 ENOUGH = 50  # sightings of a word before its never standing beside a number says anything
 _ROMAN = re.compile(r"^(?=[ivxlcdm]{1,8}$)m{0,3}(cm|cd|d?c{0,3})(xc|xl|l?x{0,3})(ix|iv|v?i{0,3})$")
@@ -157,28 +155,29 @@ class Lexicon:
         return self.number(w) < ENOUGH or self.told("#", w, w)
 
     def corrected(self, w: str) -> list[tuple[float, str]]:
-        """Plain words up to MOST_CONFUSED confusions away, with their costs, best first."""
+        """Plain words up to two confusions away, with their costs, best first."""
         if w in self.memo:
             return self.memo[w]
-        spots = [(i, n, x) for i in range(len(w)) for n in (1, 2) if i + n <= len(w) for x in CONFUSED.get(w[i : i + n], ())]
+        spots = [(i, i + n, x) for i in range(len(w)) for n in (1, 2) if i + n <= len(w) for x in CONFUSED.get(w[i : i + n], ())]
         found: dict[str, float] = {}
         own = self.known(w)
-        for k in range(1, MOST_CONFUSED + 1 if own is None else 2):  # a word that is met is no double misreading
-            for chosen in combinations(spots, k):
-                if any(a[0] + a[1] > b[0] for a, b in zip(chosen, chosen[1:])):
-                    continue
-                out, at = [], 0
-                for i, n, x in chosen:
-                    out += [w[at:i], x]
-                    at = i + n
-                o = "".join([*out, w[at:]])
-                c = self.cost.get(o)
-                if c is None and self.hashed is not None and (own is None or own > self.bar + CONFUSION) and k == 1:
-                    c = self.known(o, read=False)
-                if c is not None and c + k * CONFUSION < found.get(o, math.inf) and self.is_plain(o):
-                    found[o] = c + k * CONFUSION
-            if found:
-                break
+        rarer = self.hashed is not None and (own is None or own > self.bar + CONFUSION)
+        for i, e, x in spots:
+            o = w[:i] + x + w[e:]
+            c = self.cost.get(o)
+            if c is None and rarer:
+                c = self.known(o, read=False)
+            if c is not None and self.is_plain(o):
+                found[o] = c + CONFUSION
+        if not found and own is None:  # a word that is met is no double misreading
+            for k, (i, e, x) in enumerate(spots):
+                front = w[:i] + x
+                for i2, e2, x2 in spots[k + 1 :]:
+                    if i2 >= e:
+                        o = front + w[e:i2] + x2 + w[e2:]
+                        c = self.cost.get(o)
+                        if c is not None and o in self.plain:
+                            found[o] = c + 2 * CONFUSION
         best = sorted((c, o) for o, c in found.items())[:4]
         if len(self.memo) > 200_000:
             self.memo.clear()
