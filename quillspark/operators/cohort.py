@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.operators import beside
+
 MISSING = 0.30
 
 
@@ -93,18 +99,50 @@ def rollup(states: DataFrame, roster: DataFrame) -> DataFrame:
     )
 
 
+def with_prerequisites(states: DataFrame, links: DataFrame) -> DataFrame:
+    """states with ``downstream`` (links from the concept, repeats counted) and ``weak_prerequisites`` (distinct ones below 0.5; without a state they stand at 0.30).
+
+    A learner's weak prerequisites are all of a concept's less the learner's strong ones, so only links between
+    states that the learner has are looked at, in the task that holds the learner.
+    """
+    path = beside.kept(links.groupBy("source", "target").agg(F.count("*").alias("n")), "links")
+
+    def work(tables: Iterator[pa.Table]) -> Iterator[pa.RecordBatch]:
+        t = beside.read(path)
+        names = sorted({v for c in ("source", "target") for v in t[c].unique().to_pylist() if v is not None})
+        at = {v: k for k, v in enumerate(names)}
+        n = len(names)
+        source, target = beside.coded(t["source"], at), beside.coded(t["target"], at)
+        down = np.append(np.bincount(source[source >= 0], t["n"].to_numpy()[source >= 0], n).astype(np.int64), 0)
+        needs = np.append(np.bincount(target[target >= 0], minlength=n), 0)
+        both = (source >= 0) & (target >= 0)
+        source, target = source[both], target[both]
+        order = np.argsort(source, kind="stable")
+        target, first = target[order], beside.offsets(source[order], n)
+        for own in tables:
+            concept, mastery = beside.coded(own["concept_id"], at), own["mastery"].to_numpy()
+            weak = needs[concept]
+            _, begin = beside.runs(own["learner_id"])
+            for a, b in zip(begin[:-1], begin[1:]):
+                c = concept[a:b]
+                strong = c[(mastery[a:b] >= 0.5) & (c >= 0)]
+                met = target[beside.spread(first[strong], first[strong + 1])]
+                if len(met):
+                    weak[a:b] -= np.append(np.bincount(met, minlength=n), 0)[c]
+            out = own.append_column("downstream", pa.array(down[concept])).append_column("weak_prerequisites", pa.array(weak))
+            yield from out.combine_chunks().to_batches()
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in states.schema.fields)
+    return beside.by_learner(states, work, f"{kinds}, downstream long, weak_prerequisites long")
+
+
 def gaps(states: DataFrame, links: DataFrame) -> DataFrame:
     """Gaps of learners' attempted concepts: reasons in order, main type, weak prerequisites, downstream count.
 
     states (learner_id, concept_id, mastery, attempts, uncertainty); links (source, target), repeats kept:
     downstream counts them, prerequisites don't. A prerequisite without a state stands at 0.30.
     """
-    down = links.groupBy(F.col("source").alias("concept_id")).agg(F.count("*").alias("downstream"))
-    pre = links.select("source", "target").distinct()
-    have = states.select("learner_id", F.col("concept_id").alias("source"), F.col("mastery").alias("pm"))
-    need = states.select("learner_id", "concept_id").join(pre, F.col("concept_id") == F.col("target")).join(have, ["learner_id", "source"], "left").filter(F.coalesce("pm", F.lit(MISSING)) < 0.5)
-    weak = need.groupBy("learner_id", "concept_id").agg(F.count("*").alias("weak_prerequisites"))
-    g = states.join(down, "concept_id", "left").join(weak, ["learner_id", "concept_id"], "left").fillna(0, ["downstream", "weak_prerequisites"])
+    g = with_prerequisites(states, links)
     thin = (F.col("attempts") < 3) | (F.col("uncertainty") > 0.4)
     low = F.col("mastery") < 0.5
     weak_ = F.col("weak_prerequisites") > 0
