@@ -36,3 +36,17 @@ def test_gaps_meet_links_beside_their_learner(spark):
     assert got == {k: v for k, v in want.items() if thin[k] or low[k] or v[1]}
     none = cohort.gaps(sdf, spark.createDataFrame([], "source string, target string")).collect()
     assert {(r.learner_id, r.concept_id) for r in none} == {k for k in want if thin[k] or low[k]} and not any(r.downstream or r.weak_prerequisites for r in none)
+
+
+def test_gap_reasons_follow_states_and_links(spark):
+    rng, states, sdf = some_states(spark, 2)
+    links = some_links(rng)
+    want = weak_prerequisites(states, links)
+    g = cohort.gaps(sdf, spark.createDataFrame(links, "source string, target string"))
+    assert "Join" not in plan(g)
+    got = {(r.learner_id, r.concept_id): (r.reasons, r.gap_type) for r in g.collect()}
+    for w, c, m, n, u in states:
+        thin, low, (down, weak) = n < 3 or u > 0.4, m < 0.5, want[w, c]
+        why = [k for k, v in (("INSUFFICIENT_EVIDENCE", thin), ("LOW_MASTERY", low), ("WEAK_PREREQUISITE", weak > 0), ("HIGH_DOWNSTREAM_IMPACT", (low or thin) and down >= 2)) if v]
+        kind = "LOW_MASTERY" if low else "INSUFFICIENT_EVIDENCE" if thin else "WEAK_PREREQUISITE"
+        assert got.get((w, c)) == ((",".join(why), kind) if why else None)
