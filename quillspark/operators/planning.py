@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.operators.graph import topological_order
+from quillspark.session import unsent
 
 # A learner without a state, and the parameters of diagnosis.
 PRIOR_MASTERY, PRIOR_UNCERTAINTY = 0.30, 0.85
@@ -39,8 +40,8 @@ def hypotheses(states: DataFrame, goals: DataFrame, ancestors: DataFrame, suppor
     misconception; priors sum to 1 up to their four decimals. A concept without a state has the prior one.
     """
     own = goals.withColumn("concept_id", F.col("target"))
-    all_ = own.unionByName(goals.join(ancestors, (goals["tree"] == ancestors["tree"]) & (F.col("target") == F.col("node"))).select(goals["learner_id"], goals["tree"], "target", F.col("ancestor").alias("concept_id"))).distinct()
-    h = all_.join(states.select("learner_id", "concept_id", "mastery", "uncertainty"), ["learner_id", "concept_id"], "left").fillna(PRIOR_MASTERY, ["mastery"]).fillna(PRIOR_UNCERTAINTY, ["uncertainty"])
+    all_ = own.unionByName(goals.join(unsent(ancestors), (goals["tree"] == ancestors["tree"]) & (F.col("target") == F.col("node"))).select(goals["learner_id"], goals["tree"], "target", F.col("ancestor").alias("concept_id"))).distinct()
+    h = all_.join(unsent(states.select("learner_id", "concept_id", "mastery", "uncertainty")), ["learner_id", "concept_id"], "left").fillna(PRIOR_MASTERY, ["mastery"]).fillna(PRIOR_UNCERTAINTY, ["uncertainty"])
     extra = F.lit(0.0)
     if supported is not None:
         h = h.join(supported.select("learner_id", "concept_id", F.col("n").alias("signs")), ["learner_id", "concept_id"], "left")
@@ -52,7 +53,7 @@ def hypotheses(states: DataFrame, goals: DataFrame, ancestors: DataFrame, suppor
 
 def _explains(ancestors: DataFrame) -> DataFrame:
     """(tree, asked, concept_id): a gap in concept_id makes a question on ``asked`` a guess."""
-    return ancestors.select("tree", F.col("node").alias("asked"), F.col("ancestor").alias("concept_id"), F.lit(True).alias("explains"))
+    return unsent(ancestors.select("tree", F.col("node").alias("asked"), F.col("ancestor").alias("concept_id"), F.lit(True).alias("explains")))
 
 
 def question_gains(hyp: DataFrame, questions: DataFrame, ancestors: DataFrame, states: DataFrame, guess: float = GUESS, slip: float = SLIP) -> DataFrame:
@@ -63,7 +64,7 @@ def question_gains(hyp: DataFrame, questions: DataFrame, ancestors: DataFrame, s
     follows from the sums of p and p log p.
     """
     known = states.select("learner_id", F.col("concept_id").alias("asked"), F.col("mastery").alias("asked_mastery"))
-    x = hyp.join(questions, "tree").join(_explains(ancestors), ["tree", "asked", "concept_id"], "left").join(known, ["learner_id", "asked"], "left")
+    x = hyp.join(unsent(questions), "tree").join(_explains(ancestors), ["tree", "asked", "concept_id"], "left").join(unsent(known), ["learner_id", "asked"], "left")
     m = F.col("asked_mastery")
     right = F.when((F.col("asked") == F.col("concept_id")) | F.coalesce("explains", F.lit(False)), F.lit(guess)).when(m.isNotNull(), m * (1.0 - slip) + (1.0 - m) * guess).otherwise(F.lit(1.0 - slip))
     x = x.withColumn("right", F.greatest(F.lit(0.001), F.least(F.lit(0.999), right)))

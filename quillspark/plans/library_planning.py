@@ -13,7 +13,7 @@ from quillspark.operators.hierarchy import hierarchy
 from quillspark.operators.tracing import trajectory
 from quillspark.plans.library import _GAPS, _IG, _QUESTIONS, ANSWERS, ROSTER, STATES, answers, query, roster, states
 from quillspark.plans.library_text import _REACH, doc_links
-from quillspark.session import stored, table, tables_dir
+from quillspark.session import stored, table, tables_dir, unsent
 from quillspark.sources import store
 
 UNSURE = _GAPS.split("\ndn AS")[0].rstrip().rstrip(",")
@@ -113,7 +113,7 @@ def mth_06_07_beliefs(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, up, h = _hypotheses(spark, sf_dir)
     q = newest(spark, sf_dir).filter(F.size("concept_ids") > 0).select(F.col("document_id").alias("tree"), "question_id", F.element_at("concept_ids", 1).alias("asked"))
     i = table(spark, sf_dir, "interactions").filter("correctness IS NOT NULL AND NOT isnan(correctness)").select("learner_id", "interaction_id", "question_id", "ts", "correctness").distinct()
-    mine = i.join(goals(spark, sf_dir, s).select("learner_id", "tree"), "learner_id").join(q, ["tree", "question_id"])
+    mine = i.join(goals(spark, sf_dir, s).select("learner_id", "tree"), "learner_id").join(unsent(q), ["tree", "question_id"])
     w = Window.partitionBy("learner_id", "tree").orderBy("ts", "interaction_id")
     turns = mine.withColumn("turn", F.row_number().over(w)).filter("turn <= 5").select("learner_id", "tree", "asked", (F.col("correctness") >= 0.5).alias("correct"), "turn")
     b = planning.beliefs(h, turns, up)

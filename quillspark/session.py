@@ -76,6 +76,15 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unsent(df: DataFrame) -> DataFrame:
+    """df for a join that must not send it whole to every task.
+
+    Spark takes a table for small by the bytes of its compressed file, and an explode for as large as what it
+    explodes; both may be a hundred times larger in memory, where the driver has to build what it broadcasts.
+    """
+    return df.hint("merge")
+
+
 def fresh_names(df: DataFrame, *wanted: str) -> list[str]:
     """Names for helper columns that clash with none of df's, whatever it carries."""
     have = {c.lower() for c in df.columns}

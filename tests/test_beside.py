@@ -2,7 +2,8 @@
 
 import random
 
-from quillspark.operators import cohort
+from quillspark.operators import cohort, planning
+from quillspark.session import stored
 
 
 def plan(df) -> str:
@@ -50,3 +51,32 @@ def test_gap_reasons_follow_states_and_links(spark):
         why = [k for k, v in (("INSUFFICIENT_EVIDENCE", thin), ("LOW_MASTERY", low), ("WEAK_PREREQUISITE", weak > 0), ("HIGH_DOWNSTREAM_IMPACT", (low or thin) and down >= 2)) if v]
         kind = "LOW_MASTERY" if low else "INSUFFICIENT_EVIDENCE" if thin else "WEAK_PREREQUISITE"
         assert got.get((w, c)) == ((",".join(why), kind) if why else None)
+
+
+def ancestors_and_states(spark):
+    rng, states, sdf = some_states(spark, 3)
+    anc = spark.createDataFrame([("t", f"c{k}", f"c{j}") for k in range(12) for j in range(k) if rng.random() < 0.5], "tree string, node string, ancestor string")
+    goals = planning.targets(sdf, spark.createDataFrame([("t", "c1", "c5"), ("t", "c2", "c7")], "tree string, source string, target string"))
+    return sdf, stored(anc), planning.hypotheses(sdf, goals, stored(anc))
+
+
+def test_question_gains_broadcast_no_table_by_its_file(spark):
+    sdf, anc, h = ancestors_and_states(spark)
+    q = stored(spark.createDataFrame([("t", f"q{k}", f"c{k}") for k in range(8)], "tree string, question_id string, asked string"))
+    assert "BroadcastHashJoin" not in plan(h)
+    gains = planning.question_gains(h, q, anc, stored(sdf))
+    assert "BroadcastHashJoin" not in plan(gains) and gains.count() == 8 * h.select("learner_id").distinct().count()
+
+
+def test_best_question_is_over_all_questions_of_the_tree(spark):
+    sdf, anc, h = ancestors_and_states(spark)
+    q = stored(spark.createDataFrame([("t", f"q{k}", f"c{k}") for k in range(8)], "tree string, question_id string, asked string"))
+    best = planning.best_question(planning.question_gains(h, q, anc, stored(sdf)))
+    assert "BroadcastHashJoin" not in plan(best) and {r.candidates for r in best.collect()} == {8}
+
+
+def test_beliefs_broadcast_no_table_by_its_file(spark):
+    _, anc, h = ancestors_and_states(spark)
+    turns = spark.createDataFrame([("l0", "t", "c5", False, 1), ("l1", "t", "c7", True, 1)], "learner_id string, tree string, asked string, correct boolean, turn int")
+    b = planning.beliefs(h, turns, anc)
+    assert "BroadcastHashJoin" not in plan(b) and b.count() == h.count()
