@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import search_tokens
-from quillspark.session import stored
+from quillspark.session import stored, unsent
 
 K1, B = 1.5, 0.75
 RRF_K, WEIGHTS = 60, {"lexical": 1.0, "vector": 0.8, "graph": 0.7}
@@ -43,7 +43,7 @@ class Index:
         self._norms: DataFrame | None = None
 
     def salted(self, df: DataFrame) -> DataFrame:
-        return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(self.SALTS - 1))))
+        return unsent(df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(self.SALTS - 1)))))
 
     def norms(self) -> DataFrame:
         """(id, norm) of the weights of all a chunk's terms."""
@@ -84,11 +84,11 @@ def cosine(chunks: DataFrame | Index, queries: DataFrame, k: int = 20) -> DataFr
     """(query, id, score, rank): cosine of (1 + ln tf) * ln(1 + N/df) weights; a term no chunk has counts as df 1."""
     x = chunks if isinstance(chunks, Index) else Index(chunks)
     n = F.lit(float(x.n_docs))
-    q = _postings(queries).join(x.df, "term", "left").withColumn("idf", F.log(1.0 + n / F.coalesce("df", F.lit(1)))).withColumn("qw", _weight(F.col("tf"), F.col("idf")))
+    q = _postings(queries).join(unsent(x.df), "term", "left").withColumn("idf", F.log(1.0 + n / F.coalesce("df", F.lit(1)))).withColumn("qw", _weight(F.col("tf"), F.col("idf")))
     q_norms = q.groupBy(F.col("id").alias("query")).agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("q_norm"))
     wanted = x.salted(q.filter("df IS NOT NULL").select(F.col("id").alias("query"), "term", "qw", "idf"))
     dots = x.postings.select("id", "term", "salt", "tf").join(wanted, ["term", "salt"]).groupBy("query", "id").agg(F.sum(_weight(F.col("tf"), F.col("idf")) * F.col("qw")).alias("dot"))
-    scored = dots.join(x.norms(), "id").join(q_norms, "query").select("query", "id", F.round(F.col("dot") / (F.col("norm") * F.col("q_norm")), 9).alias("score"))
+    scored = dots.join(unsent(x.norms()), "id").join(q_norms, "query").select("query", "id", F.round(F.col("dot") / (F.col("norm") * F.col("q_norm")), 9).alias("score"))
     return top(scored, k)
 
 
