@@ -80,3 +80,5 @@ def test_beliefs_broadcast_no_table_by_its_file(spark):
     turns = spark.createDataFrame([("l0", "t", "c5", False, 1), ("l1", "t", "c7", True, 1)], "learner_id string, tree string, asked string, correct boolean, turn int")
     b = planning.beliefs(h, turns, anc)
     assert "BroadcastHashJoin" not in plan(b) and b.count() == h.count()
+    asked = {r.learner_id: r.asked for r in b.collect()}
+    assert all(n == int(w in ("l0", "l1")) for w, n in asked.items())
