@@ -65,6 +65,7 @@ def test_question_gains_broadcast_no_table_by_its_file(spark):
     q = stored(spark.createDataFrame([("t", f"q{k}", f"c{k}") for k in range(8)], "tree string, question_id string, asked string"))
     assert "BroadcastHashJoin" not in plan(h)
     gains = planning.question_gains(h, q, anc, stored(sdf))
+    assert all(0 <= r.gain <= r.prior_entropy + 1e-6 for r in gains.collect())
     assert "BroadcastHashJoin" not in plan(gains) and gains.count() == 8 * h.select("learner_id").distinct().count()
 
 
