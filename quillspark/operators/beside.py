@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from quillspark.session import tables_dir
 
@@ -101,3 +102,41 @@ def runs(names: pa.ChunkedArray) -> tuple[list, np.ndarray]:
     k = d.indices.to_numpy(zero_copy_only=False)
     begin = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
     return [d.dictionary[int(k[i])].as_py() for i in begin], np.append(begin, len(k))
+
+
+class Bank:
+    """A question bank as whole numbers: questions in order of id, the concepts of each, and the questions of each concept."""
+
+    def __init__(self, t: pa.Table) -> None:
+        t = t.sort_by("question_id").combine_chunks()
+        self.table, self.ids = t, t["question_id"].combine_chunks()
+        lists = t["concepts"].combine_chunks()
+        names = sorted(v for v in lists.flatten().unique().to_pylist() if v is not None)
+        self.at = {v: k for k, v in enumerate(names)}
+        concept = coded(lists.flatten(), self.at)
+        question = np.repeat(np.arange(t.num_rows), np.diff(lists.offsets.to_numpy()))
+        question, concept = question[concept >= 0], concept[concept >= 0]
+        size = np.bincount(question, minlength=t.num_rows)
+        place = np.arange(len(question)) - np.repeat(np.cumsum(size) - size, size)
+        self.concepts = np.full((t.num_rows, max(1, int(size.max(initial=1)))), len(names))  # filled up with a concept nobody has
+        self.concepts[question, place] = concept
+        order = np.argsort(concept, kind="stable")
+        self.asks, self.first = question[order], offsets(concept[order], len(names))
+
+    def touching(self, concepts: np.ndarray) -> np.ndarray:
+        """Questions of any of the concepts, each once, in order of id."""
+        return np.unique(self.asks[spread(self.first[concepts], self.first[concepts + 1])])
+
+    def levels(self, concept: np.ndarray, priority: np.ndarray) -> Iterator[tuple[float, np.ndarray]]:
+        """From the highest priority down: the questions whose highest priority it is; concepts are a learner's known numbers."""
+        over = np.full(len(self.first), -np.inf)
+        over[concept] = priority
+        for p in sorted(set(priority.tolist()), reverse=True):
+            q = self.touching(concept[priority == p])
+            yield p, q[over[self.concepts[q]].max(1) == p]
+
+
+def bank_of(questions: DataFrame, *columns) -> str:
+    """questions (question_id, concept_ids), one row a question_id, kept with further columns for ``Bank``."""
+    q = questions.select("question_id", F.array_distinct("concept_ids").alias("concepts"), *columns)
+    return kept(q.filter(F.size("concepts") > 0), "bank")

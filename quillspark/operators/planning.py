@@ -9,10 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.operators import beside
 from quillspark.operators.graph import topological_order
 from quillspark.session import unsent
 
@@ -173,6 +175,89 @@ def quiz(candidates: DataFrame, most: int = MOST_QUESTIONS) -> DataFrame:
     return rows.select("learner_id", "question_id", "concepts").mapInArrow(run, "learner_id string, place int, question_id string")
 
 
+def _scored(questions: DataFrame) -> str:
+    """A bank of the questions with two options or more; ``scores`` holds the score by the number of concepts verified, from 1."""
+    score = lambda n: F.round(2.0 + 2.0 * n - 1.5 * F.abs(F.coalesce("difficulty", F.lit(0.5)) - 0.5), 6)
+    return beside.bank_of(questions.filter(F.size("options") >= 2), F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(F.array_distinct("concept_ids")))), score).alias("scores"))
+
+
+def _scores(bank: beside.Bank) -> np.ndarray:
+    lists = bank.table["scores"].combine_chunks()
+    size = np.diff(lists.offsets.to_numpy())
+    out = np.zeros((len(size), int(size.max(initial=1)) + 1))
+    out[np.repeat(np.arange(len(size)), size), 1 + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)] = lists.flatten().to_numpy()
+    return out
+
+
+def quizzes(verify: DataFrame, questions: DataFrame, most: int = MOST_QUESTIONS) -> DataFrame:
+    """The rows of ``quiz`` of the ``quiz_candidates`` without listing these: each learner's questions are looked up, level by level of priority, in the bank beside the learner until the quiz is full.
+
+    questions has one row a question_id.
+    """
+    path = _scored(questions)
+
+    def work(tables: Iterator[pa.Table]) -> Iterator[pa.RecordBatch]:
+        bank = beside.Bank(beside.read(path))
+        scores = _scores(bank)
+        left = np.zeros(len(bank.first), np.int64)
+        mine = np.zeros(len(bank.first), bool)
+        for t in tables:
+            concept, priority, cap = beside.coded(t["concept_id"], bank.at), t["priority"].to_numpy(), t["cap"].to_numpy()
+            names, begin = beside.runs(t["learner_id"])
+            who, places, which = [], [], []
+            for name, a, b in zip(names, begin[:-1], begin[1:]):
+                known = concept[a:b] >= 0
+                c = concept[a:b][known]
+                left[c], mine[c] = cap[a:b][known], True
+                n = 0
+                for _, q in bank.levels(c, priority[a:b][known]):
+                    held = mine[bank.concepts[q]]
+                    order = np.lexsort((q, -scores[q, held.sum(1)]))
+                    q, held = q[order], held[order]
+                    while n < most and len(q):
+                        open_ = (held & (left[bank.concepts[q]] > 0)).any(1)
+                        k = int(open_.argmax())
+                        if not open_[k]:
+                            break
+                        n += 1
+                        who.append(name)
+                        places.append(n)
+                        which.append(q[k])
+                        left[bank.concepts[q[k]][held[k]]] -= 1
+                        q, held = q[k + 1 :], held[k + 1 :]
+                    if n >= most:
+                        break
+                mine[c] = False
+            if who:
+                yield pa.RecordBatch.from_arrays([pa.array(who, pa.string()), pa.array(places, pa.int32()), bank.ids.take(pa.array(np.array(which)))], names=["learner_id", "place", "question_id"])
+
+    return beside.by_learner(verify.select("learner_id", "concept_id", "priority", "cap"), work, "learner_id string, place int, question_id string", "concept_id")
+
+
+def candidates_beside(verify: DataFrame, questions: DataFrame) -> DataFrame:
+    """(learner_id, question_id, priority, score) of ``quiz_candidates``, made in the learner's task; questions has one row a question_id."""
+    path = _scored(questions)
+
+    def work(tables: Iterator[pa.Table]) -> Iterator[pa.RecordBatch]:
+        bank = beside.Bank(beside.read(path))
+        scores = _scores(bank)
+        mine = np.zeros(len(bank.first), bool)
+        for t in tables:
+            concept, priority = beside.coded(t["concept_id"], bank.at), t["priority"].to_numpy()
+            names, begin = beside.runs(t["learner_id"])
+            for name, a, b in zip(names, begin[:-1], begin[1:]):
+                known = concept[a:b] >= 0
+                c = concept[a:b][known]
+                mine[c] = True
+                for p, q in bank.levels(c, priority[a:b][known]):
+                    for k in range(0, len(q), 50_000):
+                        s = q[k : k + 50_000]
+                        yield pa.RecordBatch.from_arrays([pa.array([name], pa.string()).take(pa.array(np.zeros(len(s), np.int32))), bank.ids.take(pa.array(s)), pa.array(np.full(len(s), p)), pa.array(scores[s, mine[bank.concepts[s]].sum(1)])], names=["learner_id", "question_id", "priority", "score"])
+                mine[c] = False
+
+    return beside.by_learner(verify.select("learner_id", "concept_id", "priority"), work, "learner_id string, question_id string, priority double, score double", "concept_id")
+
+
 def next_verification(verify: DataFrame, questions: DataFrame, states: DataFrame, asked: DataFrame, gain, most: int = MOST_QUESTIONS) -> DataFrame:
     """The next question of each learner given what was answered: most (priority, gain + bonus), ties by id.
 

@@ -202,7 +202,7 @@ def qc_13_quiz_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verification quizzes: questions, those twice in one, and those that touch nothing that was to be verified."""
     s = stored(states(spark, sf_dir))
     v, q = planning.to_verify(claims(s)), newest(spark, sf_dir)
-    z = planning.quiz(planning.quiz_candidates(v, q))
+    z = stored(planning.quizzes(v, q))
     c = z.join(q.select("question_id", F.explode("concept_ids").alias("concept_id")), "question_id").join(v.select("learner_id", "concept_id", F.lit(1).alias("wanted")), ["learner_id", "concept_id"], "left")
     per = c.groupBy("learner_id", "question_id").agg(F.max("wanted").alias("wanted"))
     return z.groupBy("learner_id").agg(F.count("*").alias("questions"), (F.count("*") - F.count_distinct("question_id")).alias("repeated")).join(per.groupBy("learner_id").agg(F.count_if(F.col("wanted").isNull()).alias("outside")), "learner_id")

@@ -147,13 +147,13 @@ cd AS (SELECT learner_id, question_id, max(priority) AS priority, round(2.0::DOU
 
 @query(f"WITH {CANDIDATES} SELECT learner_id, question_id, priority, score FROM cd")
 def set_04_top_24_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return planning.quiz_candidates(planning.to_verify(claims(states(spark, sf_dir))), newest(spark, sf_dir)).select("learner_id", "question_id", "priority", "score")
+    return planning.candidates_beside(planning.to_verify(claims(states(spark, sf_dir))), newest(spark, sf_dir))
 
 
 @query()
 def top_11_quiz(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The verification quiz of each learner: greedy by priority and score within the caps."""
-    return planning.quiz(planning.quiz_candidates(planning.to_verify(claims(states(spark, sf_dir))), newest(spark, sf_dir)))
+    return planning.quizzes(planning.to_verify(claims(states(spark, sf_dir))), newest(spark, sf_dir))
 
 
 @query(f"""WITH {STATES}, {CLAIMS}, k AS (SELECT *, row_number() OVER (PARTITION BY learner_id ORDER BY priority DESC, concept_id) AS rn FROM vf) SELECT learner_id, string_agg(concept_id, ',' ORDER BY rn) AS concept_ids FROM k WHERE rn <= 4 GROUP BY 1""")

@@ -83,3 +83,21 @@ def test_beliefs_broadcast_no_table_by_its_file(spark):
     assert "BroadcastHashJoin" not in plan(b) and b.count() == h.count()
     asked = {r.learner_id: r.asked for r in b.collect()}
     assert all(n == int(w in ("l0", "l1")) for w, n in asked.items())
+
+
+def claims_and_bank(spark, seed):
+    rng = random.Random(seed)
+    claims = [(f"l{i}", f"c{k}", rng.choice(["KNOW", "DONT_KNOW", "UNANSWERED"]), rng.choice(["LOW", "MEDIUM", "HIGH"])) for i in range(5) for k in range(12) if rng.random() < 0.8]
+    questions = [(f"q{i:02d}", rng.choice([None, ["a"], ["a", "b"], ["a", "b", "c"]]), rng.choice([None, round(rng.random(), 2)]), rng.choice([None, [None, "c1"], [f"c{rng.randrange(14)}" for _ in range(rng.randrange(0, 5))]]), rng.choice([None, 0.7, 1.3])) for i in range(80)]
+    verify = planning.to_verify(spark.createDataFrame(claims, "learner_id string, concept_id string, status string, confidence string"))
+    return rng, verify, spark.createDataFrame(questions, "question_id string, options array<string>, difficulty double, concept_ids array<string>, information_value double")
+
+
+def test_quizzes_are_those_of_all_candidates(spark):
+    for seed, most in ((5, 10), (6, 3)):
+        _, verify, q = claims_and_bank(spark, seed)
+        quiz = planning.quizzes(verify, q, most)
+        assert "Join" not in plan(quiz)
+        got = sorted(map(tuple, quiz.collect()))
+        assert got == sorted(map(tuple, planning.quiz(planning.quiz_candidates(verify, q), most).collect())) and got
+    assert planning.quizzes(verify, q.limit(0)).count() == 0 and planning.quizzes(verify.limit(0), q).count() == 0
