@@ -123,6 +123,45 @@ class Bank:
         order = np.argsort(concept, kind="stable")
         self.asks, self.first = question[order], offsets(concept[order], len(names))
 
+    def shorten(self, scores: np.ndarray, most: int) -> None:
+        """Prepare ``shortlist``: no concept is asked about more than ``most`` times; scores by (question, concepts verified).
+
+        Of the questions on one concept alone the first ``most`` can be taken, and a question of which only that
+        concept is verified can be taken if it comes before the last of these. Others are met by two concepts.
+        """
+        none = len(self.first) - 1
+        n = (self.concepts != none).sum(1)
+        question = self.asks
+        concept = np.repeat(np.arange(none), np.diff(self.first))
+        order = np.lexsort((question, -scores[question, 1], concept))
+        question, concept = question[order], concept[order]
+        alone = n[question] == 1
+        upto = np.cumsum(alone)
+        before = np.concatenate([[0], upto])[self.first[:-1]] if none else upto
+        keep = upto - alone - before[concept] < most
+        self.short, self.short_first = question[keep], offsets(concept[keep], none)
+        pairs = [np.zeros(0, np.int64)]
+        whose = [np.zeros(0, np.int64)]
+        rows = np.sort(self.concepts, 1)
+        for i in range(rows.shape[1]):
+            for j in range(i + 1, rows.shape[1]):
+                q = np.flatnonzero(rows[:, j] < none)
+                pairs.append(rows[q, i] * none + rows[q, j])
+                whose.append(q)
+        key, q = np.concatenate(pairs), np.concatenate(whose)
+        order = np.argsort(key, kind="stable")
+        self.pair_key, self.pair_q = key[order], q[order]
+
+    def shortlist(self, c: np.ndarray) -> np.ndarray:
+        """All questions that may be taken for a learner who verifies the concepts c, in order of id."""
+        if len(c) > 3_000:  # pairs would be millions
+            return self.touching(c)
+        c = np.sort(c)
+        i, j = np.triu_indices(len(c), 1)
+        key = c[i] * (len(self.first) - 1) + c[j]
+        two = self.pair_q[spread(np.searchsorted(self.pair_key, key), np.searchsorted(self.pair_key, key, "right"))]
+        return np.unique(np.concatenate([self.short[spread(self.short_first[c], self.short_first[c + 1])], two]))
+
     def touching(self, concepts: np.ndarray) -> np.ndarray:
         """Questions of any of the concepts, each once, in order of id."""
         return np.unique(self.asks[spread(self.first[concepts], self.first[concepts + 1])])

@@ -190,7 +190,7 @@ def _scores(bank: beside.Bank) -> np.ndarray:
 
 
 def quizzes(verify: DataFrame, questions: DataFrame, most: int = MOST_QUESTIONS) -> DataFrame:
-    """The rows of ``quiz`` of the ``quiz_candidates`` without listing these: each learner's questions are looked up, level by level of priority, in the bank beside the learner until the quiz is full.
+    """The rows of ``quiz`` of the ``quiz_candidates`` without listing these: each learner's questions are looked up in the bank beside the learner, without those that others of the same concepts always come before.
 
     questions has one row a question_id.
     """
@@ -201,32 +201,35 @@ def quizzes(verify: DataFrame, questions: DataFrame, most: int = MOST_QUESTIONS)
         scores = _scores(bank)
         left = np.zeros(len(bank.first), np.int64)
         mine = np.zeros(len(bank.first), bool)
+        over = np.full(len(bank.first), -np.inf)
+        caps = -1
         for t in tables:
             concept, priority, cap = beside.coded(t["concept_id"], bank.at), t["priority"].to_numpy(), t["cap"].to_numpy()
             names, begin = beside.runs(t["learner_id"])
+            if cap.max() > caps:
+                caps = int(cap.max())
+                bank.shorten(scores, caps)
             who, places, which = [], [], []
             for name, a, b in zip(names, begin[:-1], begin[1:]):
                 known = concept[a:b] >= 0
                 c = concept[a:b][known]
-                left[c], mine[c] = cap[a:b][known], True
-                n = 0
-                for _, q in bank.levels(c, priority[a:b][known]):
-                    held = mine[bank.concepts[q]]
-                    order = np.lexsort((q, -scores[q, held.sum(1)]))
-                    q, held = q[order], held[order]
-                    while n < most and len(q):
-                        open_ = (held & (left[bank.concepts[q]] > 0)).any(1)
-                        k = int(open_.argmax())
-                        if not open_[k]:
-                            break
-                        n += 1
-                        who.append(name)
-                        places.append(n)
-                        which.append(q[k])
-                        left[bank.concepts[q[k]][held[k]]] -= 1
-                        q, held = q[k + 1 :], held[k + 1 :]
-                    if n >= most:
+                left[c], mine[c], over[c] = cap[a:b][known], True, priority[a:b][known]
+                n, q = 0, bank.shortlist(c)
+                held = mine[bank.concepts[q]]
+                order = np.lexsort((q, -scores[q, held.sum(1)], -over[bank.concepts[q]].max(1)))
+                q, held = q[order], held[order]
+                while n < most and len(q):
+                    open_ = (held & (left[bank.concepts[q]] > 0)).any(1)
+                    k = int(open_.argmax())
+                    if not open_[k]:
                         break
+                    n += 1
+                    who.append(name)
+                    places.append(n)
+                    which.append(q[k])
+                    left[bank.concepts[q[k]][held[k]]] -= 1
+                    q, held = q[k + 1 :], held[k + 1 :]
+                over[c] = -np.inf
                 mine[c] = False
             if who:
                 yield pa.RecordBatch.from_arrays([pa.array(who, pa.string()), pa.array(places, pa.int32()), bank.ids.take(pa.array(np.array(which)))], names=["learner_id", "place", "question_id"])

@@ -101,3 +101,22 @@ def test_quizzes_are_those_of_all_candidates(spark):
         got = sorted(map(tuple, quiz.collect()))
         assert got == sorted(map(tuple, planning.quiz(planning.quiz_candidates(verify, q), most).collect())) and got
     assert planning.quizzes(verify, q.limit(0)).count() == 0 and planning.quizzes(verify.limit(0), q).count() == 0
+
+
+def test_quizzes_read_once_keep_within_what_was_to_be_verified(spark):
+    _, verify, q = claims_and_bank(spark, 8)
+    quiz = planning.quizzes(verify, q)
+    assert "Join" not in plan(quiz)
+    wanted = {(r.learner_id, r.concept_id) for r in verify.collect()}
+    bank = {r.question_id: r.concept_ids for r in q.collect()}
+    rows = quiz.collect()
+    assert rows and all(any((r.learner_id, c) in wanted for c in bank[r.question_id]) for r in rows)
+    assert len({(r.learner_id, r.question_id) for r in rows}) == len(rows)
+
+
+def test_candidates_are_listed_beside_the_learner(spark):
+    _, verify, q = claims_and_bank(spark, 7)
+    c = planning.candidates_beside(verify, q)
+    assert "Join" not in plan(c) and "HashAggregate" not in plan(c)
+    got = sorted(map(tuple, c.collect()))
+    assert got == sorted(tuple(r)[:4] for r in planning.quiz_candidates(verify, q).collect()) and got
