@@ -16,6 +16,7 @@ from quillspark.functions.learning import P_GUESS, P_INIT, P_SLIP, P_TRANSIT
 from quillspark.operators.tracing import step_maps
 
 LATE = "24 hours"
+BUCKETS = 1024
 
 
 def read_answers(spark: SparkSession, path: str, files_per_trigger: int = 4) -> DataFrame:
@@ -37,21 +38,24 @@ def received(df: DataFrame) -> DataFrame:
 
 def in_order_of_arrival(df: DataFrame, folder: str, files: int = 6) -> str:
     """Write df as ``files`` files in order of ``received``, as they would have come in, each by one task; gives the folder."""
-    bounds = df.select(F.unix_micros("received").cast("double").alias("t")).approxQuantile("t", [k / files for k in range(1, files)], 0.0) if files > 1 else []
-    cuts = [F.lit(b) for b in bounds]
-    files = len(cuts) + 1  # no rows, no bounds
     at = F.unix_micros("received").cast("double")
-    for k in range(files):
-        low = at > cuts[k - 1] if k and cuts else F.lit(True)
-        high = at <= cuts[k] if k < len(cuts) else F.lit(True)
-        df.filter(low & high).coalesce(1).sortWithinPartitions("received").write.mode("append").parquet(f"{folder}/arrival={k}")
+    bounds = sorted(set(df.select(at.alias("t")).approxQuantile("t", [k / files for k in range(1, files)], 0.001))) if files > 1 else []
+    files = len(bounds) + 1  # no rows, no bounds
+    arrival = F.lit(files - 1)
+    for k in reversed(range(len(bounds))):
+        arrival = F.when(at <= bounds[k], k).otherwise(arrival)
+    rows = (df.filter(at.isNotNull()) if bounds else df).withColumn("arrival", arrival).repartitionById(files, F.col("arrival")).sortWithinPartitions("arrival", "received")
+    rows.write.mode("append").partitionBy("arrival").parquet(folder)
+    if not bounds:  # also a table without rows has its folder
+        df.limit(0).coalesce(1).write.mode("append").parquet(f"{folder}/arrival=0")
     # A stream takes files by their times, which may be equal for files written at once.
     spark = df.sparkSession
     root = spark._jvm.org.apache.hadoop.fs.Path(folder)
     fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
     first = int(time.time() * 1000) - 1000 * (files + 1)
     for k in range(files):
-        for s in fs.listStatus(spark._jvm.org.apache.hadoop.fs.Path(root, f"arrival={k}")):
+        part = spark._jvm.org.apache.hadoop.fs.Path(root, f"arrival={k}")
+        for s in fs.listStatus(part) if fs.exists(part) else []:
             fs.setTimes(s.getPath(), first + 1000 * k, -1)
     return folder
 
@@ -71,22 +75,28 @@ def idempotent(stream: DataFrame, token: str, at: str, payload: str, ttl: str =
     life = int(pd.Timedelta(ttl).value // 1000)
 
     def answer(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        until, kept = state.get if state.exists else (-(2**62), None)
+        held = {t: (u, k) for t, u, k in zip(*state.get)} if state.exists else {}
         out = []
-        for t, value in sorted((r for pdf in pdfs for r in zip(pdf["us"].tolist(), pdf["payload"].tolist())), key=lambda r: r[0]):
-            replayed = t <= until
-            if not replayed:
-                until, kept = t + life, value
-            out.append((key[0], t, replayed, kept))
-        state.update((int(until), kept))
-        state.setTimeoutTimestamp(max(until // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["token", "us", "replayed", "response"])
+        if not state.hasTimedOut:
+            for token_, t, value in sorted((r for pdf in pdfs for r in zip(pdf["token"].tolist(), pdf["us"].tolist(), pdf["payload"].tolist())), key=lambda r: r[1]):
+                until, kept = held.get(token_, (-(2**62), None))
+                replayed = t <= until
+                if not replayed:
+                    held[token_] = until, kept = t + life, value
+                out.append((token_, t, replayed, kept))
+        now = state.getCurrentWatermarkMs()
+        held = {t: x for t, x in held.items() if x[0] // 1000 >= now}
+        if held:
+            state.update((list(held), [int(u) for u, _ in held.values()], [k for _, k in held.values()]))
+            state.setTimeoutTimestamp(max(min(u for u, _ in held.values()) // 1000 + 1, now + 1))
+        elif state.exists:
+            state.remove()
+        if out:
+            yield pd.DataFrame(out, columns=["token", "us", "replayed", "response"])
 
     rows = stream.filter(F.col(token).isNotNull()).withWatermark(at, "1 hour").select(F.col(token).alias("token"), F.col(at).alias("at"), F.unix_micros(at).alias("us"), F.col(payload).cast("string").alias("payload"))
-    out = rows.groupBy("token").applyInPandasWithState(answer, "token string, us long, replayed boolean, response string", "until long, kept string", "append", GroupStateTimeout.EventTimeTimeout)
+    # Tokens are answered a bucket at a time: a call for each token would cost more than its answer.
+    out = rows.withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(BUCKETS))).groupBy("bucket").applyInPandasWithState(answer, "token string, us long, replayed boolean, response string", "tokens array<string>, until array<long>, kept array<string>", "append", GroupStateTimeout.EventTimeTimeout)
     return out.select("token", F.timestamp_micros("us").alias("at"), "replayed", "response")
 
 
