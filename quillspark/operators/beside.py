@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -123,6 +124,19 @@ class Bank:
         order = np.argsort(concept, kind="stable")
         self.asks, self.first = question[order], offsets(concept[order], len(names))
 
+    def place(self, question_id: str | None) -> int:
+        """Where the question of an id is, -1 where there is none."""
+        if question_id is None:
+            return -1
+        k = bisect_left(range(len(self.ids)), question_id, key=lambda i: self.ids[i].as_py())
+        return k if k < len(self.ids) and self.ids[k].as_py() == question_id else -1
+
+    def only(self, mask: np.ndarray) -> None:
+        """Concepts lead to the questions of the mask only; all questions keep their places and concepts."""
+        none = len(self.first) - 1
+        concept = np.repeat(np.arange(none), np.diff(self.first))[mask[self.asks]]
+        self.asks, self.first = self.asks[mask[self.asks]], offsets(concept, none)
+
     def shorten(self, scores: np.ndarray, most: int) -> None:
         """Prepare ``shortlist``: no concept is asked about more than ``most`` times; scores by (question, concepts verified).
 

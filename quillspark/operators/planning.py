@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.functions import learning as L
 from quillspark.operators import beside
 from quillspark.operators.graph import topological_order
 from quillspark.session import unsent
@@ -268,7 +269,7 @@ def next_verification(verify: DataFrame, questions: DataFrame, states: DataFrame
     without an attempt adds 0.5, one with fewer than ENOUGH_EVIDENCE 0.1. Learners with ``most`` answers, or whose
     questions all reached their concepts' caps, have no row.
     """
-    q = questions.filter(F.size("options") >= 2).select("question_id", "information_value", F.element_at("concept_ids", 1).alias("first"), F.explode(F.array_distinct("concept_ids")).alias("concept_id")).filter("first IS NOT NULL")
+    q = questions.filter(F.size("options") >= 2).select("question_id", "information_value", F.get("concept_ids", F.lit(0)).alias("first"), F.explode(F.array_distinct("concept_ids")).alias("concept_id")).filter("first IS NOT NULL")
     used = asked.distinct().join(questions.select("question_id", F.explode(F.array_distinct("concept_ids")).alias("concept_id")), "question_id").groupBy("learner_id", "concept_id").agg(F.count("*").alias("used"))
     full = asked.distinct().groupBy("learner_id").agg(F.count("*").alias("n")).filter(F.col("n") >= most).select("learner_id")
     own = states.select("learner_id", "concept_id", "mastery", "attempts")
@@ -281,6 +282,100 @@ def next_verification(verify: DataFrame, questions: DataFrame, states: DataFrame
     return g.withColumn("score", score).groupBy("learner_id").agg(F.min_by(F.struct("question_id", "priority", "score"), F.struct(-F.col("priority"), -F.col("score"), F.col("question_id"))).alias("b")).select("learner_id", "b.*")
 
 
+def verified_next(verify: DataFrame, questions: DataFrame, states: DataFrame, asked: DataFrame, gains=L.information_gains, most: int = MOST_QUESTIONS) -> DataFrame:
+    """The rows of ``next_verification`` without pairing learners and questions in a join: each learner's are looked up in the bank beside the learner, from the highest priority down to the first with a question left.
+
+    questions has one row a question_id; verify and states have one row a (learner_id, concept_id). ``gains`` gives
+    the information gain of arrays and never falls where a question's information_value rises: of questions on the
+    same concepts, those below the first one left are looked at only where that one's score is the best.
+    """
+    first = F.get("concept_ids", F.lit(0))
+    path = beside.bank_of(questions, first.alias("lead"), (F.coalesce(F.size("options") >= 2, F.lit(False)) & first.isNotNull()).alias("open"), F.coalesce("information_value", F.lit(1.0)).cast("double").alias("value"))
+    none_of = lambda *names: [F.lit(None).cast({"cap": "int", "attempts": "long"}.get(c, "double")).alias(c) for c in names]
+    rows = verify.select("learner_id", "concept_id", F.lit(0).alias("kind"), "priority", "cap", *none_of("mastery", "attempts"))
+    rows = rows.unionByName(states.select("learner_id", "concept_id", F.lit(1).alias("kind"), *none_of("priority", "cap"), "mastery", F.col("attempts").cast("long").alias("attempts")))
+    rows = rows.unionByName(asked.select("learner_id", F.col("question_id").alias("concept_id"), F.lit(2).alias("kind"), *none_of("priority", "cap", "mastery", "attempts")).distinct())
+
+    def work(tables: Iterator[pa.Table]) -> Iterator[pa.RecordBatch]:
+        bank = beside.Bank(beside.read(path))
+        lead, value = beside.coded(bank.table["lead"], bank.at), bank.table["value"].to_numpy()
+        none = len(bank.first) - 1  # the concept nobody has
+        # Open questions on the same concepts side by side, those of most value first; the first stands for all of them.
+        kept = np.flatnonzero(bank.table["open"].to_numpy())
+        alike = np.column_stack([lead[kept], np.sort(bank.concepts[kept], 1)])
+        order = np.lexsort((kept, -value[kept], *alike.T))
+        kept, alike = kept[order], alike[order]
+        new = np.flatnonzero(np.concatenate([[True], (alike[1:] != alike[:-1]).any(1)])) if len(kept) else np.zeros(0, np.int64)
+        ends = np.append(new[1:], len(kept))
+        group = np.full(len(lead), -1)
+        group[kept] = np.repeat(np.arange(len(new)), ends - new)
+        heads = kept[new]
+        stands = np.zeros(len(lead), bool)
+        stands[heads] = True
+        bank.only(stands)
+        now = np.arange(len(lead))
+        mastery, extra = np.full(none + 1, PRIOR_MASTERY), np.zeros(none + 1)
+        left, used = np.zeros(none + 1, np.int64), np.zeros(none + 1, np.int64)
+
+        def scores(q: np.ndarray) -> np.ndarray:
+            return _rounded(_rounded(gains(mastery[lead[q]], value[q])) + extra[bank.concepts[q]].sum(1))
+
+        for t in tables:
+            kind = t["kind"].to_numpy()
+            concept, ids = beside.coded(t["concept_id"], bank.at), t["concept_id"]
+            priority, cap, own, tries = (t[c].to_numpy() for c in ("priority", "cap", "mastery", "attempts"))
+            tries = np.nan_to_num(tries)
+            names, begin = beside.runs(t["learner_id"])
+            who, which, over, best = [], [], [], []
+            for name, a, b in zip(names, begin[:-1], begin[1:]):
+                k = kind[a:b]
+                if (k == 2).sum() >= most or not (k == 0).any():
+                    continue
+                known = concept[a:b] >= 0
+                at = a + np.flatnonzero((k == 0) & known)
+                have = a + np.flatnonzero((k == 1) & known)
+                done = np.array([x for x in (bank.place(ids[int(i)].as_py()) for i in a + np.flatnonzero(k == 2)) if x >= 0], np.int64)
+                c, s = concept[at], concept[have]
+                extra[c] = 0.5  # without an attempt
+                extra[s] = np.where(extra[s] > 0, np.where(tries[have] == 0, 0.5, np.where(tries[have] < ENOUGH_EVIDENCE, 0.1, 0.0)), 0.0)
+                mastery[s] = np.where(np.isnan(own[have]), PRIOR_MASTERY, own[have])
+                np.add.at(used, bank.concepts[done].ravel(), 1)
+                used[none] = 0
+                left[c] = cap[at] - used[c]
+                gone = np.unique(group[done[group[done] >= 0]])
+                for g in gone:
+                    rest = kept[new[g] : ends[g]]
+                    rest = rest[~np.isin(rest, done)]
+                    now[heads[g]] = rest[0] if len(rest) else -1
+                for p, q in bank.levels(c, priority[at]):
+                    q = now[q[(left[bank.concepts[q]] > 0).any(1)]]
+                    q = q[q >= 0]
+                    if len(q):
+                        score = scores(q)
+                        g = group[q[score >= score.max() - 2e-6]]
+                        q = np.sort(kept[beside.spread(new[g], ends[g])])
+                        q = q[~np.isin(q, done)]
+                        score = scores(q)
+                        i = int(score.argmax())  # the first of the best, as q is in order of id
+                        who.append(name)
+                        which.append(q[i])
+                        over.append(p)
+                        best.append(score[i])
+                        break
+                now[heads[gone]] = heads[gone]
+                extra[c], left[c], mastery[s] = 0.0, 0, PRIOR_MASTERY
+                used[bank.concepts[done].ravel()] = 0
+            if who:
+                yield pa.RecordBatch.from_arrays([pa.array(who, pa.string()), bank.ids.take(pa.array(np.array(which))), pa.array(over, pa.float64()), pa.array(best, pa.float64())], names=["learner_id", "question_id", "priority", "score"])
+
+    return beside.by_learner(rows, work, "learner_id string, question_id string, priority double, score double", "kind", "concept_id")
+
+
+def _rounded(x: np.ndarray) -> np.ndarray:
+    """Six decimals, halves upward."""
+    return np.floor(x * 1e6 + 0.5) / 1e6
+
+
 def calibration(claims: DataFrame, scores: DataFrame, overall: DataFrame) -> DataFrame:
     """Confidence against competence of what is verified: (learner_id, concept_id, mean_score, calibration, verdict).
 

@@ -190,7 +190,7 @@ SELECT learner_id, arg_min(question_id, (-priority, -score, question_id)) AS que
 def top_12_mth_10_next_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The next question of each learner's verification after three answers, by live mastery."""
     s = stored(states(spark, sf_dir))
-    n = planning.next_verification(planning.to_verify(claims(s)), newest(spark, sf_dir), s, _asked(spark, sf_dir), L.information_gain)
+    n = planning.verified_next(planning.to_verify(claims(s)), newest(spark, sf_dir), s, _asked(spark, sf_dir))
     return n.select("learner_id", "question_id", "score")
 
 
