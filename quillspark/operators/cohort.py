@@ -136,6 +136,61 @@ def with_prerequisites(states: DataFrame, links: DataFrame) -> DataFrame:
     return beside.by_learner(states, work, f"{kinds}, downstream long, weak_prerequisites long")
 
 
+BATCH = 40_000  # rows that a task gives at a time
+
+
+def upstream_weak(states: DataFrame, up: DataFrame) -> DataFrame:
+    """(tree, learner_id, concept_id, upstream, weak) for each state below 0.5 and tree in which its concept rests on others: how many, and how many of them are below 0.5 for the learner; without a state they stand at 0.30.
+
+    states (learner_id, concept_id, mastery), unique; up (tree, concept_id, above), the concepts it rests on, each
+    once. Rows are made in the task that holds the learner: they are as many as learners' weak concepts times their trees.
+    """
+    path = beside.kept(up.select("tree", "concept_id", "above").filter(F.size("above") > 0), "up")
+
+    def work(tables: Iterator[pa.Table]) -> Iterator[pa.RecordBatch]:
+        t = beside.read(path).combine_chunks()
+        lists = t["above"].combine_chunks()
+        names = sorted(v for v in {*t["concept_id"].unique().to_pylist(), *lists.flatten().unique().to_pylist()} if v is not None)
+        at = {v: k for k, v in enumerate(names)}
+        node, above, bounds = beside.coded(t["concept_id"], at), beside.coded(lists.flatten(), at).astype(np.int32), lists.offsets.to_numpy()
+        order = np.argsort(node, kind="stable")
+        first = beside.offsets(node[order], len(names))
+        above = above[beside.spread(bounds[order], bounds[order + 1])]
+        size = np.diff(bounds)[order].astype(np.int64)
+        start = np.concatenate([[0], np.cumsum(size)])
+        trees, upstream = t["tree"].combine_chunks().take(pa.array(order)), pa.array(size)
+        low = np.ones(len(names) + 1, np.int64)
+
+        def given(parts: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*parts)], names=["tree", "learner_id", "concept_id", "upstream", "weak"])
+
+        for own in tables:
+            concept, mastery = beside.coded(own["concept_id"], at), own["mastery"].to_numpy()
+            who, begin = beside.runs(own["learner_id"])
+            parts, held = [], 0
+            for name, a, b in zip(who, begin[:-1], begin[1:]):
+                c, m = concept[a:b], mastery[a:b]
+                strong = c[(m >= 0.5) & (c >= 0)]
+                low[strong] = 0
+                for k in c[(m < 0.5) & (c >= 0)]:
+                    x, y = first[k], first[k + 1]
+                    if x == y:
+                        continue
+                    weak = np.add.reduceat(low[above[start[x] : start[y]]], start[x:y] - start[x])
+                    for i in range(0, y - x, BATCH):
+                        n = min(BATCH, y - x - i)
+                        parts.append((trees.slice(x + i, n), pa.repeat(pa.scalar(name, pa.string()), n), pa.repeat(pa.scalar(names[k], pa.string()), n), upstream.slice(x + i, n), pa.array(weak[i : i + n])))
+                        held += n
+                        if held >= BATCH:
+                            yield given(parts)
+                            parts, held = [], 0
+                low[strong] = 1
+            if parts:
+                yield given(parts)
+
+    return beside.by_learner(states.select("learner_id", "concept_id", "mastery"), work, "tree string, learner_id string, concept_id string, upstream long, weak long")
+
+
 def gaps(states: DataFrame, links: DataFrame) -> DataFrame:
     """Gaps of learners' attempted concepts: reasons in order, main type, weak prerequisites, downstream count.
 

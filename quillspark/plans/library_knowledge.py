@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.operators import resolve
+from quillspark.operators import cohort, resolve
 from quillspark.operators.hierarchy import hierarchy
 from quillspark.plans.library import STATES, query, states
 from quillspark.plans.library_text import _REACH, doc_links
@@ -37,11 +37,8 @@ def grf_05_06_trusted_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 def grf_13_upstream_weak(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each weak concept of a learner: how many concepts it rests on within a document, and how many of those are weak."""
     l = doc_links(spark, sf_dir)  # noqa: E741
-    up = _as_hierarchy(l, "target", "source").filter(F.size("descendants") > 0).select("tree", F.col("node").alias("concept_id"), F.explode("descendants").alias("a"))
-    s = states(spark, sf_dir).select("learner_id", "concept_id", "mastery")
-    have = s.select("learner_id", F.col("concept_id").alias("a"), F.col("mastery").alias("m"))
-    x = s.filter("mastery < 0.5").join(up, "concept_id").join(have, ["learner_id", "a"], "left")
-    return x.groupBy("tree", "learner_id", "concept_id").agg(F.count("*").alias("upstream"), F.count_if(F.coalesce("m", F.lit(0.30)) < 0.5).alias("weak"))
+    up = _as_hierarchy(l, "target", "source").select("tree", F.col("node").alias("concept_id"), F.col("descendants").alias("above"))
+    return cohort.upstream_weak(states(spark, sf_dir), up)
 
 
 @query("SELECT concept_id FROM concepts WHERE concept_id NOT IN (SELECT source_concept_id FROM prerequisite_links UNION SELECT target_concept_id FROM prerequisite_links)")

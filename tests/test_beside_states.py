@@ -5,10 +5,10 @@ import random
 import numpy as np
 
 from quillspark.functions import learning as L
-from quillspark.operators import planning
-from quillspark.plans import library_planning
+from quillspark.operators import cohort, planning
+from quillspark.plans import library_knowledge, library_planning
 from tests.fixtures import SMALL
-from tests.test_beside import claims_and_bank, plan
+from tests.test_beside import claims_and_bank, plan, some_states
 
 
 def test_next_verification_is_that_of_all_pairs(spark):
@@ -32,3 +32,14 @@ def test_gains_never_fall_where_a_question_tells_more():
     p = np.arange(1, 100)[:, None] / 100
     g = L.information_gains(p, np.arange(1, 400)[None, :] / 100)
     assert (np.diff(g, axis=1) >= -1e-12).all() and g.max() < 1
+
+
+def test_weak_upstream_concepts_are_counted_beside_their_learner(spark):
+    rng, states, sdf = some_states(spark, 4)
+    up = [(f"t{t}", f"c{k}", rng.sample([f"c{j}" for j in range(15)], rng.randrange(0, 6))) for t in range(7) for k in range(14) if rng.random() < 0.7]
+    x = cohort.upstream_weak(sdf, spark.createDataFrame(up, "tree string, concept_id string, above array<string>"))
+    assert "Join" not in plan(x)
+    have = {(w, c): m for w, c, m, *_ in states}
+    want = sorted((t, w, c, len(a), sum(have.get((w, v), 0.3) < 0.5 for v in a)) for (w, c), m in have.items() if m < 0.5 for t, k, a in up if k == c and a)
+    assert sorted(map(tuple, x.collect())) == want and want
+    assert "Join" not in plan(library_knowledge.grf_13_upstream_weak(spark, str(SMALL)))
