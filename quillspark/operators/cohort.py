@@ -191,6 +191,50 @@ def upstream_weak(states: DataFrame, up: DataFrame) -> DataFrame:
     return beside.by_learner(states.select("learner_id", "concept_id", "mastery"), work, "tree string, learner_id string, concept_id string, upstream long, weak long")
 
 
+def weakest_by_document(states: DataFrame, documents: DataFrame, most: int = 3) -> DataFrame:
+    """(learner_id, document_id, concept_ids): of a learner's concepts in each document the ``most`` of least mastery, ties by id, joined by commas in that order.
+
+    states (learner_id, concept_id, mastery), unique; documents (document_id, concept_id), distinct. Rows are made in
+    the task that holds the learner: nearly as many as learners times documents.
+    """
+    path = beside.kept(documents.select("document_id", "concept_id").dropna(), "documents")
+
+    def work(tables: Iterator[pa.Table]) -> Iterator[pa.RecordBatch]:
+        t = beside.read(path)
+        ids = t["document_id"].unique().sort()
+        names = sorted(t["concept_id"].unique().to_pylist())
+        at = {v: k for k, v in enumerate(names)}
+        doc, concept = beside.coded(t["document_id"], {v: k for k, v in enumerate(ids.to_pylist())}), beside.coded(t["concept_id"], at)
+        order = np.argsort(concept, kind="stable")
+        doc, first = doc[order], beside.offsets(concept[order], len(names))
+        for own in tables:
+            code = beside.coded(own["concept_id"], at)
+            who, begin = beside.runs(own["learner_id"])
+            for name, a, b in zip(who, begin[:-1], begin[1:]):
+                c = code[a:b][code[a:b] >= 0]  # the weakest first
+                taken, key = np.zeros(len(ids), np.int8), np.zeros(len(ids), np.int64)
+                for rank, k in enumerate(c.tolist(), 1):
+                    d = doc[first[k] : first[k + 1]]
+                    d = d[taken[d] < most]
+                    taken[d] += 1
+                    key[d] = key[d] * (len(c) + 1) + rank
+                met = np.flatnonzero(taken)
+                kinds, which = np.unique(key[met], return_inverse=True)
+                texts = []
+                for v in kinds.tolist():
+                    ranks = []
+                    while v:
+                        v, r = divmod(v, len(c) + 1)
+                        ranks.append(names[c[r - 1]])
+                    texts.append(",".join(reversed(ranks)))
+                texts = pa.array(texts, pa.string())
+                for i in range(0, len(met), BATCH):
+                    n = min(BATCH, len(met) - i)
+                    yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(name, pa.string()), n), ids.take(pa.array(met[i : i + n])), texts.take(pa.array(which[i : i + n]))], names=["learner_id", "document_id", "concept_ids"])
+
+    return beside.by_learner(states.select("learner_id", "concept_id", "mastery"), work, "learner_id string, document_id string, concept_ids string", "mastery", "concept_id")
+
+
 def gaps(states: DataFrame, links: DataFrame) -> DataFrame:
     """Gaps of learners' attempted concepts: reasons in order, main type, weak prerequisites, downstream count.
 

@@ -310,9 +310,7 @@ SELECT learner_id, document_id, string_agg(concept_id, ',' ORDER BY rn) AS conce
 def top_13_mini_quiz(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three weakest concepts of each learner in each document: what a short quiz asks about."""
     d = table(spark, sf_dir, "questions").filter("document_id IS NOT NULL").select("document_id", F.explode("concept_ids").alias("concept_id")).distinct()
-    w = Window.partitionBy("learner_id", "document_id").orderBy("mastery", "concept_id")
-    x = states(spark, sf_dir).join(d, "concept_id").withColumn("rn", F.row_number().over(w)).filter("rn <= 3")
-    return x.groupBy("learner_id", "document_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", "concept_id"))), lambda v: v["concept_id"]), ",").alias("concept_ids"))
+    return cohort.weakest_by_document(states(spark, sf_dir), d)
 
 
 @query(f"""WITH {_QUESTIONS}, v AS (SELECT *, concept_ids[1] AS concept_id FROM q WHERE lower(validation_status) = 'valid' AND question_type = 'mcq' AND len(concept_ids) > 0), f AS (SELECT document_id, concept_id, min(question_id) AS question_id FROM v GROUP BY 1, 2), k AS (SELECT *, CAST(row_number() OVER (PARTITION BY document_id ORDER BY concept_id) AS INTEGER) AS place FROM f)

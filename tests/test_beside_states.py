@@ -43,3 +43,17 @@ def test_weak_upstream_concepts_are_counted_beside_their_learner(spark):
     want = sorted((t, w, c, len(a), sum(have.get((w, v), 0.3) < 0.5 for v in a)) for (w, c), m in have.items() if m < 0.5 for t, k, a in up if k == c and a)
     assert sorted(map(tuple, x.collect())) == want and want
     assert "Join" not in plan(library_knowledge.grf_13_upstream_weak(spark, str(SMALL)))
+
+
+def test_weakest_concepts_of_documents_are_chosen_beside_the_learner(spark):
+    rng, states, sdf = some_states(spark, 5)
+    docs = sorted({(f"d{rng.randrange(9)}", f"c{rng.randrange(15)}") for _ in range(60)})
+    x = cohort.weakest_by_document(sdf, spark.createDataFrame([*docs, (None, "c1"), ("d1", None)], "document_id string, concept_id string"))
+    assert "Join" not in plan(x)
+    want = {}
+    for w, c, m, *_ in states:
+        for d, k in docs:
+            if k == c:
+                want.setdefault((w, d), []).append((m, c))
+    assert {(r.learner_id, r.document_id): r.concept_ids for r in x.collect()} == {k: ",".join(c for _, c in sorted(v)[:3]) for k, v in want.items()}
+    assert "Join" not in plan(library_planning.top_13_mini_quiz(spark, str(SMALL)))
