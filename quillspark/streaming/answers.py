@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import re
 import time
 from collections.abc import Iterator
@@ -112,7 +113,6 @@ def gap_sessions(stream: DataFrame, gap: str = "30 minutes") -> DataFrame:
     return s.select("learner_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "answers")
 
 
-_STATE = "place int, attempts long, correct long, ids array<string>, times array<long>"
 _OUT = "learner_id string, concept_id string, mastery double, attempts long, correct long"
 
 
@@ -120,32 +120,34 @@ def mastery_stream(stream: DataFrame, at: str = "ts", ttl: str = LATE, p_init: f
     """Running mastery per (learner, concept): within a trigger answers are taken in order of (``at``, interaction_id).
 
     A redelivered interaction counts once within ``ttl`` of the delivery that counted; the ids of that time are the
-    only part of the state that is not of fixed size. An answer older than what its key has already folded is
-    folded in as it comes; a batch recompute gives the order by time.
+    only part of a key's state that is not of fixed size. An answer older than what its key has already folded is
+    folded in as it comes; a batch recompute gives the order by time. Keys are folded a bucket at a time, with one
+    packed state a bucket: a call for each key would cost more than its answers.
     """
     maps = step_maps(transit, slip, guess).tolist()
     start = round(p_init * 10_000) - 100
     life = int(pd.Timedelta(ttl).value // 1000)
 
     def fold(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        place, n, good, ids, times = state.get if state.exists else (start, 0, 0, [], [])
-        held = dict(zip(ids, times))
-        rows = sorted(r for pdf in pdfs for r in zip(pdf["us"].tolist(), pdf["interaction_id"].tolist(), pdf["right"].tolist()))
-        for t, i, right in rows:
+        keys = pickle.loads(state.get[0]) if state.exists else {}  # (learner, concept) -> place, attempts, correct, times by id
+        last = {}
+        for who, what, t, i, right in sorted((r for pdf in pdfs for r in zip(*(pdf[c].tolist() for c in ("learner_id", "concept_id", "us", "interaction_id", "right")))), key=lambda r: r[2:]):
+            k = (who, what)
+            last[k] = t
+            place, n, good, held = keys.get(k) or (start, 0, 0, {})
             if i in held and t <= held[i] + life:
                 continue
             held[i] = t
-            place = maps[int(right)][place]
-            n += 1
-            good += int(right)
-        if rows:
-            held = {i: t for i, t in held.items() if t + life >= rows[-1][0]}
-        state.update((int(place), int(n), int(good), list(held), list(held.values())))
-        yield pd.DataFrame([(*key, (place + 100) / 10_000, n, good)], columns=["learner_id", "concept_id", "mastery", "attempts", "correct"])
+            keys[k] = maps[int(right)][place], n + 1, good + int(right), held
+        for k, t in last.items():
+            place, n, good, held = keys[k]
+            keys[k] = place, n, good, {i: u for i, u in held.items() if u + life >= t}
+        state.update((pickle.dumps(keys),))
+        yield pd.DataFrame([(*k, (keys[k][0] + 100) / 10_000, *keys[k][1:3]) for k in last], columns=["learner_id", "concept_id", "mastery", "attempts", "correct"])
 
     rows = stream.filter("learner_id IS NOT NULL AND correctness IS NOT NULL AND NOT isnan(correctness) AND interaction_id IS NOT NULL")
     rows = rows.select("learner_id", F.explode(F.array_distinct("concept_ids")).alias("concept_id"), F.unix_micros(F.col(at).cast("timestamp")).alias("us"), "interaction_id", (F.col("correctness") >= 0.5).alias("right")).filter("us IS NOT NULL")
-    return rows.groupBy("learner_id", "concept_id").applyInPandasWithState(fold, _OUT, _STATE, "update", GroupStateTimeout.NoTimeout)
+    return rows.withColumn("bucket", F.pmod(F.xxhash64("learner_id", "concept_id"), F.lit(BUCKETS))).groupBy("bucket").applyInPandasWithState(fold, _OUT, "keys binary", "update", GroupStateTimeout.NoTimeout)
 
 
 def session_states(stream: DataFrame, at: str = "ts", most: int = 25, idle: str = "30 minutes") -> DataFrame:
