@@ -39,6 +39,21 @@ def read(path: str) -> pa.Table:
     return pq.read_table(path, filesystem=system)
 
 
+def kept_parts(df: DataFrame, name: str, n: int, *by: str) -> str:
+    """``kept`` in n parts by the hash of columns, for ``read_part``."""
+    path = f"{tables_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.withColumn("part", F.pmod(F.xxhash64(*by), F.lit(n))).repartition("part").write.partitionBy("part").parquet(path)
+    return path
+
+
+def read_part(path: str, k: int) -> pa.Table | None:
+    """Part k of ``kept_parts``, in a task; None if it has no row."""
+    try:
+        return read(f"{path}/part={k}")
+    except FileNotFoundError:
+        return None
+
+
 def coded(values: pa.ChunkedArray, at: dict[str, int]) -> np.ndarray:
     """The numbers of strings, -1 for those without one."""
     d = (values.combine_chunks() if isinstance(values, pa.ChunkedArray) else values).dictionary_encode()

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import learning as L
 from quillspark.operators import beside
 from quillspark.operators.graph import topological_order
-from quillspark.session import unsent
+from quillspark.session import stored, unsent
 
 # A learner without a state, and the parameters of diagnosis.
 PRIOR_MASTERY, PRIOR_UNCERTAINTY = 0.30, 0.85
@@ -27,6 +27,8 @@ CONFIRMED, ELIMINATED, LEAST_ENTROPY, BUDGET = 0.75, 0.05, 0.40, 5
 PRIORITY = {("UNANSWERED", "LOW"): 1.0, ("KNOW", "LOW"): 0.9, ("KNOW", "MEDIUM"): 0.8, ("KNOW", "HIGH"): 0.7, ("UNANSWERED", "MEDIUM"): 0.6, ("UNANSWERED", "HIGH"): 0.55}
 CAPS = {("KNOW", "HIGH"): 1}
 MOST_QUESTIONS, MOST_STEPS, ENOUGH_EVIDENCE = 10, 10, 3
+# A Parquet dictionary holds 1 MB: some 50,000 ids.
+LEARNERS_A_TILE, QUESTIONS_A_TILE = 1_000, 40_000
 
 
 def targets(states: DataFrame, links: DataFrame) -> DataFrame:
@@ -239,27 +241,79 @@ def quizzes(verify: DataFrame, questions: DataFrame, most: int = MOST_QUESTIONS)
 
 
 def candidates_beside(verify: DataFrame, questions: DataFrame) -> DataFrame:
-    """(learner_id, question_id, priority, score) of ``quiz_candidates``, made in the learner's task; questions has one row a question_id."""
-    path = _scored(questions)
+    """(learner_id, question_id, priority, score) of ``quiz_candidates`` without a join; questions has one row a question_id.
 
-    def work(tables: Iterator[pa.Table]) -> Iterator[pa.RecordBatch]:
-        bank = beside.Bank(beside.read(path))
-        scores = _scores(bank)
-        mine = np.zeros(len(bank.first), bool)
-        for t in tables:
-            concept, priority = beside.coded(t["concept_id"], bank.at), t["priority"].to_numpy()
-            names, begin = beside.runs(t["learner_id"])
-            for name, a, b in zip(names, begin[:-1], begin[1:]):
-                known = concept[a:b] >= 0
-                c = concept[a:b][known]
-                mine[c] = True
-                for p, q in bank.levels(c, priority[a:b][known]):
-                    for k in range(0, len(q), 50_000):
-                        s = q[k : k + 50_000]
-                        yield pa.RecordBatch.from_arrays([pa.array([name], pa.string()).take(pa.array(np.zeros(len(s), np.int32))), bank.ids.take(pa.array(s)), pa.array(np.full(len(s), p)), pa.array(scores[s, mine[bank.concepts[s]].sum(1)])], names=["learner_id", "question_id", "priority", "score"])
-                mine[c] = False
+    Nearly every question meets every learner, so the rows are never shuffled, and they are made in an order that their
+    file holds in few bytes. A task has some learners and some questions, few enough for the dictionaries of its file,
+    and gives both lists for each set of concepts; their pairs are unrolled as they are written, question by question,
+    so that ids and scores come in runs and the learners of a set in the same sequence again.
+    """
+    spark = verify.sparkSession
+    v = stored(verify.select("learner_id", "concept_id", "priority"))
+    bank = spark.read.parquet(_scored(questions))
+    parts, slices = 1 + v.agg(F.count_distinct("learner_id")).first()[0] // LEARNERS_A_TILE, 1 + bank.count() // QUESTIONS_A_TILE
+    own = beside.kept_parts(v, "verify", parts, "learner_id")
+    bank = beside.kept_parts(bank.withColumn("concepts", F.array_sort("concepts")), "slices", slices, "concepts")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k in (k for b in batches for k in b.column(0).to_pylist()):
+            t, q = beside.read_part(own, k // slices), beside.read_part(bank, k % slices)
+            if t is not None and q is not None:
+                yield from _met(t, beside.Bank(q))
+
+    tiles = spark.range(0, parts * slices, 1, parts * slices)
+    x = tiles.mapInArrow(work, "learners array<struct<learner_id: string, priority: double, n: int>>, questions array<struct<question_id: string, scores: array<double>>>")
+    x = x.select("learners", F.explode("questions").alias("q")).select("q", F.explode("learners").alias("l"))
+    return x.select("l.learner_id", "q.question_id", "l.priority", F.get("q.scores", F.col("l.n") - 1).alias("score"))
+
+
+def _met(own: pa.Table, bank: beside.Bank) -> Iterator[pa.RecordBatch]:
+    """For each set of concepts the learners who verify any of them, by number and highest priority, and its questions."""
+    ids = own["learner_id"].unique()
+    who, concept, priority = beside.coded(own["learner_id"], {v: k for k, v in enumerate(ids.to_pylist())}), beside.coded(own["concept_id"], bank.at), own["priority"].to_numpy()
+    order = np.lexsort((who, -priority, concept))
+    order = order[concept[order] >= 0]
+    who, priority, first = who[order], priority[order], beside.offsets(concept[order], len(bank.at))
+    none = len(bank.at)
+    rank = np.append(np.argsort(np.argsort(-np.diff(first), kind="stable")), none)  # most verified first: sets that share them follow one another
+    back = np.append(np.argsort(rank[:-1]), none)
+    sets = np.sort(rank[bank.concepts], 1)
+    order = np.lexsort(sets.T[::-1])
+    sets = back[sets[order]]
+    begin = np.flatnonzero(np.append(True, (sets[1:] != sets[:-1]).any(1)))
+    lists = bank.table["scores"].combine_chunks()
 
-    return beside.by_learner(verify.select("learner_id", "concept_id", "priority"), work, "learner_id string, question_id string, priority double, score double", "concept_id")
+    def given(learners: list, questions: list) -> pa.RecordBatch:
+        w, p, n = (np.concatenate([x[i] for x in learners]) for i in range(3))
+        q = np.concatenate(questions)
+        l_ = pa.StructArray.from_arrays([ids.take(pa.array(w)), pa.array(p), pa.array(n.astype(np.int32))], ["learner_id", "priority", "n"])
+        q_ = pa.StructArray.from_arrays([bank.ids.take(pa.array(q)), lists.take(pa.array(q))], ["question_id", "scores"])
+        at = [pa.array(np.cumsum([0, *map(len, x)]), pa.int32()) for x in ([x[0] for x in learners], questions)]
+        return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(at[0], l_), pa.ListArray.from_arrays(at[1], q_)], names=["learners", "questions"])
+
+    learners, questions, held = [], [], 0
+    for a, b in zip(begin, np.append(begin[1:], len(sets))):
+        c = sets[a][sets[a] != none]
+        w, p = (np.concatenate([x[first[k] : first[k + 1]] for k in c] or [x[:0]]) for x in (who, priority))
+        if not len(w):
+            continue
+        n = np.ones(len(w), np.int64)
+        if len(c) > 1:
+            w, which, n = np.unique(w, return_inverse=True, return_counts=True)
+            top = np.full(len(w), -np.inf)
+            np.maximum.at(top, which, p)
+            k = np.lexsort((w, -top, n))
+            w, p, n = w[k], top[k], n[k]
+        for i in range(a, b, 1_000):
+            q = order[i : min(b, i + 1_000)]
+            learners.append((w, p, n))
+            questions.append(q)
+            held += len(w) + len(q)
+            if held >= 50_000:
+                yield given(learners, questions)
+                learners, questions, held = [], [], 0
+    if learners:
+        yield given(learners, questions)
 
 
 def next_verification(verify: DataFrame, questions: DataFrame, states: DataFrame, asked: DataFrame, gain, most: int = MOST_QUESTIONS) -> DataFrame:
