@@ -39,10 +39,10 @@ def read(path: str) -> pa.Table:
     return pq.read_table(path, filesystem=system)
 
 
-def kept_parts(df: DataFrame, name: str, n: int, *by: str) -> str:
-    """``kept`` in n parts by the hash of columns, for ``read_part``."""
+def kept_parts(df: DataFrame, name: str, n: int, by: str, *order: str) -> str:
+    """``kept`` in n parts by the hash of a column, each sorted, for ``read_part``."""
     path = f"{tables_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.withColumn("part", F.pmod(F.xxhash64(*by), F.lit(n))).repartition("part").write.partitionBy("part").parquet(path)
+    df.withColumn("part", F.pmod(F.xxhash64(by), F.lit(n))).repartition("part").sortWithinPartitions("part", *order).write.partitionBy("part").parquet(path)
     return path
 
 

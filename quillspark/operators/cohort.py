@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.operators import beside
+from quillspark.session import stored
 
 MISSING = 0.30
 
@@ -137,6 +138,8 @@ def with_prerequisites(states: DataFrame, links: DataFrame) -> DataFrame:
 
 
 BATCH = 40_000  # rows that a task gives at a time
+# Learners of a task, and the most it holds of them times documents; bytes of text that a Parquet dictionary holds.
+LEARNERS_A_TASK, PAIRS_A_TASK, DICTIONARY = 250, 10_000_000, 1_000_000
 
 
 def upstream_weak(states: DataFrame, up: DataFrame) -> DataFrame:
@@ -194,12 +197,19 @@ def upstream_weak(states: DataFrame, up: DataFrame) -> DataFrame:
 def weakest_by_document(states: DataFrame, documents: DataFrame, most: int = 3) -> DataFrame:
     """(learner_id, document_id, concept_ids): of a learner's concepts in each document the ``most`` of least mastery, ties by id, joined by commas in that order.
 
-    states (learner_id, concept_id, mastery), unique; documents (document_id, concept_id), distinct. Rows are made in
-    the task that holds the learner: nearly as many as learners times documents.
+    states (learner_id, concept_id, mastery), unique; documents (document_id, concept_id), distinct. Rows are nearly as
+    many as learners times documents, so they are never shuffled: a task has some learners, and gives each of a learner's
+    texts with all its documents, to be unrolled as they are written. The texts of most documents come first, as many
+    as the dictionary of the task's file holds, and the others by learner.
     """
+    spark = states.sparkSession
+    s = stored(states.select("learner_id", "concept_id", "mastery"))
     path = beside.kept(documents.select("document_id", "concept_id").dropna(), "documents")
+    n = max(1, spark.read.parquet(path).agg(F.count_distinct("document_id")).first()[0])
+    parts = 1 + s.agg(F.count_distinct("learner_id")).first()[0] // max(1, min(LEARNERS_A_TASK, PAIRS_A_TASK // n))
+    mine = beside.kept_parts(s, "learners", parts, "learner_id", "learner_id", "mastery", "concept_id")
 
-    def work(tables: Iterator[pa.Table]) -> Iterator[pa.RecordBatch]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = beside.read(path)
         ids = t["document_id"].unique().sort()
         names = sorted(t["concept_id"].unique().to_pylist())
@@ -207,10 +217,14 @@ def weakest_by_document(states: DataFrame, documents: DataFrame, most: int = 3)
         doc, concept = beside.coded(t["document_id"], {v: k for k, v in enumerate(ids.to_pylist())}), beside.coded(t["concept_id"], at)
         order = np.argsort(concept, kind="stable")
         doc, first = doc[order], beside.offsets(concept[order], len(names))
-        for own in tables:
+        for part in (k for b in batches for k in b.column(0).to_pylist()):
+            own = beside.read_part(mine, part)
+            if own is None:
+                continue
             code = beside.coded(own["concept_id"], at)
             who, begin = beside.runs(own["learner_id"])
-            for name, a, b in zip(who, begin[:-1], begin[1:]):
+            whose, sizes, texts, docs = [], [], [], []
+            for w, (a, b) in enumerate(zip(begin[:-1], begin[1:])):
                 c = code[a:b][code[a:b] >= 0]  # the weakest first
                 taken, key = np.zeros(len(ids), np.int8), np.zeros(len(ids), np.int64)
                 for rank, k in enumerate(c.tolist(), 1):
@@ -219,20 +233,40 @@ def weakest_by_document(states: DataFrame, documents: DataFrame, most: int = 3)
                     taken[d] += 1
                     key[d] = key[d] * (len(c) + 1) + rank
                 met = np.flatnonzero(taken)
-                kinds, which = np.unique(key[met], return_inverse=True)
-                texts = []
+                kinds, which, size = np.unique(key[met], return_inverse=True, return_counts=True)
                 for v in kinds.tolist():
                     ranks = []
                     while v:
                         v, r = divmod(v, len(c) + 1)
                         ranks.append(names[c[r - 1]])
                     texts.append(",".join(reversed(ranks)))
-                texts = pa.array(texts, pa.string())
-                for i in range(0, len(met), BATCH):
-                    n = min(BATCH, len(met) - i)
-                    yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(name, pa.string()), n), ids.take(pa.array(met[i : i + n])), texts.take(pa.array(which[i : i + n]))], names=["learner_id", "document_id", "concept_ids"])
-
-    return beside.by_learner(states.select("learner_id", "concept_id", "mastery"), work, "learner_id string, document_id string, concept_ids string", "mastery", "concept_id")
+                whose.append(np.full(len(kinds), w))
+                sizes.append(size)
+                docs.append(met[np.argsort(which, kind="stable")].astype(np.int32))
+            if texts:
+                yield from _by_text(pa.array(who, pa.string()), np.concatenate(whose), np.concatenate(sizes), pa.array(texts, pa.string()), np.concatenate(docs), ids)
+
+    x = spark.range(0, parts, 1, parts).mapInArrow(work, "learner_id string, concept_ids string, documents array<string>")
+    return x.select("learner_id", F.explode("documents").alias("document_id"), "concept_ids")
+
+
+def _by_text(who: pa.Array, whose: np.ndarray, sizes: np.ndarray, texts: pa.Array, docs: np.ndarray, ids: pa.Array) -> Iterator[pa.RecordBatch]:
+    """Learners' texts with their documents, which lie one text after the other in ``docs``; at most ``BATCH`` documents a row."""
+    starts = np.cumsum(sizes) - sizes
+    longest = np.argsort(-sizes, kind="stable")
+    late = np.empty(len(sizes), bool)
+    late[longest] = np.cumsum(4 + np.array([len(v.encode()) for v in texts.to_pylist()])[longest]) > DICTIONARY
+    order = np.argsort(late, kind="stable")
+    pieces = -(-sizes[order] // BATCH)
+    order, piece = np.repeat(order, pieces), beside.spread(np.zeros(len(pieces), np.int64), pieces)
+    starts = starts[order] + piece * BATCH
+    ends = np.minimum(starts + BATCH, (np.cumsum(sizes))[order])
+    total = np.cumsum(ends - starts)
+    cuts = np.unique(np.append(np.searchsorted(total, np.arange(0, total[-1], BATCH), "right"), len(order)))
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        at = pa.array(np.append(0, np.cumsum(ends[a:b] - starts[a:b])), pa.int32())
+        k = order[a:b]
+        yield pa.RecordBatch.from_arrays([who.take(pa.array(whose[k])), texts.take(pa.array(k)), pa.ListArray.from_arrays(at, ids.take(pa.array(docs[beside.spread(starts[a:b], ends[a:b])])))], names=["learner_id", "concept_ids", "documents"])
 
 
 def gaps(states: DataFrame, links: DataFrame) -> DataFrame:
