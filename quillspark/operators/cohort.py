@@ -233,7 +233,8 @@ def weakest_by_document(states: DataFrame, documents: DataFrame, most: int = 3)
                     taken[d] += 1
                     key[d] = key[d] * (len(c) + 1) + rank
                 met = np.flatnonzero(taken)
-                kinds, which, size = np.unique(key[met], return_inverse=True, return_counts=True)
+                met = met[np.argsort(key[met], kind="stable")]
+                kinds, size = np.unique(key[met], return_counts=True)
                 for v in kinds.tolist():
                     ranks = []
                     while v:
@@ -242,7 +243,7 @@ def weakest_by_document(states: DataFrame, documents: DataFrame, most: int = 3)
                     texts.append(",".join(reversed(ranks)))
                 whose.append(np.full(len(kinds), w))
                 sizes.append(size)
-                docs.append(met[np.argsort(which, kind="stable")].astype(np.int32))
+                docs.append(met.astype(np.int32))
             if texts:
                 yield from _by_text(pa.array(who, pa.string()), np.concatenate(whose), np.concatenate(sizes), pa.array(texts, pa.string()), np.concatenate(docs), ids)
 
@@ -260,7 +261,7 @@ def _by_text(who: pa.Array, whose: np.ndarray, sizes: np.ndarray, texts: pa.Arra
     pieces = -(-sizes[order] // BATCH)
     order, piece = np.repeat(order, pieces), beside.spread(np.zeros(len(pieces), np.int64), pieces)
     starts = starts[order] + piece * BATCH
-    ends = np.minimum(starts + BATCH, (np.cumsum(sizes))[order])
+    ends = np.minimum(starts + BATCH, np.cumsum(sizes)[order])
     total = np.cumsum(ends - starts)
     cuts = np.unique(np.append(np.searchsorted(total, np.arange(0, total[-1], BATCH), "right"), len(order)))
     for a, b in zip(cuts[:-1], cuts[1:]):
